@@ -19,7 +19,7 @@ from wayfare.operators.evaluation import (
     residual_histogram,
 )
 from wayfare.operators.features import model_features, raw_features
-from wayfare.operators.split import column_means, time_split
+from wayfare.operators.split import column_means, resolved_split, time_split
 from wayfare.plans.models import (
     Trained,
     ablation,
@@ -56,7 +56,7 @@ _FITTED = f""", {_DATED}, line AS (
 
 
 def _line_model(spark, folder, target="fare"):
-    train, test = time_split(derived_sales(spark, folder), 0.2)
+    train, test = resolved_split(derived_sales(spark, folder), 0.2)
     model = fit(train, "linear", target, _LINE)
     return Trained(model, train, test, score(model, test))
 
@@ -290,7 +290,7 @@ def importance(spark, folder):
 @query("score_rows")
 def score_rows(spark, folder):
     """Every held-out row with all its columns and the prediction."""
-    _, test = time_split(model_frame(clean_sales(spark, folder), SALES, "fare"), 0.2)
+    _, test = resolved_split(model_frame(clean_sales(spark, folder), SALES, "fare"), 0.2)
     model = _full_fit(spark, folder, "dtree").model
     scored = score(model, test)
     return scored.select("order_key", "line_number", "fare", PREDICTION)

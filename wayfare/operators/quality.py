@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,15 +106,16 @@ _MOMENTS = {"count": F.count, "mean": F.avg, "stddev": F.stddev, "min": F.min, "
 _QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
 
-def _long_statistics(df: DataFrame, columns: list[str], named: dict) -> DataFrame:
-    """(column, statistic, value) from one aggregate; ``named``: statistic -> function."""
-    rows = df.agg(
-        *[
-            F.struct(*[fn(c).cast("double").alias(s) for s, fn in named.items()]).alias(c)
-            for c in columns
-        ]
-    ).unpivot([], columns, "column", "__s")
-    return rows.select("column", "__s.*").unpivot(["column"], list(named), "statistic", "value")
+def _sketched(column: Column, probs: dict[str, float], accuracy: int) -> dict[str, Column]:
+    """Name -> estimated quantile; all share one sketch."""
+    found = F.percentile_approx(column, list(probs.values()), accuracy)
+    return {name: found.getItem(i) for i, name in enumerate(probs)}
+
+
+def _named_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float], out: str) -> DataFrame:
+    """(column, out, value) of exact quantiles under their names."""
+    names = F.coalesce(*[F.when(F.col("prob") == p, F.lit(name)) for name, p in probs.items()])
+    return exact_quantiles(df, columns, list(probs.values())).select("column", names.alias(out), "value")
 
 
 def numeric_summary(
@@ -128,19 +127,23 @@ def numeric_summary(
     passes of :func:`~wayfare.operators.quantiles.exact_quantiles`.
     """
     numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if not exact:
-        sketched = {
-            name: (lambda c, p=p: F.percentile_approx(c, p, accuracy)) for name, p in _QUARTILES.items()
-        }
-        return _long_statistics(numeric, columns, _MOMENTS | sketched)
-    moments = _long_statistics(numeric, columns, _MOMENTS)
-    name_of = reduce(
-        lambda acc, item: F.when(F.col("prob") == item[1], item[0]).otherwise(acc),
-        _QUARTILES.items(),
-        F.lit(None),
+
+    def measures(column: str) -> dict[str, Column]:
+        simple = {name: function(column).cast("double") for name, function in _MOMENTS.items()}
+        return simple if exact else simple | _sketched(F.col(column), _QUARTILES, accuracy)
+
+    packed = numeric.agg(
+        *[F.struct(*[m.alias(s) for s, m in measures(c).items()]).alias(c) for c in columns]
+    )
+    statistics = [*_MOMENTS] if exact else [*_MOMENTS, *_QUARTILES]
+    table = (
+        packed.unpivot([], columns, "column", "__s")
+        .select("column", "__s.*")
+        .unpivot(["column"], statistics, "statistic", "value")
     )
-    quartiles = exact_quantiles(numeric, columns, list(_QUARTILES.values()))
-    return moments.unionByName(quartiles.select("column", name_of.alias("statistic"), "value"))
+    if not exact:
+        return table
+    return table.unionByName(_named_quantiles(numeric, columns, _QUARTILES, "statistic"))
 
 
 _AUDIT_QUANTILES = {"median": 0.5, "p99_9": 0.999, "p99_99": 0.9999}
@@ -158,14 +161,13 @@ def target_audit(
         "above_cap": F.count_if(y > cap).cast("double"),
     }
     if not exact:
-        measures |= {m: F.percentile_approx(y, p, accuracy) for m, p in _AUDIT_QUANTILES.items()}
+        measures |= _sketched(y, _AUDIT_QUANTILES, accuracy)
     one_row = df.agg(*[c.alias(name) for name, c in measures.items()])
     table = one_row.unpivot([], list(measures), "measure", "value")
     if not exact:
         return table
-    tail = exact_quantiles(df, [target], list(_AUDIT_QUANTILES.values()))
-    named = [F.when(F.col("prob") == p, m) for m, p in _AUDIT_QUANTILES.items()]
-    return table.unionByName(tail.select(F.coalesce(*named).alias("measure"), "value"))
+    tail = _named_quantiles(df, [target], _AUDIT_QUANTILES, "measure")
+    return table.unionByName(tail.drop("column"))
 
 
 def clipped_histogram(

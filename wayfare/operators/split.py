@@ -54,6 +54,17 @@ def time_split(df: DataFrame, test_fraction: float) -> tuple[DataFrame, DataFram
     return split_at(df, split_date(day_counts(df), test_fraction).scalar())
 
 
+def resolved_split(df: DataFrame, test_fraction: float) -> tuple[DataFrame, DataFrame]:
+    """:func:`time_split` with the cutoff computed now, as a plain date.
+
+    For eager callers such as model fitting, which would otherwise recompute the cutoff
+    in every pass. One date travels to the driver; the filters become constants that
+    reach the scan.
+    """
+    cutoff = split_date(day_counts(df), test_fraction).first()["split_date"]
+    return split_at(df, F.lit(cutoff).cast("date"))
+
+
 def fixed_split(df: DataFrame, first_test_day: str) -> tuple[DataFrame, DataFrame]:
     return split_at(df, F.lit(first_test_day).cast("date"))
 

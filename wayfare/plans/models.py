@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfare.functions.sampling import cap_rows
 from wayfare.operators.cleaning import prepare_frame
 from wayfare.operators.evaluation import PREDICTION, regression_metrics
 from wayfare.operators.features import basic_features
-from wayfare.operators.split import time_split
+from wayfare.operators.split import resolved_split
 from wayfare.roles import Roles
 from wayfare.sources.schemas import columns
 
@@ -220,10 +221,18 @@ def train_and_score(
     target: str,
     features: list[str],
     test_fraction: float = 0.2,
+    max_rows: int | None = None,
+    keys: list[str] = (),
     **params: float,
 ) -> Trained:
-    """Features, time split, fit on the past, predictions for the held-out future."""
-    train, test = time_split(model_frame(df, roles, target), test_fraction)
+    """Features, time split, fit on the past, predictions for the held-out future.
+
+    ``max_rows`` thins the training part to about that many rows, chosen by the hash of
+    ``keys``; the hold-out is always scored whole.
+    """
+    train, test = resolved_split(model_frame(df, roles, target), test_fraction)
+    if max_rows is not None:
+        train = cap_rows(train, max_rows, *keys)
     model = fit(train, key, target, features, **params)
     return Trained(model, train, test, score(model, test))
 
@@ -232,7 +241,7 @@ def evaluate_saved(
     model: PipelineModel, df: DataFrame, roles: Roles, target: str, test_fraction: float = 0.2
 ) -> DataFrame:
     """Metrics of a loaded model on the hold-out rebuilt from ``df``."""
-    _, test = time_split(model_frame(df, roles, target), test_fraction)
+    _, test = resolved_split(model_frame(df, roles, target), test_fraction)
     return regression_metrics(score(model, test), target)
 
 
@@ -240,7 +249,7 @@ def ablation(
     df: DataFrame, roles: Roles, key: str, target: str, subsets: Mapping[str, list[str]], **params: float
 ) -> DataFrame:
     """(features, n_features, n, rmse, mae, r2): one fit per feature subset."""
-    train, test = time_split(model_frame(df, roles, target), 0.2)
+    train, test = resolved_split(model_frame(df, roles, target), 0.2)
     table = None
     for name, features in subsets.items():
         scored = score(fit(train, key, target, features, **params), test)

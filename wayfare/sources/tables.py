@@ -99,10 +99,12 @@ def sales(spark: SparkSession, folder: str, *need: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     if {"start_ts", "dest_id"} & set(need):
         orders = table(spark, folder, "orders")
+        if "dest_id" in need:
+            # Customers meet the orders, not the far more numerous lines, which then
+            # shuffle by order key only.
+            customer = table(spark, folder, "customer")
+            orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
         lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    if "dest_id" in need:
-        customer = table(spark, folder, "customer")
-        lines = lines.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
     if "origin_id" in need:
         supplier = table(spark, folder, "supplier")
         lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
