@@ -21,6 +21,7 @@ from wayfare.plans.models import (
     save_model,
     saved_models,
     score,
+    score_trips,
     train_and_score,
 )
 from wayfare.roles import TLC
@@ -136,6 +137,18 @@ def test_save_load_evaluate_compare(spark, priced):
     assert row["rmse"] == pytest.approx(0.0, abs=1e-6)
 
 
+def test_one_upcoming_trip(spark, priced):
+    trained = train_and_score(priced, TLC, "linear", "fare_amount", model_features(TLC))
+    moment = dt.datetime(2024, 5, 1, 8, 30)
+    trip = spark.createDataFrame(
+        [(moment, 50, 60, 10.0, 1.0, None)],
+        f"{TLC.start} timestamp_ntz, {TLC.origin} int, {TLC.dest} int, {TLC.distance} double, "
+        f"{TLC.party} double, {TLC.rate_code} double",
+    )
+    row = score_trips(trained.model, trip, TLC).first()
+    assert row["prediction"] == pytest.approx(28.0, abs=0.01)
+
+
 def test_ablation_compares_subsets(priced):
     subsets = {"one": ["trip_distance"], "raw": raw_features(TLC)}
     rows = {r["features"]: r for r in ablation(priced, TLC, "dtree", "fare_amount", subsets).collect()}

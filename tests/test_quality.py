@@ -55,12 +55,13 @@ def test_sanity_is_wider_than_cleaning(trips):
     assert (share["rows"], share["implausible"], share["pct"]) == (8, 1, 12.5)
 
 
-def test_duplicates_are_exact(spark):
+@pytest.mark.parametrize("compare_rows", [False, True])
+def test_duplicates_are_exact(spark, compare_rows):
     rows = [(1, "a", 0.0)] * 3 + [(1, "a", -0.0), (1, None, 0.0), (1, None, 0.0), (2, "b", 1.0)]
     df = spark.createDataFrame(rows, "id int, name string, x double").repartition(3)
-    assert tuple(duplicate_rows(df).first()) == (7, 3, 4)
-    assert tuple(duplicate_rows(df.filter("id = 2")).first()) == (1, 1, 0)
-    assert tuple(duplicate_rows(df.limit(0)).first()) == (0, 0, 0)
+    assert tuple(duplicate_rows(df, compare_rows).first()) == (7, 3, 4)
+    assert tuple(duplicate_rows(df.filter("id = 2"), compare_rows).first()) == (1, 1, 0)
+    assert tuple(duplicate_rows(df.limit(0), compare_rows).first()) == (0, 0, 0)
 
 
 def test_duplicate_estimate_is_close(spark):

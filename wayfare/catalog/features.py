@@ -62,9 +62,8 @@ _HISTORY = """, days AS (
 @query("features_basic", sql_with("rides", then=f" SELECT event_id, {_BASIC} FROM rides"), digits=9)
 def basics(spark, folder):
     needed = rides(spark, folder, "event_id", "start_ts", "origin_id", "dest_id", "distance")
-    # No role here needs the end of the ride, so its (costly) column is not built.
-    featured = basic_features(needed.withColumn("end_ts", F.col("start_ts")), RIDES)
-    return featured.drop("start_ts", "end_ts", "origin_id", "dest_id", "distance", "duration_min", START_DATE)
+    featured = basic_features(needed, RIDES)
+    return featured.drop("start_ts", "origin_id", "dest_id", "distance", START_DATE)
 
 
 @query(

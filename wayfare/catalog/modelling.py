@@ -30,10 +30,10 @@ from wayfare.plans.models import (
     fit,
     index_strings,
     load_model,
-    model_frame,
     save_model,
     saved_models,
     score,
+    score_trips,
     train_and_score,
 )
 from wayfare.sources.sinks import shared_folder
@@ -287,10 +287,10 @@ def importance(spark, folder):
     return feature_importance(trained.model, spark, model_features(SALES), top=12)
 
 
-@query("score_rows")
-def score_rows(spark, folder):
-    """Every held-out row with all its columns and the prediction."""
-    _, test = resolved_split(model_frame(clean_sales(spark, folder), SALES, "fare"), 0.2)
+@query("score_trips")
+def score_all_trips(spark, folder):
+    """Every sale, described only by what is known before it ends, with its predicted fare."""
     model = _full_fit(spark, folder, "dtree").model
-    scored = score(model, test)
-    return scored.select("order_key", "line_number", "fare", PREDICTION)
+    known = [SALES.start, SALES.origin, SALES.dest, SALES.distance, SALES.party, SALES.rate_code]
+    upcoming = sales(spark, folder, "order_key", "line_number", *known)
+    return score_trips(model, upcoming, SALES)

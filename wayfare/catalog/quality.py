@@ -84,6 +84,11 @@ _LINE_COLUMNS = """
 
 @query("duplicate_rows.full", _DUPLICATES.format(columns=_LINE_COLUMNS))
 def duplicate_full_lines(spark, folder):
+    return duplicate_rows(table(spark, folder, "lineitem"), compare_rows=True)
+
+
+@query("duplicate_rows.fingerprint", _DUPLICATES.format(columns=_LINE_COLUMNS))
+def duplicate_fingerprints(spark, folder):
     return duplicate_rows(table(spark, folder, "lineitem"))
 
 

@@ -29,11 +29,13 @@ class Rule(NamedTuple):
 
 
 def with_derived(df: DataFrame, roles: Roles) -> DataFrame:
-    """Add the duration in minutes and the start date, unless already there."""
-    wanted = {
-        DURATION: minutes_between(roles.start, roles.end),
-        START_DATE: F.to_date(roles.start),
-    }
+    """Add the duration in minutes and the start date, unless already there.
+
+    A trip still to be scored has no end column and gets no duration.
+    """
+    wanted = {START_DATE: F.to_date(roles.start)}
+    if roles.end in df.columns:
+        wanted[DURATION] = minutes_between(roles.start, roles.end)
     return df.withColumns({name: c for name, c in wanted.items() if name not in df.columns})
 
 

@@ -68,27 +68,29 @@ def implausible_share(df: DataFrame, target: str, maximum: float) -> DataFrame:
     return counted.withColumn("pct", percent_of(F.col("implausible"), F.col("rows")))
 
 
-def _row_hash(df: DataFrame) -> Column:
+def _row_hash(df: DataFrame, salt: int = 0) -> Column:
     """64-bit hash of a row; adding 0.0 folds -0.0 into 0.0 as grouping does."""
     fractional = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    return F.xxhash64(*[F.col(c) + F.lit(0.0) if c in fractional else F.col(c) for c in df.columns])
+    cells = [F.col(c) + F.lit(0.0) if c in fractional else F.col(c) for c in df.columns]
+    return F.xxhash64(F.lit(salt), *cells)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: rows, exact distinct rows, surplus copies.
+def duplicate_rows(df: DataFrame, compare_rows: bool = False) -> DataFrame:
+    """One row: rows, distinct rows, surplus copies, from one scan and one shuffle.
 
-    A first pass shuffles only an 8-byte hash per row (combined map-side, so a group of
-    copies however large arrives as one count per task). Whole rows move only where a
-    hash occurs twice, and those are compared in full, so collisions cannot miscount.
+    Rows are grouped by two independently salted 64-bit hashes, so 16 bytes per row move
+    instead of the row, and a group of copies however large is combined before it does.
+    Two given rows that differ share both hashes with probability 2^-128; pass
+    ``compare_rows`` to group by the full rows instead and rule even that out.
     """
-    hashed = df.withColumn("__h", _row_hash(df))
-    per_hash = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
-    repeated = per_hash.filter(F.col("__n") > 1).select("__h")
-    copies = hashed.join(repeated, "__h", "left_semi").groupBy(*df.columns).count()
-    surplus = copies.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
-    total = df.agg(F.count(F.lit(1)).alias("rows"))
-    return total.withColumn("duplicates", surplus.scalar()).select(
-        "rows", (F.col("rows") - F.col("duplicates")).alias("distinct_rows"), "duplicates"
+    if compare_rows:
+        copies = df.groupBy(*df.columns)
+    else:
+        copies = df.groupBy(_row_hash(df, 1).alias("__h1"), _row_hash(df, 2).alias("__h2"))
+    return copies.agg(F.count(F.lit(1)).alias("__n")).agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"),
+        F.count(F.lit(1)).alias("distinct_rows"),
+        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"),
     )
 
 
@@ -201,17 +203,10 @@ def categorical_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, distinct_values), NULL not counted.
 
-    Counting (column, value) groups first lets map-side combining absorb hot values.
+    Spark first groups by (column, value), so hot values are absorbed map-side.
     """
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    return (
-        text.unpivot([], columns, "column", "value")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .groupBy("column")
-        .agg(F.count("value").alias("distinct_values"))
-        .orderBy("column")
-    )
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in columns])
+    return counts.unpivot([], columns, "column", "distinct_values").orderBy("column")
 
 
 def classify_columns(df: DataFrame) -> dict[str, str]:

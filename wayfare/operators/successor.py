@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 def with_successor(
     df: DataFrame, key: str, ts: str, tiebreak: str, out: str, bucket_seconds: int = 3600
 ) -> DataFrame:
-    """Add ``out``: the key's next ``ts`` in (ts, tiebreak) order; NULL for its last row."""
+    """Add ``out``: the key's next ``ts`` in (ts, tiebreak) order.
+
+    NULL for a key's last row and for rows without a key, which follow nobody.
+    """
     bucket, following = "__bucket", "__following"
     bucketed = df.withColumn(bucket, F.floor(F.unix_timestamp(ts) / F.lit(bucket_seconds)))
     inside = Window.partitionBy(key, bucket).orderBy(ts, tiebreak)
@@ -29,6 +32,6 @@ def with_successor(
     return (
         bucketed.withColumn(out, F.lead(ts).over(inside))
         .join(next_first, [key, bucket], "left")
-        .withColumn(out, F.coalesce(out, following))
+        .withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce(out, following)))
         .drop(bucket, following)
     )

@@ -151,20 +151,34 @@ def model_frame(df: DataFrame, roles: Roles, target: str) -> DataFrame:
     return prepare_frame(basic_features(df, roles), roles, target)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rebalance cached rows when they sit in so few partitions that most cores idle.
+
+    A fit passes over its rows many times, so one shuffle of the narrow training columns
+    pays off; rows already in enough partitions stay where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() * 2 > cores:
+        return rows
+    return rows.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit(
     train: DataFrame, key: str, label: str, features: list[str], **params: float
 ) -> PipelineModel:
     """Assemble ``features`` and fit the registered model.
 
-    A NULL or NaN feature fails the fit instead of silently poisoning it. Fitting passes
-    over the rows many times, so the few columns it reads are kept on the executors, with
-    spilling; a lost block is recomputed from the source.
+    A NULL or NaN feature fails the fit instead of silently poisoning it. The few columns
+    the fit reads are kept on the executors, with spilling; a lost block is recomputed
+    from the source.
     """
     rows = train.select(*dict.fromkeys([*features, label])).persist(StorageLevel.MEMORY_AND_DISK)
+    spread = _spread(rows)
     try:
         assembler = VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="error")
-        return Pipeline(stages=[assembler, MODELS[key].build(label, **params)]).fit(rows)
+        return Pipeline(stages=[assembler, MODELS[key].build(label, **params)]).fit(spread)
     finally:
+        spread.unpersist()
         rows.unpersist()
 
 
@@ -173,6 +187,12 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).drop(FEATURES)
 
 
+def score_trips(model: PipelineModel, df: DataFrame, roles: Roles) -> DataFrame:
+    """Predictions for raw trips that have not ended: features as in training, then score."""
+    ready = basic_features(df, roles).fillna({roles.rate_code: 1.0})
+    return score(model, ready).select(*df.columns, PREDICTION)
+
+
 def index_strings(df: DataFrame, *columns: str) -> PipelineModel:
     """Fitted indexer ``<column>_idx``: 0 for the most frequent value, ties by value.
 
