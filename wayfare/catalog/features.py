@@ -26,6 +26,7 @@ from wayfare.plans.features import (
     signal_airport,
     signal_by_hour,
     signal_by_weekday,
+    stored_history,
 )
 from wayfare.roles import START_DATE
 from wayfare.sources.tables import RIDES, SALES, rides, sales
@@ -128,8 +129,7 @@ def last_seven_calendar(spark, folder):
 )
 def history_joined(spark, folder):
     facts = derived_rides(spark, folder, "event_id", "origin_id", "start_ts", "end_ts")
-    history = zone_history(zone_days(facts, RIDES), RIDES)
-    return join_history(facts, history, RIDES).select("event_id", *HISTORY)
+    return join_history(facts, stored_history(facts, RIDES), RIDES).select("event_id", *HISTORY)
 
 
 # Splits
@@ -212,7 +212,7 @@ def _parts(train, test):
 @query("impute_train_mean", _IMPUTED_SQL)
 def imputed(spark, folder):
     facts = derived_rides(spark, folder, "event_id", "origin_id", "start_ts", "end_ts")
-    joined = join_history(facts, zone_history(zone_days(facts, RIDES), RIDES), RIDES)
+    joined = join_history(facts, stored_history(facts, RIDES), RIDES)
     return _parts(*impute_from_train(*time_split(joined, TEST_FRACTION), HISTORY))
 
 

@@ -123,13 +123,13 @@ def _statistics(column: str) -> str:
 )
 def summary_exact(spark, folder):
     facts = derived_rides(spark, folder, "start_ts", "end_ts", *_NUMERIC[:-1])
-    return numeric_summary(facts, _NUMERIC, exact=True)
+    return numeric_summary(facts, _NUMERIC)
 
 
 @query("numeric_summary_approx")
 def summary_sketched(spark, folder):
     facts = derived_rides(spark, folder, "start_ts", "end_ts", *_NUMERIC[:-1])
-    return numeric_summary(facts, _NUMERIC)
+    return numeric_summary(facts, _NUMERIC, exact=False)
 
 
 _AUDIT = {
@@ -152,12 +152,12 @@ _AUDIT = {
     ),
 )
 def audit_exact(spark, folder):
-    return target_audit(sales(spark, folder, "fare"), "fare", SALES_LIMITS.fare_max, exact=True)
+    return target_audit(sales(spark, folder, "fare"), "fare", SALES_LIMITS.fare_max)
 
 
 @query("target_audit_approx")
 def audit_sketched(spark, folder):
-    return target_audit(sales(spark, folder, "fare"), "fare", SALES_LIMITS.fare_max)
+    return target_audit(sales(spark, folder, "fare"), "fare", SALES_LIMITS.fare_max, exact=False)
 
 
 # Ranges the three histograms are clipped to.

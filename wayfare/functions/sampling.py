@@ -6,6 +6,8 @@ does not promise once partitions change.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +26,31 @@ def hash_sample(df: DataFrame, fraction: float, *keys: str) -> DataFrame:
     return df.filter(unit_hash(*keys) < F.lit(fraction))
 
 
+def _row_count(df: DataFrame) -> Column:
+    return df.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+
+
 def first_by_hash(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """``rows`` pseudo-random rows; Spark keeps a per-task top-k, not a full sort."""
-    return df.orderBy(key_digest(*keys), *keys).limit(rows)
+    """``rows`` pseudo-random rows: those with the smallest key digests.
+
+    Hashes are even, so a threshold ten standard deviations above the wanted share keeps
+    just over ``rows`` rows; without it every task would send its own ``rows`` smallest to
+    the one task that merges them.
+    """
+    enough = F.lit(rows + 10 * math.sqrt(rows) + 10) / _row_count(df.select(*keys))
+    likely = df.filter(unit_hash(*keys) <= F.least(F.lit(1.0), enough))
+    return likely.orderBy(key_digest(*keys), *keys).limit(rows)
 
 
 def sampled_projection(
     df: DataFrame, columns: list[str], keys: list[str], fraction: float, cap: int
 ) -> DataFrame:
     """A plotting sample: ``fraction`` of the rows, never more than ``cap`` of them."""
-    picked = hash_sample(df.select(*dict.fromkeys([*keys, *columns])), fraction, *keys)
-    return first_by_hash(picked, cap, *keys)
+    wanted = df.select(*dict.fromkeys([*keys, *columns]))
+    return first_by_hash(hash_sample(wanted, fraction, *keys), cap, *keys)
 
 
 def cap_rows(df: DataFrame, cap: int, *keys: str) -> DataFrame:
     """Thin the frame to about ``cap`` rows when it holds more; otherwise keep all."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.filter(unit_hash(*keys) < F.least(F.lit(1.0), F.lit(float(cap)) / total))
+    share = F.lit(float(cap)) / _row_count(df)
+    return df.filter(unit_hash(*keys) < F.least(F.lit(1.0), share))

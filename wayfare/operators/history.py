@@ -44,9 +44,9 @@ def zone_history(days: DataFrame, roles: Roles, calendar: bool = False) -> DataF
 def join_history(df: DataFrame, history: DataFrame, roles: Roles) -> DataFrame:
     """Facts left-joined to their location-day history.
 
-    The history side has one row per location and day, so the join cannot multiply rows;
-    Spark broadcasts it while it is small, and adaptive execution splits the partitions of
-    a hot location-day when it is not.
+    The history side has one row per location and day, so the join cannot multiply rows.
+    Where it is too large to broadcast, adaptive execution splits the partition of a hot
+    location-day.
     """
     keys = [roles.origin, START_DATE]
     return df.join(history.select(*keys, *HISTORY), keys, "left")

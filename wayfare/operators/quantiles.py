@@ -5,7 +5,7 @@ The built-in exact ``percentile`` holds every distinct value in one reducer and
 bins (bounded partial aggregates), finds the bin holding each wanted rank, and narrows
 to the values in it; the last level counts the few values left one by one. Narrowing to
 the smallest and largest value actually present makes the first level shed outliers, so
-the others still split the bulk 4096 x 4096 ways.
+the others still split the bulk a million ways.
 """
 
 from __future__ import annotations
@@ -13,29 +13,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CELL = ["column", "n", "lo", "hi", "below", "ranks"]
-
-
-def _running(counts: DataFrame, order: str) -> DataFrame:
-    """Keep the groups that hold a wanted rank; ``below`` counts the rows before them."""
-    ahead = Window.partitionBy(*_CELL).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("below") + F.coalesce(F.sum("rows").over(ahead), F.lit(0))
-    found = F.filter("ranks", lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("rows")))
-    return (
-        counts.withColumn("first", first)
-        .withColumn("found", found)
-        .filter(F.size("found") > 0)
-    )
+# A searched cell: the values of a column between lo and hi, of which ``below`` precede.
+_CELL = ["column", "n", "lo", "hi", "below"]
 
 
 def _ranks(n: Column, probs: list[float]) -> Column:
-    at = [p * (n - 1) for p in map(F.lit, probs)]
+    """The 0-based ranks on either side of each quantile's position."""
+    at = [F.lit(p) * (n - 1) for p in probs]
     wanted = [edge(x).cast("bigint") for x in at for edge in (F.floor, F.ceil)]
     return F.sort_array(F.array_distinct(F.array(*wanted)))
 
 
+def _holding_a_rank(counts: DataFrame, order: str, probs: list[float]) -> DataFrame:
+    """The groups holding a wanted rank, with ``first``, the rank of their first row."""
+    ahead = Window.partitionBy(*_CELL).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("below") + F.coalesce(F.sum("rows").over(ahead), F.lit(0))
+    inside = F.filter(
+        _ranks(F.col("n"), probs),
+        lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("rows")),
+    )
+    return counts.withColumn("first", first).withColumn("held", inside).filter(F.size("held") > 0)
+
+
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], bins: int = 4096, levels: int = 3
+    df: DataFrame, columns: list[str], probs: list[float], bins: int = 1024, levels: int = 3
 ) -> DataFrame:
     """(column, prob, value) with linear interpolation between neighbouring ranks."""
     values = (
@@ -46,7 +47,7 @@ def exact_quantiles(
     cells = values.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
-    cells = cells.withColumns({"below": F.lit(0).cast("bigint"), "ranks": _ranks(F.col("n"), probs)})
+    cells = cells.withColumn("below", F.lit(0).cast("bigint"))
 
     position = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     one_value = F.col("hi") == F.col("lo")
@@ -61,18 +62,17 @@ def exact_quantiles(
                 F.max("value").alias("bin_hi"),
             )
         )
-        cells = _running(counts, "bin").select(
+        cells = _holding_a_rank(counts, "bin", probs).select(
             "column",
             "n",
             F.col("bin_lo").alias("lo"),
             F.col("bin_hi").alias("hi"),
             F.col("first").alias("below"),
-            F.col("found").alias("ranks"),
         )
 
     counts = _within(values, cells).groupBy(*_CELL, "value").agg(F.count(F.lit(1)).alias("rows"))
-    picked = _running(counts, "value").select("column", "n", "value", F.explode("found").alias("rank"))
-    by_rank = picked.groupBy("column", "n").agg(
+    held = _holding_a_rank(counts, "value", probs).select("column", "n", "value", F.explode("held").alias("rank"))
+    by_rank = held.groupBy("column", "n").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")  # <= 2 per prob
     )
     spread = by_rank.withColumn("prob", F.explode(F.array(*map(F.lit, probs))))

@@ -15,6 +15,7 @@ from wayfare.operators.features import CALENDAR, CYCLIC, FLAGS, basic_features
 from wayfare.operators.history import HISTORY, join_history, zone_days, zone_history
 from wayfare.operators.split import fill_with, is_test, is_train, split_at, split_date
 from wayfare.roles import DURATION, START_DATE, Roles
+from wayfare.sources.sinks import stored
 
 # Fixed value: share of the rows held out as the future.
 TEST_FRACTION = 0.2
@@ -35,10 +36,19 @@ def processed_columns(roles: Roles) -> list[str]:
     return [*feature_columns(roles), *target_columns(roles), START_DATE]
 
 
+def stored_history(rows: DataFrame, roles: Roles, calendar: bool = False) -> DataFrame:
+    """The (location, day) history, computed now and kept as a small table.
+
+    Joining it lazily would plan a shuffle of all facts, since Spark cannot foresee how
+    small the aggregate is; its stored size decides between broadcast and shuffle.
+    """
+    return stored(zone_history(zone_days(rows, roles), roles, calendar), "zone-history")
+
+
 def engineer(df: DataFrame, roles: Roles, calendar: bool = False) -> DataFrame:
     """Row features plus the location's past days."""
     rows = basic_features(df, roles)
-    return join_history(rows, zone_history(zone_days(rows, roles), roles, calendar), roles)
+    return join_history(rows, stored_history(rows, roles, calendar), roles)
 
 
 class Features(NamedTuple):
@@ -50,13 +60,13 @@ class Features(NamedTuple):
 def build_features(df: DataFrame, roles: Roles, test_fraction: float = TEST_FRACTION) -> Features:
     """Train and test sets with filled history, and a one-row report.
 
-    The cutoff, the fill means and both row counts are computed from the (location, day)
-    aggregate: the mean history over training rows equals the day values weighted by each
-    day's rows. The facts are therefore aggregated once and joined once, rather than
-    rescanned for every statistic.
+    The cutoff, the fill means and both row counts are computed from the stored
+    (location, day) table: the mean history over training rows equals the day values
+    weighted by each day's rows. The facts are therefore aggregated once and joined once,
+    rather than rescanned for every statistic.
     """
     rows = basic_features(df, roles)
-    history = zone_history(zone_days(rows, roles), roles)
+    history = stored_history(rows, roles)
     cutoff = split_date(_days(history), test_fraction)
     means = _train_means(history, cutoff, roles)
     train, test = split_at(join_history(rows, history, roles), cutoff.scalar())

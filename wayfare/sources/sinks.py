@@ -30,3 +30,16 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     per value, while adaptive execution still splits a value too big for one task.
     """
     df.hint("rebalance", F.col(by)).write.mode("overwrite").partitionBy(by).parquet(path)
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a pre-aggregated result to the shared folder and read it back.
+
+    Spark then knows its true size when it plans a join (an aggregate of a huge table is
+    otherwise taken for huge, and the facts are shuffled to meet a few megabytes), and
+    nothing that uses it recomputes it, also after an executor is lost.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
