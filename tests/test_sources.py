@@ -1,4 +1,6 @@
 import datetime as dt
+import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,14 @@ from wayfare.functions.labels import rate_code_label
 from wayfare.functions.sampling import cap_rows, hash_sample, sampled_projection
 from wayfare.operators.coverage import coverage_summary, period_gaps, periods_present
 from wayfare.operators.locations import in_service_zones, outside_unknown, with_zone_label
-from wayfare.sources.monthly import file_stats, load_months, load_stats
+from wayfare.sources.monthly import (
+    file_stats,
+    load_folder,
+    load_months,
+    load_stats,
+    month_range,
+    monthly_files,
+)
 from wayfare.sources.schemas import (
     TRIPS,
     TRIPS_FOR_MODEL,
@@ -78,6 +87,25 @@ def test_nothing_to_load(spark, tmp_path):
     assert load_status(None, TRIPS) == "empty"
 
 
+def test_folder_of_monthly_files(spark, vintages, tmp_path):
+    for month in ("2023-01", "2023-02", "2025-01"):
+        part = next(Path(vintages[month]).glob("part-*.parquet"))
+        shutil.copy(part, tmp_path / f"trips_{month}.parquet")
+    (tmp_path / "notes.parquet").write_bytes(b"no month in this name")
+    folder = str(tmp_path)
+    everything = load_folder(spark, folder, schema=TRIPS)
+    assert (everything.df.count(), everything.present) == (6, ["2023-01", "2023-02", "2025-01"])
+    some = load_folder(spark, folder, month_range("2023-02", "2023-04"), schema=TRIPS)
+    assert (some.df.count(), some.present, some.missing) == (2, ["2023-02"], ["2023-03", "2023-04"])
+    files = monthly_files(spark, folder)
+    assert files.agg(F.sum("bytes")).first()[0] == sum(f.stat().st_size for f in tmp_path.glob("trips_*"))
+    gaps = period_gaps(periods_present(files, "month"))
+    assert gaps.count() == 22
+    assert month_range("2023-11", "2024-02") == ["2023-11", "2023-12", "2024-01", "2024-02"]
+    with pytest.raises(ValueError, match="after"):
+        month_range("2024-02", "2024-01")
+
+
 def test_schema_checks_ignore_case(spark, vintages):
     newest = spark.read.parquet(vintages["2025-01"])
     assert missing_columns(newest, TRIPS) == []

@@ -63,8 +63,11 @@ def zone_rule(roles: Roles) -> Rule:
 
 
 def year_rule(limits: Limits) -> Rule:
-    year = F.year(START_DATE)
-    return Rule("invalid_pickup_date", (year >= limits.year_min) & (year <= limits.year_ceiling()))
+    """Years as a date range, which reaches the scan where ``year(...)`` would not."""
+    first = F.make_date(F.lit(limits.year_min), F.lit(1), F.lit(1))
+    after = F.make_date(limits.year_ceiling() + 1, F.lit(1), F.lit(1))
+    date = F.col(START_DATE)
+    return Rule("invalid_pickup_date", (date >= first) & (date < after))
 
 
 def date_window_rule(first: str, last: str) -> Rule:

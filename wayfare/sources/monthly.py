@@ -57,6 +57,46 @@ def load_months(
     return Loaded(union_by_name(fixed), present, missing)
 
 
+def monthly_files(
+    spark: SparkSession, folder: str, name: str = r"(\d{4}-\d{2})\.parquet$"
+) -> DataFrame:
+    """(month, path, bytes) of the files whose name carries their month; nothing is read."""
+    listed = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.parquet")
+        .load(folder)
+        .select("path", F.regexp_extract("path", name, 1).alias("found"), F.col("length").alias("bytes"))
+        .filter(F.col("found") != "")
+    )
+    month = F.to_date(F.concat(F.col("found"), F.lit("-01")))
+    return listed.select(month.alias("month"), "path", "bytes")
+
+
+def month_range(first: str, last: str) -> list[str]:
+    """Every month from ``first`` to ``last``, both "YYYY-MM" and inclusive."""
+    if first > last:
+        raise ValueError(f"{first} is after {last}")
+    (y1, m1), (y2, m2) = (map(int, month.split("-")) for month in (first, last))
+    return [f"{n // 12}-{n % 12 + 1:02d}" for n in range(y1 * 12 + m1 - 1, y2 * 12 + m2)]
+
+
+def load_folder(
+    spark: SparkSession,
+    folder: str,
+    months: list[str] | None = None,
+    schema: T.StructType | None = None,
+    money: list[str] = (),
+) -> Loaded:
+    """:func:`load_months` over a folder of monthly files; all of them by default.
+
+    Only the listing, one row per monthly file, comes to the driver.
+    """
+    found = {f"{r['month']:%Y-%m}": r["path"] for r in monthly_files(spark, folder).collect()}
+    wanted = sorted(set(months)) if months is not None else sorted(found)
+    loaded = load_months(spark, {m: found[m] for m in wanted if m in found}, schema, money)
+    return loaded._replace(missing=[*loaded.missing, *[m for m in wanted if m not in found]])
+
+
 def load_stats(df: DataFrame, start: str) -> DataFrame:
     """One row: records, columns, first and last date, months present."""
     return (
