@@ -67,7 +67,8 @@ def test_top_locations_break_ties_by_id_and_skip_unknown(trips, zones):
 
 
 def test_hotspots_keep_zones_without_dropoffs(trips, zones):
-    df = trips({"PULocationID": 50, "DOLocationID": 60}, {"PULocationID": 50, "DOLocationID": 60}, {"PULocationID": 60, "DOLocationID": 132})
+    ends = [(50, 60), (50, 60), (60, 132)]
+    df = trips(*[{"PULocationID": o, "DOLocationID": d} for o, d in ends])
     assert frame("geo.hotspot_compare", df, zones) == [
         ("Clinton West (Manhattan)", 2, 0),
         ("Crotona Park (Bronx)", 1, 2),
@@ -85,7 +86,7 @@ def test_distributions(trips):
 
 
 def test_speed_ignores_trips_without_duration(trips):
-    df = trips({"trip_distance": 10.0, "minutes": 60}, {"trip_distance": 10.0, "minutes": 30}, {"minutes": 0}, {"minutes": -1})
+    df = trips(*[{"trip_distance": 10.0, "minutes": m} for m in (60, 30, 0, -1)])
     assert metrics("trip.avg_speed", df) == {"avg_speed": 15.0}
 
 

@@ -53,7 +53,8 @@ def test_regimes(trips, moment, rush, weekend):
 
 
 def test_row_features(trips):
-    row = basic_features(trips({"tpep_pickup_datetime": dt.datetime(2024, 1, 8, 6), "trip_distance": math.e - 1}), TLC).first()
+    trip = {"tpep_pickup_datetime": dt.datetime(2024, 1, 8, 6), "trip_distance": math.e - 1}
+    row = basic_features(trips(trip), TLC).first()
     assert (row["pickup_hour"], row["pickup_dayofweek"], row["pickup_month"]) == (6, 2, 1)
     assert row["log_distance"] == pytest.approx(1.0)
     assert (row["hour_sin"], row["hour_cos"]) == (pytest.approx(1.0), pytest.approx(0.0, abs=1e-12))

@@ -71,7 +71,12 @@ def test_linear_finds_the_line(spark, priced):
 
 @pytest.mark.parametrize(
     ("key", "params"),
-    [("dtree", {}), ("rforest", {"numTrees": 5}), ("gbt", {"maxIter": 3}), ("boosted", {"n_estimators": 10, "max_depth": 3})],
+    [
+        ("dtree", {}),
+        ("rforest", {"numTrees": 5}),
+        ("gbt", {"maxIter": 3}),
+        ("boosted", {"n_estimators": 10, "max_depth": 3}),
+    ],
 )
 def test_trees_learn_distance(spark, priced, key, params):
     features = model_features(TLC)

@@ -62,6 +62,8 @@ def test_duplicates_are_exact(spark, compare_rows):
     assert tuple(duplicate_rows(df, compare_rows).first()) == (7, 3, 4)
     assert tuple(duplicate_rows(df.filter("id = 2"), compare_rows).first()) == (1, 1, 0)
     assert tuple(duplicate_rows(df.limit(0), compare_rows).first()) == (0, 0, 0)
+    swapped = spark.createDataFrame([(1, None), (None, 1), (None, None)], "a int, b int")
+    assert tuple(duplicate_rows(swapped, compare_rows).first()) == (3, 3, 0)
 
 
 def test_duplicate_estimate_is_close(spark):

@@ -137,7 +137,8 @@ def test_conform_types_the_missing(spark):
 
 
 def test_stats(spark, trips, vintages):
-    dated = trips({"tpep_pickup_datetime": dt.datetime(2024, 1, 31, 23)}, {"tpep_pickup_datetime": dt.datetime(2024, 3, 1)})
+    moments = (dt.datetime(2024, 1, 31, 23), dt.datetime(2024, 3, 1))
+    dated = trips(*[{"tpep_pickup_datetime": m} for m in moments])
     row = load_stats(dated, "tpep_pickup_datetime").first()
     assert (row["n_records"], row["n_columns"], row["n_months"]) == (2, 19, 2)
     assert (row["first_date"], row["last_date"]) == (dt.date(2024, 1, 31), dt.date(2024, 3, 1))
@@ -148,7 +149,8 @@ def test_stats(spark, trips, vintages):
 
 def test_gaps(spark):
     days = ["2023-11-30", "2024-01-01", "2024-01-31", "2024-04-02"]
-    df = spark.createDataFrame([(d, 1) for d in days] + [("2024-02-10", 2)], "d string, k int").withColumn("ts", F.col("d").cast("timestamp_ntz"))
+    df = spark.createDataFrame([(d, 1) for d in days] + [("2024-02-10", 2)], "d string, k int")
+    df = df.withColumn("ts", F.col("d").cast("timestamp_ntz"))
     months = periods_present(df.filter("k = 1"), "ts")
     assert sorted(str(d) for d in column(period_gaps(months), "period")) == ["2023-12-01", "2024-02-01", "2024-03-01"]
     row = coverage_summary(months).first()
@@ -160,7 +162,12 @@ def test_gaps(spark):
 
 def test_zone_file_and_labels(spark, tmp_path):
     path = tmp_path / "zones.csv"
-    path.write_text('"LocationID","Borough","Zone","service_zone"\n1,"EWR","Newark Airport","EWR"\n132,"Queens","JFK Airport","Airports"\n264,"Unknown","NV","N/A"\n')
+    path.write_text(
+        '"LocationID","Borough","Zone","service_zone"\n'
+        '1,"EWR","Newark Airport","EWR"\n'
+        '132,"Queens","JFK Airport","Airports"\n'
+        '264,"Unknown","NV","N/A"\n'
+    )
     zones = read_zones(spark, str(path))
     assert zones.count() == 3
     df = spark.createDataFrame([(1,), (132,), (264,), (9,), (None,)], "id int")

@@ -26,7 +26,8 @@ def test_equals_one_big_lead_even_for_a_hot_key(spark):
 
 
 def test_times_before_1970_and_last_rows(spark):
-    rows = [(1, 1, dt.datetime(1969, 12, 31, 23, 59)), (2, 1, dt.datetime(1970, 1, 1, 0, 1)), (3, 2, dt.datetime(1970, 1, 1))]
+    rows = [(1, 1, dt.datetime(1969, 12, 31, 23, 59)), (2, 1, dt.datetime(1970, 1, 1, 0, 1))]
+    rows += [(3, 2, dt.datetime(1970, 1, 1))]
     rows += [(4, None, dt.datetime(1970, 1, 1)), (5, None, dt.datetime(1970, 1, 1, 0, 0, 9))]
     df = spark.createDataFrame(rows, "id long, user long, ts timestamp_ntz")
     found = with_successor(df, "user", "ts", "id", "n").orderBy("id").collect()

@@ -44,7 +44,9 @@ def derived_sales(spark, folder, *need):
     sql_with(
         "rides",
         "rides_d",
-        then=" SELECT event_id, round(duration_min, 6) AS duration_min, CAST(start_date AS VARCHAR) AS start_date FROM rides_d",
+        then="""
+        SELECT event_id, round(duration_min, 6) AS duration_min, CAST(start_date AS VARCHAR) AS start_date
+        FROM rides_d""",
     ),
 )
 def derive_duration(spark, folder):

@@ -69,9 +69,17 @@ def implausible_share(df: DataFrame, target: str, maximum: float) -> DataFrame:
 
 
 def _row_hash(df: DataFrame, salt: int = 0) -> Column:
-    """64-bit hash of a row; adding 0.0 folds -0.0 into 0.0 as grouping does."""
-    fractional = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    cells = [F.col(c) + F.lit(0.0) if c in fractional else F.col(c) for c in df.columns]
+    """64-bit hash under which rows that group together are equal.
+
+    Spark's hash skips NULLs, so (1, NULL) and (NULL, 1) would collide; a NULL flag per
+    column tells them apart. Adding 0.0 folds -0.0 into 0.0 as grouping does.
+    """
+    cells = []
+    for field in df.schema:
+        cell = F.col(field.name)
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            cell = cell + F.lit(0.0)
+        cells += [cell.isNull(), cell]
     return F.xxhash64(F.lit(salt), *cells)
 
 

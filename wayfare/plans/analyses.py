@@ -72,6 +72,7 @@ FAMILIES = {
 
 
 def _total(column: str) -> Column:
+    """Sum of a column, 0 over no rows."""
     return F.coalesce(F.sum(column), F.lit(0))
 
 
@@ -105,8 +106,9 @@ def trips_by_month(df: DataFrame, roles: Roles) -> Result:
 @analysis("demand.over_time", "Trips over time", "start")
 def trips_over_time(df: DataFrame, roles: Roles) -> Result:
     frame = group_by(df, F.to_date(roles.start), "period", trips=row_count())
-    metrics = summary(frame, total_trips=_total("trips"), days_covered=row_count(), busiest_day=peak("period", "trips"))
-    return Result(frame, metrics)
+    busiest = peak("period", "trips")
+    covered = row_count()
+    return Result(frame, summary(frame, total_trips=_total("trips"), days_covered=covered, busiest_day=busiest))
 
 
 # Geographic
@@ -194,21 +196,21 @@ def total_revenue(df: DataFrame, roles: Roles) -> Result:
 @analysis("rev.by_hour", "Revenue by hour", "start", "total")
 def revenue_by_hour(df: DataFrame, roles: Roles) -> Result:
     frame = group_by(df, F.hour(roles.start), "hour", revenue=F.sum(roles.total))
-    return Result(frame, summary(frame, total_revenue=F.sum("revenue")))
+    return Result(frame, summary(frame, total_revenue=_total("revenue")))
 
 
 @analysis("rev.by_weekday", "Revenue by weekday", "start", "total")
 def revenue_by_weekday(df: DataFrame, roles: Roles) -> Result:
     days = group_by(df, F.dayofweek(roles.start), "day", revenue=F.sum(roles.total))
     frame = relabel(days, "day", weekday_name(F.col("day")), "weekday")
-    return Result(frame, summary(days, total_revenue=F.sum("revenue")))
+    return Result(frame, summary(days, total_revenue=_total("revenue")))
 
 
 @analysis("rev.by_month", "Revenue by month", "start", "total")
 def revenue_by_month(df: DataFrame, roles: Roles) -> Result:
     months = group_by(df, F.month(roles.start), "m", revenue=F.sum(roles.total))
     frame = relabel(months, "m", month_name(F.col("m")), "month")
-    return Result(frame, summary(months, total_revenue=F.sum("revenue")))
+    return Result(frame, summary(months, total_revenue=_total("revenue")))
 
 
 @analysis("rev.avg_fare", "Average fare", "fare")
@@ -275,10 +277,11 @@ def special_dropoffs(df: DataFrame, roles: Roles) -> Result:
 @analysis("air.revenue", "Airport revenue", "origin", "dest", "total")
 def special_revenue(df: DataFrame, roles: Roles) -> Result:
     """A trip between two airports is credited to its origin only."""
-    credited = F.when(roles.is_special(roles.origin), F.col(roles.origin)).otherwise(F.col(roles.dest))
+    origin, dest = F.col(roles.origin), F.col(roles.dest)
+    credited = F.when(roles.is_special(roles.origin), origin).otherwise(dest)
     touching = df.filter(roles.touches_special())
     frame = group_by(touching, _code(credited, roles), "airport", revenue=F.sum(roles.total))
-    return Result(frame, summary(frame, total_airport_revenue=F.sum("revenue")))
+    return Result(frame, summary(frame, total_airport_revenue=_total("revenue")))
 
 
 @analysis("air.trends", "Airport traffic over time", "start", "origin", "dest")
