@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import GOOD, column
 from wayfare.operators.cleaning import (
+    cleaning_report,
     cleaning_summary,
     date_window_rules,
     drop_column_and_nulls,
@@ -89,6 +90,7 @@ def test_failures_count_false_or_null_and_overlap(trips):
     }
     summary = cleaning_summary(df, rules).first().asDict()
     assert summary == {"n_input": 4, "n_output": 1, "n_removed": 3, "pct_removed": 75.0, "pct_kept": 25.0}
+    assert cleaning_report(df, rules).first().asDict() == summary | counts
 
 
 def test_summary_of_nothing(trips):

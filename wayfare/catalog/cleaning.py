@@ -8,6 +8,7 @@ from wayfare.catalog.registry import RIDES_KEEP, SALES_KEEP, query, sql_with
 from wayfare.functions.labels import rate_code_label
 from wayfare.functions.sampling import cap_rows, sampled_projection
 from wayfare.operators.cleaning import (
+    cleaning_report,
     cleaning_summary,
     date_window_rules,
     drop_column_and_nulls,
@@ -126,8 +127,19 @@ def summary_sales(spark, folder):
     return cleaning_summary(derived_sales(spark, folder), standard_rules(SALES, SALES_LIMITS))
 
 
-def _failures(rule: str, keep: str) -> str:
-    return f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE ({keep}) IS NOT TRUE) AS rows FROM rides_d"
+# rule name -> the condition a kept row meets
+_RIDE_RULES = {
+    "fare_out_of_range": "fare BETWEEN 2.5 AND 250",
+    "distance_out_of_range": "distance > 0 AND distance < 100",
+    "passengers_missing_or_zero": "party > 0",
+    "duration_out_of_range": "duration_min BETWEEN 1 AND 180",
+    "unknown_zone": "origin_id NOT IN (23, 24) AND dest_id NOT IN (23, 24)",
+    "invalid_pickup_date": "year(start_date) BETWEEN 2009 AND 2027",
+}
+
+
+def _failing(keep: str) -> str:
+    return f"count(*) FILTER (WHERE ({keep}) IS NOT TRUE)"
 
 
 @query(
@@ -137,14 +149,7 @@ def _failures(rule: str, keep: str) -> str:
         "rides_d",
         then=" "
         + " UNION ALL ".join(
-            [
-                _failures("fare_out_of_range", "fare BETWEEN 2.5 AND 250"),
-                _failures("distance_out_of_range", "distance > 0 AND distance < 100"),
-                _failures("passengers_missing_or_zero", "party > 0"),
-                _failures("duration_out_of_range", "duration_min BETWEEN 1 AND 180"),
-                _failures("unknown_zone", "origin_id NOT IN (23, 24) AND dest_id NOT IN (23, 24)"),
-                _failures("invalid_pickup_date", "year(start_date) BETWEEN 2009 AND 2027"),
-            ]
+            f"SELECT '{rule}' AS rule, {_failing(keep)} AS rows FROM rides_d" for rule, keep in _RIDE_RULES.items()
         ),
     ),
 )
@@ -152,6 +157,23 @@ def breakdown(spark, folder):
     return rule_failures(derived_rides(spark, folder), standard_rules(RIDES, RIDES_LIMITS))
 
 
+_FAILING_COLUMNS = ", ".join(f"{_failing(keep)} AS {rule}" for rule, keep in _RIDE_RULES.items())
+
+
+@query(
+    "clean_report",
+    sql_with(
+        "rides",
+        "rides_d",
+        then=f"""
+        SELECT * FROM ({_SUMMARY.format(keep=RIDES_KEEP, view="rides_d")}),
+                      (SELECT {_FAILING_COLUMNS} FROM rides_d)""",
+    ),
+)
+def report(spark, folder):
+    return cleaning_report(derived_rides(spark, folder), standard_rules(RIDES, RIDES_LIMITS))
+
+
 @query(
     "dropna_any",
     sql_with(

@@ -105,12 +105,16 @@ def keep_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.filter(keeps_all(rules))
 
 
-def cleaning_summary(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row: rows in, out and removed with percentages; a single scan."""
-    counted = df.agg(
-        F.count(F.lit(1)).alias("n_input"),
-        F.count_if(keeps_all(rules)).alias("n_output"),
-    )
+def _counts(rules: list[Rule]) -> list[Column]:
+    kept = F.count_if(keeps_all(rules))
+    return [F.count(F.lit(1)).alias("n_input"), kept.alias("n_output")]
+
+
+def _failures(rules: list[Rule]) -> list[Column]:
+    return [F.count_if(rule.fails).alias(rule.name) for rule in rules]
+
+
+def _with_shares(counted: DataFrame, *more: str) -> DataFrame:
     removed = F.col("n_input") - F.col("n_output")
     share = F.when(F.col("n_input") > 0, removed / F.col("n_input") * 100.0).otherwise(0.0)
     return counted.select(
@@ -119,12 +123,23 @@ def cleaning_summary(df: DataFrame, rules: list[Rule]) -> DataFrame:
         removed.alias("n_removed"),
         share.alias("pct_removed"),
         (100.0 - share).alias("pct_kept"),
+        *more,
     )
 
 
+def cleaning_summary(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row: rows in, out and removed with percentages; a single scan."""
+    return _with_shares(df.agg(*_counts(rules)))
+
+
+def cleaning_report(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The summary plus one column of failing rows per rule, still in a single scan."""
+    return _with_shares(df.agg(*_counts(rules), *_failures(rules)), *[rule.name for rule in rules])
+
+
 def rule_failures(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule, rows) with the rows failing each rule; a row may fail several."""
-    counts = df.agg(*[F.count_if(rule.fails).alias(rule.name) for rule in rules])
+    counts = df.agg(*_failures(rules))
     return counts.unpivot([], [rule.name for rule in rules], "rule", "rows").orderBy("rule")
 
 
