@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -14,7 +15,7 @@ def check(spark, columns, probs=PROBS, **options):
     df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
     got = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, names, probs, **options).collect()}
     for name, values in columns.items():
-        present = [v for v in values if v is not None]
+        present = [v for v in values if v is not None and not math.isnan(v)]
         for p in probs:
             if not present:
                 assert (name, p) not in got
@@ -32,6 +33,7 @@ def test_matches_numpy_on_skewed_columns(spark):
             "hot": [3.0 if rng.random() < 0.4 else rng.gauss(0, 1) for _ in range(n)],
             "outliers": [rng.random() if i else 1e12 for i in range(n)],
             "nulls": [None if rng.random() < 0.5 else rng.expovariate(1) for _ in range(n)],
+            "nans": [math.nan if rng.random() < 0.3 else rng.gauss(0, 1e6) for _ in range(n)],
             "constant": [5.0] * n,
             "empty": [None] * n,
         },

@@ -56,7 +56,7 @@ _FITTED = f""", {_DATED}, line AS (
 
 
 def _line_model(spark, folder, target="fare"):
-    train, test = resolved_split(derived_sales(spark, folder), 0.2)
+    train, test = resolved_split(derived_sales(spark, folder, "start_ts", *_LINE, target), 0.2)
     model = fit(train, "linear", target, _LINE)
     return Trained(model, train, test, score(model, test))
 

@@ -38,11 +38,14 @@ def _holding_a_rank(counts: DataFrame, order: str, probs: list[float]) -> DataFr
 def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], bins: int = 1024, levels: int = 3
 ) -> DataFrame:
-    """(column, prob, value) with linear interpolation between neighbouring ranks."""
+    """(column, prob, value) with linear interpolation between neighbouring ranks.
+
+    NULL and NaN are left out; a column without values yields no rows.
+    """
     values = (
         df.select(*[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot([], columns, "column", "value")
-        .filter(F.col("value").isNotNull())
+        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
     )
     cells = values.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")

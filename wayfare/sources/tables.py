@@ -49,7 +49,7 @@ RIDE_COLUMNS = [
 def rides(spark: SparkSession, folder: str, *need: str) -> DataFrame:
     """The named columns of the ride table (all of them when none are named)."""
     need = need or tuple(RIDE_COLUMNS)
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     value = F.col("value")
     cheap = {
         "event_id": F.col("event_id"),
