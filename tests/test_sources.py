@@ -194,6 +194,9 @@ def test_samples_do_not_depend_on_the_layout(spark):
     assert one == sorted(column(hash_sample(df.repartition(7), 0.05, "id"), "id"))
     assert len(one) == pytest.approx(250, abs=60)
     assert sampled_projection(df, ["x"], ["id"], 0.5, 100).count() == 100
+    assert sampled_projection(df, ["x"], ["id"], 0.01, 4000).count() == hash_sample(df, 0.01, "id").count()
+    with pytest.raises(ValueError, match="identify a row"):
+        cap_rows(df, 1000)
     assert cap_rows(df, 10000, "id").count() == 5000
     assert cap_rows(df, 1000, "id").count() == pytest.approx(1000, abs=150)
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 
 def key_digest(*keys: str) -> Column:
+    if not keys:
+        raise ValueError("sampling by hash needs the columns that identify a row")
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
 
 
