@@ -1,0 +1,33 @@
+"""Intermediate tables in the folder that the driver and all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``.
+
+    Where the session names none (single-process tests), a temporary folder is named in its
+    place, once per session.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="wayfare-llm-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    This cuts lineage: what follows reads the same rows each time, also after executors are
+    lost, and values such as row numbers given by partition are data from here on.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
