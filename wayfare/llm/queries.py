@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfare.llm.packing import pack_documents
+from wayfare.llm.quality import quality_rules
 from wayfare.llm.sharding import even_tree, shard_documents
+from wayfare.llm.url_filters import filter_captures, patterns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +40,106 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_sharding")
 def sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(_table(spark, folder, "documents"), even_tree(8))
+
+
+# Which events edit the list, and how: listed or lifted.
+_LIST_EDITS = {"error": True, "signup": False}
+_CRAWL_START, _CRAWL_SECONDS = "2024-01-01 00:00:00", 30 * 86_400
+
+
+def _bits(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def list_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """A dated list about the crawled patterns: each event edits the patterns that hash to its user's slot."""
+    pages, events = _table(spark, folder, "pages"), _table(spark, folder, "events")
+    found = pages.select(F.explode(F.array(*patterns(F.col("url")).values())).alias("pattern"))
+    slots = events.agg(F.max("user_id").alias("n")).select(F.col("n") + 1).scalar()
+    crawled = found.filter("pattern IS NOT NULL").distinct()
+    slotted = crawled.withColumn("slot", F.pmod(_bits(F.col("pattern")), slots))
+    edits = events.filter(F.col("event_type").isin(*_LIST_EDITS)).select(
+        F.col("user_id").alias("slot"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "error").alias("listed")
+    )
+    return edits.join(slotted, "slot").select("pattern", "at", "listed")
+
+
+_URL_ORACLE = """
+WITH captures AS (
+  SELECT page_id, url,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(('0x' || substr(md5(url), 1, 8))::BIGINT % 2592000) AS fetched_at,
+         nullif(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '') AS host,
+         nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]+/([^/?#]+)', 1), '') AS segment
+  FROM pages),
+keyed AS (
+  SELECT *, host || '/' || segment AS section,
+         '*.' || nullif(regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1), '') AS site
+  FROM captures),
+crawled AS (
+  SELECT section AS pattern FROM keyed UNION SELECT host FROM keyed UNION SELECT site FROM keyed),
+edits AS (
+  SELECT pattern, date_trunc('second', ts) AS edited, max(event_type = 'error') AS listed
+  FROM events JOIN crawled
+    ON ('0x' || substr(md5(pattern), 1, 8))::BIGINT % (SELECT max(user_id) + 1 FROM events) = user_id
+  WHERE event_type IN ('error', 'signup') GROUP BY ALL),
+stepped AS (
+  SELECT *, lead(edited) OVER (PARTITION BY pattern ORDER BY edited) AS until FROM edits),
+intervals AS (SELECT pattern, edited AS since, until FROM stepped WHERE listed)
+SELECT page_id, url, CAST(fetched_at AS VARCHAR) AS fetched_at,
+       coalesce(a.pattern, b.pattern, c.pattern) IS NOT NULL AS listed,
+       coalesce(a.pattern, b.pattern, c.pattern) AS pattern,
+       CAST(coalesce(a.since, b.since, c.since) AS VARCHAR) AS since
+FROM keyed k
+LEFT JOIN intervals a ON k.section = a.pattern AND fetched_at >= a.since AND (a.until IS NULL OR fetched_at < a.until)
+LEFT JOIN intervals b ON k.host = b.pattern AND fetched_at >= b.since AND (b.until IS NULL OR fetched_at < b.until)
+LEFT JOIN intervals c ON k.site = c.pattern AND fetched_at >= c.since AND (c.until IS NULL OR fetched_at < c.until)"""
+
+
+@_query("op4_url_filters", _URL_ORACLE)
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    start = F.unix_timestamp(F.lit(_CRAWL_START))
+    fetched = F.timestamp_seconds(start + F.pmod(_bits(F.col("url")), F.lit(_CRAWL_SECONDS)))
+    captures = _table(spark, folder, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    judged = filter_captures(captures, list_edits(spark, folder))
+    return judged.withColumns({c: F.col(c).cast("string") for c in ("fetched_at", "since")})
+
+
+_QUALITY_ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS body FROM documents),
+w AS (
+  SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i
+  FROM (SELECT r, list_filter(string_split_regex(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d)),
+g AS (
+  SELECT r, i, word, lead(word, 1) OVER p AS w1, lead(word, 2) OVER p AS w2, lead(word, 3) OVER p AS w3,
+         lead(word, 4) OVER p AS w4
+  FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+twice AS (
+  SELECT r, i FROM g WHERE w4 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, word, w1, w2, w3, w4) > 1),
+reach AS (SELECT r, least(5, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 5)) AS n FROM twice),
+repeated AS (SELECT r, sum(n) AS n FROM reach GROUP BY r),
+counted AS (SELECT r, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY r),
+l AS (
+  SELECT r, host, body, line, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+         trim(regexp_replace(regexp_replace(lower(trim(line)), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+  FROM (SELECT r, host, body, unnest(string_split(body, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
+hosts AS (SELECT host, count(DISTINCT body) AS of FROM d GROUP BY host),
+frequent AS (
+  SELECT host, norm FROM l JOIN hosts USING (host) GROUP BY host, norm, of
+  HAVING count(DISTINCT body) >= 5 AND count(DISTINCT body) > 0.05 * of),
+removed AS (SELECT r, sum(n) AS n FROM l JOIN frequent USING (host, norm) GROUP BY r),
+figures AS (
+  SELECT doc_id, CAST(coalesce(counted.n, 0) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars,
+         CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed_words
+  FROM d LEFT JOIN counted USING (r) LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN removed USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM figures)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 10 AND n_words - n_removed_words >= 0.3 * n_words AS kept
+FROM judged"""
+
+@_query("op9_quality_rules", _QUALITY_ORACLE)
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(_table(spark, folder, "documents"))
