@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.llm import toxicity
 from wayfare.llm.packing import pack_documents
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.sharding import even_tree, shard_documents
+from wayfare.llm.shipping import ship_package
 from wayfare.llm.url_filters import filter_captures, patterns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +21,11 @@ ORACLES: dict[str, str] = {}
 
 def _query(key: str, sql: str | None = None):
     def add(run):
-        QUERIES[key] = run
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return run(spark, folder)
+
+        QUERIES[key] = shipped
         if sql is not None:
             ORACLES[key] = sql
         return run
@@ -143,3 +149,15 @@ FROM judged"""
 @_query("op9_quality_rules", _QUALITY_ORACLE)
 def quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_table(spark, folder, "documents"))
+
+
+def _held_out(key: str = "doc_id") -> Column:
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+@_query("op6_toxicity")
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels, allowed=~_held_out())
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
