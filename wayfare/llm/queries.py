@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import toxicity
+from wayfare.llm import language, toxicity
 from wayfare.llm.packing import pack_documents
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.sharding import even_tree, shard_documents
@@ -161,3 +161,10 @@ def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs, labels, allowed=~_held_out())
     scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query("op7_language_id")
+def document_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = language.detect_languages(docs, language.fit(docs, allowed=~_held_out()))
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
