@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import language, toxicity
+from wayfare.llm.jaccard import near_duplicates
 from wayfare.llm.packing import pack_documents
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.sharding import even_tree, shard_documents
@@ -168,3 +169,8 @@ def document_languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     found = language.detect_languages(docs, language.fit(docs, allowed=~_held_out()))
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query("op3_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"))
