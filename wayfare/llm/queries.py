@@ -14,6 +14,7 @@ from wayfare.llm.packing import pack_documents
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.sharding import even_tree, shard_documents
 from wayfare.llm.shipping import ship_package
+from wayfare.llm.substrings import without_repeats
 from wayfare.llm.url_filters import filter_captures, patterns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +175,9 @@ def document_languages(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op3_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query("op5_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = without_repeats(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
