@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import language, toxicity
+from wayfare.llm.decontamination import contaminated
 from wayfare.llm.jaccard import near_duplicates
 from wayfare.llm.packing import pack_documents
 from wayfare.llm.quality import quality_rules
@@ -181,3 +182,8 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = without_repeats(_table(spark, folder, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query("op2_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
