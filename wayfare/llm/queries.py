@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import language, toxicity
+from wayfare.llm import language, pii, toxicity
 from wayfare.llm.decontamination import contaminated
 from wayfare.llm.jaccard import near_duplicates
 from wayfare.llm.packing import pack_documents
@@ -187,3 +187,9 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op2_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("op8_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return pii.find_personal_data(docs, pii.fit(docs))
