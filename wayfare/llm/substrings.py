@@ -2,9 +2,10 @@
 
 A window is ``WINDOW`` consecutive words. Equal windows must meet in one shard without sending every text to every shard:
 
-1. Each window is assigned its anchor, the smallest hash among its ``GRAM``-word sequences (the first of equals). Equal windows
-   have equal anchors, and neighbouring windows mostly share one, so a text is cut into few runs of windows.
-2. Anchors are counted over the distinct texts; runs whose anchor occurs once hold no repeated window and go no further.
+1. Each window is assigned its anchor, the smallest hash among its ``GRAM``-word sequences. Equal windows have equal anchors, and
+   neighbouring windows mostly share one, so a text is cut into few runs of windows.
+2. Anchors are counted over the distinct texts, twice in a run that has its anchor at several places; runs whose anchor is
+   counted once hold no repeated window and go no further.
 3. The words of the other runs go to the shard of their anchor, each distinct run once, with its number of occurrences. Runs of
    an anchor with more than ``HOT_RUNS`` occurrences are sent window by window, spread by their first and last words as well.
 4. Every shard builds a compressed FM-index (wavelet matrix over the Burrows-Wheeler transform) of its runs, streams
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.fetch import texts_for
 from wayfare.llm.fm_index import FMIndex
 from wayfare.llm.shingles import slices, word_hashes
 from wayfare.llm.storage import stored
@@ -37,7 +39,7 @@ GRAM = 8
 HOT_RUNS = 20_000
 SHARD_WORDS = 250_000
 
-_PROFILE = "doc_id long, n_words long, t1 long, t2 long, sha string, anchors array<long>, starts array<int>"
+_PROFILE = "doc_id long, n_words long, t1 long, t2 long, sha string, anchors array<long>, starts array<int>, several array<boolean>"
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -51,8 +53,13 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(rolled)
 
 
-def runs_of(words: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the first window, anchor hash) of each run in texts laid end to end, and runs per text."""
+def runs_of(
+    words: np.ndarray, counts: np.ndarray, window: int, gram: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run in texts laid end to end: place of the first window, anchor, whether that is at several places.
+
+    Last, the number of runs per text.
+    """
     n = len(words)
     grams = gram_hashes(words, gram) if n else words
     ends = np.cumsum(counts)
@@ -71,12 +78,15 @@ def runs_of(words: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tu
         reach *= 2
     best = smaller(best, later(best, grams_per_window - reach))
     valid = left >= window
-    new = valid.copy()
-    new[1:] &= ~valid[:-1] | (best[1:] != best[:-1])
+    anchors = grams[best] if n else grams
+    moved, new = valid.copy(), valid.copy()
+    moved[1:] &= best[1:] != best[:-1]
+    new[1:] &= ~valid[:-1] | (anchors[1:] != anchors[:-1])
     starts = ends - counts
     new[starts[counts > 0]] = valid[starts[counts > 0]]
     at = np.flatnonzero(new)
-    return at, grams[best[at]], np.diff(np.searchsorted(at, np.append(starts, n)))
+    several = np.add.reduceat(moved & ~new, at) > 0 if len(at) else np.zeros(0, bool)
+    return at, anchors[at], several, np.diff(np.searchsorted(at, np.append(starts, n)))
 
 
 def _sequence_digests(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +111,7 @@ def profiles(texts: DataFrame, window: int, gram: int) -> DataFrame:
             for first, rows in slices(batch.column(1)):
                 words, counts = word_hashes(rows, lower=False)
                 t1, t2 = _sequence_digests(words, counts)
-                at, anchors, per = runs_of(words, counts, window, gram)
+                at, anchors, several, per = runs_of(words, counts, window, gram)
                 within = at - np.repeat(np.cumsum(counts) - counts, per)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
                 shas = [hashlib.sha256(b" ".join((t.as_py() or "").encode().split())).hexdigest() for t in rows]
@@ -114,8 +124,9 @@ def profiles(texts: DataFrame, window: int, gram: int) -> DataFrame:
                         pa.array(shas, pa.string()),
                         pa.ListArray.from_arrays(offsets, pa.array(anchors.view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(within.astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(several)),
                     ],
-                    names=["doc_id", "n_words", "t1", "t2", "sha", "anchors", "starts"],
+                    names=["doc_id", "n_words", "t1", "t2", "sha", "anchors", "starts", "several"],
                 )
 
     return texts.select("doc_id", "text").mapInArrow(profile, _PROFILE)
@@ -123,26 +134,26 @@ def profiles(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
 def live_runs(distinct: DataFrame, window: int, hot_runs: int) -> DataFrame:
     """Per distinct text: its runs (anchor, start, windows, hot) whose anchor occurs more than once."""
-    both = F.arrays_zip(F.col("anchors"), F.col("starts"))
+    both = F.arrays_zip(F.col("anchors"), F.col("starts"), F.col("several"))
     exploded = distinct.select("row", "n_words", "starts", F.posexplode(both).alias("i", "run"))
     following = F.coalesce(F.get("starts", F.col("i") + 1).cast("long"), F.col("n_words") - (window - 1))
     runs = exploded.select(
         "row", F.col("run.anchors").alias("anchor"), F.col("run.starts").alias("start"),
-        (following - F.col("run.starts")).cast("int").alias("windows"),
+        (following - F.col("run.starts")).cast("int").alias("windows"), F.col("run.several").cast("int").alias("several"),
     )
-    counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counts = runs.groupBy("anchor").agg(F.sum(F.col("several") + 1).alias("n")).filter("n > 1")
     live = runs.join(counts, "anchor").select(
         "row", F.struct("anchor", "start", "windows", (F.col("n") > hot_runs).alias("hot")).alias("run")
     )
     return live.groupBy("row").agg(F.collect_list("run").alias("runs"))
 
 
-_OCCURRENCE = "row long, key long, start int, segment string, words int"
+_OCCURRENCE = "row long, copies long, key long, start int, segment string, words int"
 
 
 def segments(texts: DataFrame, live: DataFrame, window: int, gram: int) -> DataFrame:
     """The words of every live run (of every window of a hot run), with the shard key."""
-    found = texts.join(live, F.col("doc_id").eqNullSafe(F.col("of"))).select("row", "t1", "t2", "text", "runs")
+    found = texts_for(texts, live).select("row", "t1", "t2", "text", "runs", "copies")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,22 +167,23 @@ def segments(texts: DataFrame, live: DataFrame, window: int, gram: int) -> DataF
                     at = first + i
                     if (t1[i], t2[i]) != (batch.column(1)[at].as_py(), batch.column(2)[at].as_py()):
                         continue  # another text under the same doc_id
-                    row, words = batch.column(0)[at].as_py(), (text.as_py() or "").encode().split()
+                    row, copies = batch.column(0)[at].as_py(), batch.column(5)[at].as_py()
+                    words = (text.as_py() or "").encode().split()
                     for run in batch.column(4)[at].as_py():
                         anchor, start, windows = run["anchor"], run["start"], run["windows"]
                         if not run["hot"]:
                             size = windows + window - 1
-                            out.append((row, anchor, start, b" ".join(words[start : start + size]), size))
+                            out.append((row, copies, anchor, start, b" ".join(words[start : start + size]), size))
                             continue
                         for k in range(start, start + windows):
                             ends = grams[[base[i] + k, base[i] + k + window - gram]].view(np.uint64)
                             spread = mixed(ends[:1] + mixed(ends[1:]) * np.uint64(3) + np.uint64(anchor % (1 << 64)))
-                            out.append((row, int(spread.view(np.int64)[0]), k, b" ".join(words[k : k + window]), window))
-                columns = list(zip(*out)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
+                            out.append((row, copies, int(spread.view(np.int64)[0]), k, b" ".join(words[k : k + window]), window))
+                columns = list(zip(*out)) or [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
                 arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
-                arrays[3] = arrays[3].cast(pa.string())
-                yield pa.record_batch(arrays, names=["row", "key", "start", "segment", "words"])
+                arrays[4] = arrays[4].cast(pa.string())
+                yield pa.record_batch(arrays, names=["row", "copies", "key", "start", "segment", "words"])
 
     return found.mapInArrow(cut, _OCCURRENCE)
 
@@ -220,16 +232,14 @@ def repeats(texts: DataFrame, window: int, gram: int, hot_runs: int, shard_words
     live = live_runs(distinct, window, hot_runs)
     named = distinct.select("row", F.col("doc_id").alias("of"), "t1", "t2", "copies")
     held = stored(live.join(named, "row"), "runs")
-    cut = segments(texts, held, window, gram).dropDuplicates(["row", "key", "start"])
-    hashed = cut.withColumns({"s1": F.xxhash64("segment"), "s2": F.xxhash64(F.lit(1), "segment")})
-    pieces = stored(hashed.join(held.select("row", "copies"), "row"), "segments")
-    alike = pieces.groupBy("s1", "s2").agg(
-        F.first("key").alias("key"), F.first("segment").alias("segment"), F.sum("copies").alias("occurrences"),
-        F.first("words").alias("words"),
-    )
-    unique = stored(alike, "unique")
-    total = unique.agg(F.sum("words")).first()[0] or 0
-    shards = unique.select("s1", "s2", "key", "segment", "occurrences").repartition(max(1, -(-total // shard_words)), "key")
+    # Repeated rows of one document give its runs again; it has copies then, and counts as repeated either way.
+    cut = segments(texts, held, window, gram)
+    pieces = stored(cut.withColumns({"s1": F.xxhash64("segment"), "s2": F.xxhash64(F.lit(1), "segment")}), "segments")
+    total = pieces.agg(F.sum("words")).first()[0] or 0
+    unique = pieces.groupBy("s1", "s2").agg(
+        F.first("key").alias("key"), F.first("segment").alias("segment"), F.sum("copies").alias("occurrences")
+    )
+    shards = unique.repartition(max(1, -(-total // shard_words)), "key")
     intervals = stored(repeated_intervals(shards, window), "intervals")
     hits = pieces.select("row", "start", "s1", "s2").join(intervals, ["s1", "s2"])
     moved = F.transform("spans", lambda s: F.struct((F.col("start") + s["first"]).alias("first"), (F.col("start") + s["end"]).alias("end")))
@@ -254,7 +264,7 @@ def without_repeats(
     rows, spans = repeats(texts, window, gram, hot_runs, shard_words)
     # texts with copies lose all their windows anyway
     own = spans.filter("copies = 1").select("of", "t1", "t2", "spans")
-    found = texts.join(own, F.col("doc_id").eqNullSafe(F.col("of"))).select("t1", "t2", "text", "spans")
+    found = texts_for(texts, own).select("t1", "t2", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,6 +287,7 @@ def without_repeats(
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["t1", "t2", "removed", "kept_sha", "kept_text"])
 
+    # Repeated texts are not among them, so each fingerprint has one row.
     cut = found.mapInArrow(remove, "t1 long, t2 long, removed long, kept_sha string, kept_text string")
     joined = rows.join(cut, ["t1", "t2"], "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
