@@ -133,27 +133,49 @@ def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int | No
     yield from _blocks(shingled())
 
 
+def _hits(column: pa.Array, index: ItemIndex, size: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(text, item, shared shingles) of the texts that hold ``percent`` of an item, in order of text and item."""
+    for first, rows in slices(column):
+        shingles, counts = shingle_hashes(*word_hashes(rows, lower=True), size)
+        worded = np.flatnonzero(counts)
+        begins = np.cumsum(counts) - counts
+        held: dict[int, np.ndarray] = {}
+        for doc, item in sorted(index.candidates(shingles, counts[worded])):
+            at = int(worded[doc])
+            if at not in held:
+                held = {at: np.unique(shingles[begins[at] : begins[at] + counts[at]])}
+            n = len(np.intersect1d(held[at], index.sets[item], assume_unique=True))
+            if 100 * n >= percent * len(index.sets[item]):
+                yield first + at, item, n
+
+
 def _search(texts: DataFrame, block: list[tuple[int | None, np.ndarray]], size: int, percent: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(([i for i, _ in block], ItemIndex([s for _, s in block])))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, index = shared.value
         for batch in batches:
-            out = []
-            for first, rows in slices(batch.column(1)):
-                shingles, counts = shingle_hashes(*word_hashes(rows, lower=True), size)
-                worded = np.flatnonzero(counts)
-                begins = np.cumsum(counts) - counts
-                pairs = index.candidates(shingles, counts[worded])
-                held: dict[int, np.ndarray] = {}
-                for doc, item in sorted(pairs):
-                    at = worded[doc]
-                    if at not in held:
-                        held = {at: np.unique(shingles[begins[at] : begins[at] + counts[at]])}
-                    n = len(np.intersect1d(held[at], index.sets[item], assume_unique=True))
-                    if 100 * n >= percent * len(index.sets[item]):
-                        out.append((batch.column(0)[first + int(at)].as_py(), ids[item], n, len(index.sets[item])))
+            docs = batch.column(0)
+            out = [(docs[at].as_py(), ids[i], n, len(index.sets[i])) for at, i, n in _hits(batch.column(1), index, size, percent)]
             columns = list(zip(*out)) or [()] * 4
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_shared", "n_item"])
 
     return texts.select("doc_id", "text").mapInArrow(search, _FOUND)
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text"
+) -> DataFrame:
+    """``docs`` without those that hold at least ``percent`` of an item's shingles, one pass a block of items."""
+    place = docs.columns.index(text)
+    for block in item_blocks(benchmark, size):
+        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex([s for _, s in block]))
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[at for at, _, _ in _hits(batch.column(place), shared.value, size, percent)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

@@ -26,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfare.llm.components import components
+from wayfare.llm.fetch import split_rows, texts_for
 from wayfare.llm.shingles import shingle_sets
 from wayfare.llm.storage import stored
 from wayfare.llm.subwords import mixed
@@ -38,6 +40,8 @@ FREQUENT = 1 << 16
 # A shingle counts as met in a batch of documents if so many of them hold it.
 _LEAST_IN_BATCH = 8
 _SKETCH_BITS = 1024
+# Pairs of one class that a task verifies together.
+_PORTION = 500
 
 
 def frequent_shingles(texts: DataFrame, size: int, most: int = FREQUENT) -> np.ndarray:
@@ -107,30 +111,39 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold, from sets recomputed from the texts."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = involved.join(classes, "class").select("class", F.col("doc_id").alias("of"), "n", "f1", "f2")
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("class", "f1", "f2", "text")
-
-    def recomputed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of classes whose sets reach the threshold, recomputed from the texts.
+
+    Pairs meet by their first class, in portions of ``_PORTION`` pairs, so that one class with very many pairs is dealt to
+    many tasks. A task streams each portion: the first class's text, then the others', and holds one set at a time.
+    """
+    portions = F.ceil(F.col("n_pairs") / F.lit(_PORTION))
+    counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs"))
+    dealt = pairs.join(counted, "a").withColumn("portion", F.pmod(F.xxhash64("b"), portions))
+    heads = dealt.select("a", "portion", F.col("a").alias("class")).distinct()
+    roles = dealt.select("a", "portion", F.col("b").alias("class")).union(heads)
+    wanted = roles.join(classes, "class").select("a", "portion", "class", F.col("doc_id").alias("of"), "f1", "f2")
+    found = texts_for(texts, wanted).select("a", "portion", "class", "f1", "f2", "text")
+    ordered = found.repartition("a", "portion").sortWithinPartitions("a", "portion", F.col("class") != F.col("a"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, head = None, None
         for batch in batches:
-            rows = [
-                (c, own.view(np.int64))
-                for c, f1, f2, own in zip(*(batch.column(i).to_pylist() for i in range(3)), shingle_sets(batch.column(3), size))
-                # another text under the same doc_id
-                if (_digest(own, _SEEDS[0]), _digest(own, _SEEDS[1])) == (f1, f2)
-            ]
-            columns = list(zip(*rows)) or [(), ()]
-            lists = pa.list_(pa.int64())
-            yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], lists)], names=["class", "own"])
-
-    sets = stored(found.mapInArrow(recomputed, "class long, own array<long>"), "sets")
-    left = sets.select(F.col("class").alias("a"), F.col("own").alias("own_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("own").alias("own_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("own_a", "own_b"))
-    union = F.size("own_a") + F.size("own_b") - shared
-    return both.filter(100 * shared >= percent * union).select("a", "b").distinct()
+            links = []
+            for (a, portion, own_class, f1, f2), own in zip(
+                zip(*(batch.column(i).to_pylist() for i in range(5))), shingle_sets(batch.column(5), size)
+            ):
+                if (_digest(own, _SEEDS[0]), _digest(own, _SEEDS[1])) != (f1, f2):
+                    continue  # another text under the same doc_id
+                if own_class == a:
+                    of, head = (a, portion), own
+                elif of == (a, portion):
+                    shared = len(np.intersect1d(head, own, assume_unique=True))
+                    if 100 * shared >= percent * (len(head) + len(own) - shared):
+                        links.append((a, own_class))
+            columns = list(zip(*links)) or [(), ()]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
 def shared_prefixes(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -178,11 +191,11 @@ def open_candidates(shared: DataFrame, sketches: DataFrame, joined: DataFrame, p
     return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Per document: doc_id, ``n_shingles``, and ``component_id``, the smallest doc_id its links reach."""
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def document_components(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(stored (row, doc_id, n, f1, f2, root) of documents with words, (doc_id, n) of the others).
+
+    ``root`` is the smallest class of the component that a document's class belongs to.
+    """
     frequent = frequent_shingles(texts, size)
     rows = document_sets(texts, size, percent, frequent).withColumn("row", F.monotonically_increasing_id())
     sets = stored(rows, "profiles")
@@ -202,8 +215,52 @@ def near_duplicates(
 
     rooted = classes.join(roots, "class", "left").select("n", "f1", "f2", F.coalesce("root", "class").alias("root"))
     members = worded.select("row", "doc_id", "n", "f1", "f2").join(rooted, ["n", "f1", "f2"])
-    members = stored(members.select("doc_id", "n", "root"), "members")
+    return stored(members, "members"), sets.filter("n = 0").select("doc_id", "n")
+
+
+def near_duplicates(
+    docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Per document: doc_id, ``n_shingles``, and ``component_id``, the smallest doc_id its links reach."""
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    members, wordless = document_components(texts, size, percent)
     smallest = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = members.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.union(empty)
+    return linked.union(wordless.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest doc_id, one row of it if it is repeated.
+
+    Documents without words are all kept. Only documents that go, or that occur repeatedly, are shuffled whole.
+    """
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    members, _ = document_components(texts, size, percent)
+    identity = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "f1", "f2")
+    best = members.groupBy("root").agg(F.min(identity).alias("best")).select("best.doc_id", "best.f1", "best.f2").alias("k")
+    same = F.col("m.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("m.f1") == F.col("k.f1")) & (F.col("m.f2") == F.col("k.f2"))
+    keys = members.groupBy("doc_id", "f1", "f2").agg(F.count(F.lit(1)).alias("rows")).alias("m")
+    judged = stored(
+        keys.join(best, same, "left").select("m.*", F.col("k.f1").isNotNull().alias("stays")).filter("NOT stays OR rows > 1"),
+        "dropped",
+    )
+    names = ["__id", "__f1", "__f2"]
+    keyed = judged.select(F.col("doc_id").alias("__id"), F.col("f1").alias("__f1"), F.col("f2").alias("__f2"), "stays")
+    marked = _with_digests(docs, size, key, text)
+    rest, _ = split_rows(marked, keyed, names)
+    _, repeated = split_rows(marked, keyed.filter("stays"), names)
+    return rest.unionByName(repeated.dropDuplicates(names)).drop(*names)
+
+
+def _with_digests(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """``docs`` with its key as ``__id`` and the fingerprint of its shingle set."""
+    place = docs.columns.index(text)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(_digest(own, _SEEDS[0]), _digest(own, _SEEDS[1])) for own in shingle_sets(batch.column(place), size)]
+            added = [pa.array(c, pa.int64()) for c in (list(zip(*pairs)) or [(), ()])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "__f1", "__f2"])
+
+    schema = T.StructType([*docs.schema, T.StructField("__f1", T.LongType()), T.StructField("__f2", T.LongType())])
+    return docs.mapInArrow(digest, schema).withColumn("__id", F.col(key).cast("long"))

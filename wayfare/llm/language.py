@@ -217,25 +217,9 @@ def detect_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names, step = np.array([*model.languages, UNDETERMINED]), np.exp(model.transitions)
-        labels = len(model.languages)
-        known = WordScores(model.word_rows, labels + 1, CACHED_WORDS)
+        labeller = _Labeller(shared.value)
         for batch in batches:
-            langs, scores, runs = [], [], []
-            for texts in slices(batch.column(1), tokens, SLICE_WORDS) if labels else [[[]] * batch.num_rows]:
-                flat, lengths = known.numbers(texts) if labels else (np.zeros(0, np.int64), np.zeros(batch.num_rows, np.int64))
-                rows = known.rows[flat]
-                probable = marginals(rows[:, :labels].astype(np.float64), lengths, step)
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                lettered = rows[:, labels] > 0
-                totals = np.zeros((len(lengths), labels + 1))
-                totals[:, :labels] = _summed(owner[lettered], probable[lettered], len(lengths)) if labels else 0
-                mass = totals.sum(1)
-                best = np.where(mass > 0, totals.argmax(1), labels)
-                langs.extend(names[best])
-                scores.extend(totals[np.arange(len(best)), best] / np.maximum(mass, 1e-300))
-                runs.extend(_runs(probable.argmax(1) if labels else flat, lengths, names))
+            langs, scores, runs = labeller(batch.column(1))
             columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(runs, _RUNS)]
             yield pa.record_batch(columns, names=["doc_id", "lang_pred", "score", "segments"])
 
@@ -246,6 +230,49 @@ def detect_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
     )
 
 
+def keep_determined(docs: DataFrame, model: LanguageModel, least_score: float, text: str = "text") -> DataFrame:
+    """``docs`` without the documents that are ``und`` or whose language scores less than ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = _Labeller(shared.value)
+        for batch in batches:
+            langs, scores, _ = labeller(batch.column(place))
+            yield batch.filter(pa.array([x != UNDETERMINED and y >= least_score for x, y in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+class _Labeller:
+    """Languages, scores and runs of a column of texts, by one model; words seen are remembered."""
+
+    def __init__(self, model: LanguageModel):
+        self.names, self.step = np.array([*model.languages, UNDETERMINED]), np.exp(model.transitions)
+        self.labels = len(model.languages)
+        self.known = WordScores(model.word_rows, self.labels + 1, CACHED_WORDS)
+
+    def __call__(self, column: pa.Array) -> tuple[list[str], list[float], list[list[dict]]]:
+        n, labels = len(column), self.labels
+        if not labels:
+            return [UNDETERMINED] * n, [0.0] * n, [[] for _ in range(n)]
+        langs, scores, runs = [], [], []
+        for texts in slices(column, tokens, SLICE_WORDS):
+            flat, lengths = self.known.numbers(texts)
+            rows = self.known.rows[flat]
+            probable = marginals(rows[:, :labels].astype(np.float64), lengths, self.step)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            lettered = rows[:, labels] > 0
+            totals = np.zeros((len(lengths), labels + 1))
+            totals[:, :labels] = _summed(owner[lettered], probable[lettered], len(lengths))
+            mass = totals.sum(1)
+            best = np.where(mass > 0, totals.argmax(1), labels)
+            langs.extend(self.names[best].tolist())
+            scores.extend((totals[np.arange(len(best)), best] / np.maximum(mass, 1e-300)).tolist())
+            runs.extend(_runs(probable.argmax(1), lengths, self.names))
+        return langs, scores, runs
+
+
 _RUNS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
 
 
