@@ -8,9 +8,9 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import canonical
+from wayfare.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
 # Fits on all features; their quality is tested on data with a known answer.
 SLOW = {name for name in QUERIES if name.startswith("ml.") and name not in ORACLES}
 
@@ -27,6 +27,7 @@ def duck():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))

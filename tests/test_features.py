@@ -11,8 +11,11 @@ from wayfare.operators.split import (
     day_counts,
     fixed_split,
     impute_from_train,
+    is_test,
+    is_train,
     period_split,
     resolved_split,
+    split_counts,
     split_date,
     time_split,
 )
@@ -26,7 +29,7 @@ from wayfare.plans.features import (
     signal_by_hour,
     signal_by_weekday,
 )
-from wayfare.roles import TLC
+from wayfare.roles import START_DATE, TLC
 
 
 def day(n, hour=12):
@@ -110,6 +113,16 @@ def test_split_by_row_percentile(trips):
     assert [p.count() for p in resolved_split(df, 0.2)] == [7, 3]
 
 
+def test_undated_rows_are_counted_on_no_side(trips):
+    days = [dt.datetime(2024, 1, 1 + n) for n in range(10)]
+    df = with_derived(trips(*[{"tpep_pickup_datetime": d} for d in days]), TLC)
+    df = df.withColumn(START_DATE, F.when(F.dayofmonth(START_DATE) > 3, F.col(START_DATE)))
+    cutoff = split_date(day_counts(df), 0.2).scalar()
+    counts = {r["part"]: r["rows"] for r in split_counts(df, is_train(cutoff), is_test(cutoff)).collect()}
+    assert counts["undated"] == 3 and sum(counts.values()) == 10
+    assert [p.count() for p in time_split(df, 0.2)] == [counts["train"], counts["test"]]
+
+
 def test_split_of_one_day_trains_on_all(trips):
     df = with_derived(trips({}, {}), TLC)
     assert [p.count() for p in time_split(df, 0.2)] == [2, 0]

@@ -167,3 +167,11 @@ def test_strings_indexed_by_frequency_then_value(spark):
     unseen = spark.createDataFrame([("N",), ("A",), ("Y",), ("Z",)], "flag string")
     got = {r["flag"]: r["flag_idx"] for r in model.transform(unseen).collect()}
     assert got == {"N": 0.0, "A": 1.0, "Y": 2.0}
+
+
+def test_a_model_does_not_depend_on_the_layout_of_its_rows(spark, priced):
+    rows = priced.selectExpr("trip_distance AS x", "cast(PULocationID AS double) AS place", "fare_amount + tip_amount AS y")
+    one, nine = (
+        fit(rows.repartition(n, "x"), "rforest", "y", ["x", "place"], partitions=4, numTrees=4) for n in (1, 9)
+    )
+    assert one.stages[-1].toDebugString.split("\n", 1)[1] == nine.stages[-1].toDebugString.split("\n", 1)[1]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import column
 from wayfare.functions.labels import rate_code_label
-from wayfare.functions.sampling import cap_rows, hash_sample, sampled_projection
+from wayfare.functions.sampling import cap_rows, first_by_hash, hash_sample, key_digest, sampled_projection
 from wayfare.operators.coverage import coverage_summary, period_gaps, periods_present
 from wayfare.operators.locations import in_service_zones, outside_unknown, with_zone_label
 from wayfare.sources.monthly import (
@@ -198,9 +198,39 @@ def test_samples_do_not_depend_on_the_layout(spark):
     with pytest.raises(ValueError, match="identify a row"):
         cap_rows(df, 1000)
     assert cap_rows(df, 10000, "id").count() == 5000
+    assert sampled_projection(df, ["x"], ["id"], 0.05).count() == len(one)
     assert cap_rows(df, 1000, "id").count() == pytest.approx(1000, abs=150)
 
 
+def test_samples_are_complete_whatever_the_multiplicity_of_keys(spark):
+    df = spark.range(20000).selectExpr("id", "nullif(id % 100, 0) AS key", "cast(null AS int) AS none")
+    assert first_by_hash(df, 200, "key").count() == 200
+    assert first_by_hash(df, 200, "none", "key").count() == 200
+    assert first_by_hash(df, 50000, "key").count() == 20000
+    assert first_by_hash(df.limit(0), 10, "key").count() == 0
+    digests = df.select(key_digest("key", "none").alias("a"), key_digest("none", "key").alias("b")).distinct()
+    assert digests.filter("a = b").count() == 1  # both NULL
+
+
+def test_folder_load_keeps_every_file_and_column(spark, tmp_path):
+    def write(name, expression):
+        made = spark.range(5).selectExpr("id", expression).coalesce(1)
+        made.write.parquet(f"{tmp_path}/made/{name}")
+        part = next(Path(f"{tmp_path}/made/{name}").glob("part-*.parquet"))
+        Path(tmp_path / "in").mkdir(exist_ok=True)
+        shutil.copy(part, tmp_path / "in" / f"{name}.parquet")
+
+    write("a_2024-01", "id AS fare")
+    write("b_2024-01", "id + 0.5 AS fee")
+    write("c_2024-02", "cast(id AS double) AS fare")
+    write("odd", "id AS fare")
+    loaded = load_folder(spark, f"{tmp_path}/in", money=["fare", "fee"])
+    assert loaded.df.count() == 15 and {"fare", "fee"} <= set(loaded.df.columns)
+    assert loaded.df.agg(F.sum("fee")).first()[0] == 12.5
+    assert [Path(f).name for f in loaded.unmatched] == ["odd.parquet"] and loaded.missing == []
+    assert loaded.present == ["2024-01", "2024-02"]
+
+
 def test_sink_prunes_partitions(spark, trips):
     path = shared_folder(spark, "sink")
     months = [dt.datetime(2024, 1 + n % 3, 5) for n in range(9)]

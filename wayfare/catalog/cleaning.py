@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from wayfare.catalog.registry import RIDES_KEEP, SALES_KEEP, query, sql_with
 from wayfare.functions.labels import rate_code_label
-from wayfare.functions.sampling import cap_rows, sampled_projection
+from wayfare.functions.sampling import cap_rows, first_by_hash, sampled_projection
+from wayfare.operators.aggregates import row_count
 from wayfare.operators.cleaning import (
     cleaning_report,
     cleaning_summary,
@@ -29,7 +30,7 @@ from wayfare.operators.locations import (
 )
 from wayfare.operators.quality import implausible_share
 from wayfare.roles import DURATION, START_DATE
-from wayfare.sources.tables import RIDES, RIDES_LIMITS, SALES, SALES_LIMITS, rides, sales, zones
+from wayfare.sources.tables import RIDES, RIDES_LIMITS, SALES, SALES_LIMITS, rides, sales, table, zones
 
 
 def derived_rides(spark, folder, *need):
@@ -219,8 +220,7 @@ def prepared(spark, folder):
 
 # Sampling: the SQL repeats the key hash, so the very same rows must come out.
 
-_UNIT = "(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0)"
-_BY_HASH = "ORDER BY md5(CAST(event_id AS VARCHAR)), event_id"
+_UNIT = "(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0)"
 
 
 @query(
@@ -230,24 +230,24 @@ _BY_HASH = "ORDER BY md5(CAST(event_id AS VARCHAR)), event_id"
         "rides_d",
         then=f"""
         SELECT event_id, fare, round(duration_min, 6) AS duration_min, distance FROM rides_d
-        WHERE {_UNIT} < 0.01 {_BY_HASH} LIMIT 6000""",
+        WHERE {_UNIT} < 0.01""",
     ),
 )
 def sample_dist(spark, folder):
     columns = ["fare", DURATION, "distance"]
-    return sampled_projection(derived_rides(spark, folder), columns, ["event_id"], 0.01, 6000)
+    return sampled_projection(derived_rides(spark, folder), columns, ["event_id"], 0.01)
 
 
 @query(
     "sample_distance_fare",
     sql_with(
         "rides",
-        then=f" SELECT event_id, distance, fare FROM rides WHERE {_UNIT} < 0.001 {_BY_HASH} LIMIT 4000",
+        then=f" SELECT event_id, distance, fare FROM rides WHERE {_UNIT} < 0.001",
     ),
 )
 def sample_distance_fare(spark, folder):
     facts = rides(spark, folder, "event_id", "distance", "fare")
-    return sampled_projection(facts, ["distance", "fare"], ["event_id"], 0.001, 4000)
+    return sampled_projection(facts, ["distance", "fare"], ["event_id"], 0.001)
 
 
 @query(
@@ -261,6 +261,14 @@ def capped(spark, folder):
     return cap_rows(rides(spark, folder, "event_id", "fare"), 5000, "event_id")
 
 
+@query("sample_repeated_keys", "SELECT least(500, count(*)) AS few, least(4000, count(*)) AS many FROM events")
+def sample_repeated_keys(spark, folder):
+    """Samples by a key that every row shares with many, NULLs included, are complete."""
+    keyed = table(spark, folder, "events").select(F.nullif(F.col("user_id") % 10, F.lit(0)).alias("key"))
+    few = first_by_hash(keyed, 500, "key").agg(row_count().alias("few"))
+    return few.select("few", first_by_hash(keyed, 4000, "key").agg(row_count().alias("many")).scalar().alias("many"))
+
+
 # Location joins
 
 

@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 
 from wayfare.catalog.cleaning import derived_rides, derived_sales
 from wayfare.catalog.registry import SALES_CUTOFF, query, sql_with
-from wayfare.operators.aggregates import row_count
+from wayfare.operators.cleaning import with_derived
 from wayfare.operators.features import basic_features
 from wayfare.operators.history import HISTORY, join_history, zone_days, zone_history
 from wayfare.operators.split import (
     day_counts,
-    fixed_split,
     impute_from_train,
-    period_split,
+    is_test,
+    is_train,
+    split_counts,
     split_date,
     time_split,
+    within,
 )
 from wayfare.plans.features import (
     TEST_FRACTION,
@@ -45,7 +47,7 @@ _BASIC = """
   round(sin(2 * pi() * dayofweek(start_ts) / 7), 9) AS dow_sin,
   round(cos(2 * pi() * dayofweek(start_ts) / 7), 9) AS dow_cos"""
 
-_HISTORY = """, days AS (
+HISTORY_SQL = """, days AS (
   SELECT origin_id, start_date, count(*) AS trips, avg(duration_min) AS day_avg
   FROM rides_d GROUP BY 1, 2
 ), history AS (
@@ -72,7 +74,7 @@ def basics(spark, folder):
     sql_with(
         "rides",
         "rides_d",
-        then=_HISTORY
+        then=HISTORY_SQL
         + f"""
         SELECT event_id, distance, rate_code, party, origin_id, dest_id, fare, {_BASIC},
                round(duration_min, 9) AS duration_min, CAST(start_date AS VARCHAR) AS start_date,
@@ -95,7 +97,7 @@ def _history_sql(column: str, alias: str) -> str:
     return sql_with(
         "rides",
         "rides_d",
-        then=_HISTORY
+        then=HISTORY_SQL
         + f""" SELECT origin_id, CAST(start_date AS VARCHAR) AS start_date,
                       round(day_avg, 6) AS day_avg, round({column}, 6) AS {alias} FROM history""",
     )
@@ -121,7 +123,7 @@ def last_seven_calendar(spark, folder):
     sql_with(
         "rides",
         "rides_d",
-        then=_HISTORY
+        then=HISTORY_SQL
         + """
         SELECT event_id, round(zone_prev_day_avg, 6) AS zone_prev_day_avg, round(zone_7d_avg, 6) AS zone_7d_avg
         FROM rides_d LEFT JOIN history USING (origin_id, start_date)""",
@@ -140,19 +142,23 @@ def cutoff(spark, folder):
     return split_date(day_counts(derived_sales(spark, folder, "start_ts", "end_ts")), TEST_FRACTION)
 
 
-def _counts(train, test):
-    def described(part, name):
-        return part.agg(
-            row_count().alias("rows"), F.min(START_DATE).alias("first"), F.max(START_DATE).alias("last")
-        ).withColumn("part", F.lit(name))
+def _counts_sql(train: str, test: str, view: str = "sales") -> str:
+    return sql_with(
+        "sales",
+        then=f""", undated AS (SELECT CASE WHEN order_key % 5 > 0 THEN start_ts END AS start_ts FROM sales)
+        SELECT CASE WHEN {train} THEN 'train' WHEN {test} THEN 'test' WHEN start_ts IS NULL THEN 'undated' END AS part,
+               count(*) AS rows, CAST(min(CAST(start_ts AS DATE)) AS VARCHAR) AS first,
+               CAST(max(CAST(start_ts AS DATE)) AS VARCHAR) AS last
+        FROM {view} GROUP BY 1 HAVING part IS NOT NULL""",
+    )
 
-    return described(train, "train").unionByName(described(test, "test"))
 
+def _dated_sales(spark, folder):
+    return derived_sales(spark, folder, "start_ts", "end_ts")
 
-def _counts_sql(train: str, test: str) -> str:
-    part = """SELECT '{}' AS part, count(*) AS rows, CAST(min(CAST(start_ts AS DATE)) AS VARCHAR) AS first,
-                     CAST(max(CAST(start_ts AS DATE)) AS VARCHAR) AS last FROM sales WHERE {}"""
-    return sql_with("sales", then=f" {part.format('train', train)} UNION ALL {part.format('test', test)}")
+
+def _cut_counts(facts, cutoff):
+    return split_counts(facts, is_train(cutoff), is_test(cutoff))
 
 
 @query(
@@ -160,12 +166,28 @@ def _counts_sql(train: str, test: str) -> str:
     _counts_sql(f"CAST(start_ts AS DATE) < {SALES_CUTOFF}", f"CAST(start_ts AS DATE) >= {SALES_CUTOFF}"),
 )
 def time_split_counts(spark, folder):
-    return _counts(*time_split(derived_sales(spark, folder, "start_ts", "end_ts"), TEST_FRACTION))
+    facts = _dated_sales(spark, folder)
+    return _cut_counts(facts, split_date(day_counts(facts), TEST_FRACTION).scalar())
+
+
+@query(
+    "time_split_undated",
+    _counts_sql(
+        f"CAST(start_ts AS DATE) < {SALES_CUTOFF.replace('sales', 'undated')}",
+        f"CAST(start_ts AS DATE) >= {SALES_CUTOFF.replace('sales', 'undated')}",
+        "undated",
+    ),
+)
+def time_split_undated(spark, folder):
+    facts = sales(spark, folder, "order_key", "start_ts", "end_ts")
+    start = F.when(F.col("order_key") % 5 > 0, F.col("start_ts"))
+    dated = with_derived(facts.withColumn("start_ts", start), SALES)
+    return _cut_counts(dated, split_date(day_counts(dated), TEST_FRACTION).scalar())
 
 
 @query("fixed_split", _counts_sql("start_ts < DATE '2000-10-01'", "start_ts >= DATE '2000-10-01'"))
 def fixed_split_counts(spark, folder):
-    return _counts(*fixed_split(derived_sales(spark, folder, "start_ts", "end_ts"), "2000-10-01"))
+    return _cut_counts(_dated_sales(spark, folder), F.lit("2000-10-01").cast("date"))
 
 
 @query(
@@ -176,11 +198,11 @@ def fixed_split_counts(spark, folder):
     ),
 )
 def period_split_counts(spark, folder):
-    facts = derived_sales(spark, folder, "start_ts", "end_ts")
-    return _counts(*period_split(facts, ("1999-01-01", "1999-12-31"), ("2000-01-01", "2000-01-31")))
+    parts = within("1999-01-01", "1999-12-31"), within("2000-01-01", "2000-01-31")
+    return split_counts(_dated_sales(spark, folder), *parts)
 
 
-_FILLED = """, joined AS (
+FILLED_SQL = """, joined AS (
   SELECT * FROM rides_d LEFT JOIN history USING (origin_id, start_date)
 ), cut AS (
   SELECT quantile_disc(start_date, 0.8) AS d FROM rides_d
@@ -190,13 +212,13 @@ _FILLED = """, joined AS (
 _IMPUTED_SQL = sql_with(
     "rides",
     "rides_d",
-    then=_HISTORY
-    + _FILLED
+    then=HISTORY_SQL
+    + FILLED_SQL
     + """
     SELECT event_id, CASE WHEN start_date < d THEN 'train' ELSE 'test' END AS part,
            round(coalesce(zone_prev_day_avg, prev), 6) AS zone_prev_day_avg,
            round(coalesce(zone_7d_avg, week), 6) AS zone_7d_avg
-    FROM joined, cut, means""",
+    FROM joined, cut, means WHERE start_date IS NOT NULL""",
 )
 
 
@@ -227,11 +249,12 @@ def built(spark, folder):
     sql_with(
         "rides",
         "rides_d",
-        then=_HISTORY
-        + _FILLED
+        then=HISTORY_SQL
+        + FILLED_SQL
         + """
         SELECT count(*) FILTER (WHERE start_date < d) AS n_train,
                count(*) FILTER (WHERE start_date >= d) AS n_test,
+               count(*) FILTER (WHERE start_date IS NULL) AS n_undated,
                CAST(any_value(d) AS VARCHAR) AS split_date, CAST(0.2 AS DOUBLE) AS test_fraction,
                18 AS n_features,
                round(any_value(prev), 6) AS fill_zone_prev_day_avg,

@@ -284,7 +284,7 @@ def ablated(spark, folder):
 @query("eval.importance")
 def importance(spark, folder):
     trained = _full_fit(spark, folder, "dtree")
-    return feature_importance(trained.model, spark, model_features(SALES), top=12)
+    return feature_importance(trained.model, spark, model_features(SALES))
 
 
 @query("score_trips")

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfare.catalog.registry import SALES_CUTOFF, query, sql_with
-from wayfare.functions.timeparts import month_start
+from wayfare.catalog.features import FILLED_SQL, HISTORY_SQL
+from wayfare.catalog.registry import query, sql_with
 from wayfare.operators.aggregates import row_count
-from wayfare.operators.cleaning import with_derived
 from wayfare.operators.coverage import coverage_summary, period_gaps, periods_present
-from wayfare.operators.split import time_split
+from wayfare.plans.features import write_processed
 from wayfare.sources.monthly import file_stats, load_months, load_stats
 from wayfare.sources.schemas import cast_present, columns, conform, project, schema_drift, union_by_name
 from wayfare.sources.sinks import shared_folder, write_partitioned
@@ -19,13 +18,12 @@ from wayfare.sources.tables import RIDES, SALES, rides, sales, table, zones
 
 @query(
     "load_cast",
-    """SELECT l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber, l_quantity, l_extendedprice,
-              l_returnflag, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate
+    """SELECT * REPLACE (CAST(l_linenumber AS DOUBLE) AS l_linenumber,
+                         strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate)
        FROM lineitem""",
 )
 def load_cast(spark, folder):
-    lines = table(spark, folder, "lineitem").drop("l_partkey", "l_suppkey", "l_discount", "l_tax", "l_linestatus")
-    return cast_present(lines, ["l_linenumber", "l_extendedprice", "airport_fee"])
+    return cast_present(table(spark, folder, "lineitem"), ["l_linenumber", "l_extendedprice", "airport_fee"])
 
 
 _ORDERS = columns(
@@ -56,7 +54,7 @@ def _drifted_orders(spark, folder):
         F.col("o_custkey").cast("double").alias("customer"),
         "year",
     )
-    new = orders.filter(year >= 1999).select(
+    new = orders.filter((year >= 1999) | year.isNull()).select(
         F.col("o_orderkey").alias("order_key"),
         F.col("o_custkey").alias("customer"),
         F.col("o_orderdate").alias("ordered"),
@@ -97,11 +95,12 @@ def conform_schema(spark, folder):
 )
 def load_union(spark, folder):
     base = shared_folder(spark, "vintages")
+    paths = {"2099": f"{base}/new/year=2099"}
     for name, vintage in _drifted_orders(spark, folder).items():
         write_partitioned(vintage, f"{base}/{name}", "year")
-    vintage_of = {1995: "old", 1996: "old", 1997: "middle", 1998: "middle", 2099: "new"}
-    years = [*range(1995, 2002), 2099]
-    paths = {str(y): f"{base}/{vintage_of.get(y, 'new')}/year={y}" for y in years}
+        for row in vintage.select("year").distinct().collect():
+            value = "__HIVE_DEFAULT_PARTITION__" if row["year"] is None else row["year"]
+            paths[str(value)] = f"{base}/{name}/year={value}"
     loaded = load_months(spark, paths, schema=_ORDERS)
     return (
         loaded.df.groupBy(F.year("ordered").alias("year"))
@@ -244,29 +243,39 @@ def day_gaps(spark, folder):
     return period_gaps(present, "day", RIDES.origin)
 
 
+# The processed columns that both engines sum to compare the written table.
+_PROCESSED = ["fare", "distance", "duration_min", "log_distance", "pickup_hour", "is_airport", "zone_7d_avg", "zone_prev_day_avg"]
+
+
 @query(
     "write_roundtrip",
     sql_with(
-        "sales",
-        then=f"""
-        SELECT CASE WHEN CAST(start_ts AS DATE) < {SALES_CUTOFF} THEN 'train' ELSE 'test' END AS part,
-               CAST(CAST(date_trunc('month', start_ts) AS DATE) AS VARCHAR) AS month,
-               count(*) AS rows, round(sum(fare), 2) AS fare
-        FROM sales GROUP BY 1, 2""",
+        "rides",
+        "rides_d",
+        then=HISTORY_SQL
+        + FILLED_SQL
+        + """
+        SELECT CASE WHEN start_date < d THEN 'train' ELSE 'test' END AS part,
+               CAST(CAST(date_trunc('month', start_date) AS DATE) AS VARCHAR) AS month,
+               count(*) AS rows, 21 AS n_columns, round(sum(fare), 2) AS fare, round(sum(distance), 2) AS distance,
+               round(sum(duration_min), 2) AS duration_min, round(sum(ln(1 + distance)), 2) AS log_distance,
+               CAST(sum(hour(start_ts)) AS BIGINT) AS pickup_hour,
+               CAST(count(*) FILTER (WHERE origin_id IN (1, 13, 18) OR dest_id IN (1, 13, 18)) AS BIGINT) AS is_airport,
+               round(sum(coalesce(zone_7d_avg, week)), 2) AS zone_7d_avg,
+               round(sum(coalesce(zone_prev_day_avg, prev)), 2) AS zone_prev_day_avg
+        FROM joined, cut, means WHERE start_date IS NOT NULL GROUP BY 1, 2""",
     ),
     digits=2,
 )
 def write_roundtrip(spark, folder):
-    facts = with_derived(sales(spark, folder, "start_ts", "end_ts", "distance", "fare"), SALES)
-    base = shared_folder(spark, "processed")
-    parts = dict(zip(("train", "test"), time_split(facts, 0.2), strict=True))
-    for name, part in parts.items():
-        write_partitioned(part.withColumn("month", month_start("start_ts")), f"{base}/{name}", "month")
-    back = [
-        spark.read.parquet(f"{base}/{name}").withColumn("part", F.lit(name)) for name in parts
-    ]
-    return (
-        union_by_name(back)
-        .groupBy("part", "month")
-        .agg(row_count().alias("rows"), F.sum("fare").alias("fare"))
-    )
+    """The processed train and test tables, written by (part, month) in one go and read back by part."""
+    path = f"{shared_folder(spark, 'processed')}/features"
+    write_processed(rides(spark, folder), RIDES, path)
+    sums = [F.sum(c).alias(c) for c in _PROCESSED]
+
+    def summary(part: str):
+        back = spark.read.parquet(path).filter(F.col("part") == part)
+        kept = [c for c in back.columns if c not in ("part", "month")]
+        return back.groupBy("part", "month").agg(row_count().alias("rows"), F.lit(len(kept)).alias("n_columns"), *sums)
+
+    return summary("train").unionByName(summary("test"))

@@ -1,7 +1,8 @@
 """Time-ordered train/test split and train-only imputation.
 
-Cutoffs and fill values stay inside the plan as scalar subqueries: nothing is collected
-and no cross join is needed to bring a one-row result to the facts.
+Cutoffs and fill values stay inside the plan as scalar subqueries: no cross join is needed to bring a
+one-row result to the facts. Rows without a date can be put neither before nor after a cutoff: they are on no
+side of a split, and :func:`split_counts` and the feature report count them.
 """
 
 from __future__ import annotations
@@ -37,14 +38,28 @@ def split_date(days: DataFrame, test_fraction: float) -> DataFrame:
 
 
 def is_train(cutoff: Column) -> Column:
-    """True before the cutoff; without a cutoff every dated or undated row trains."""
-    return (F.col(START_DATE) < cutoff) | cutoff.isNull()
+    """True before the cutoff; without a cutoff every dated row trains."""
+    return (F.col(START_DATE) < cutoff) | (cutoff.isNull() & F.col(START_DATE).isNotNull())
 
 
 def is_test(cutoff: Column) -> Column:
     return F.col(START_DATE) >= cutoff
 
 
+def part_of(train: Column, test: Column) -> Column:
+    """'train', 'test', 'undated', or NULL for a dated row on neither side."""
+    sided = F.when(train, "train").when(test, "test")
+    return sided.when(F.col(START_DATE).isNull(), "undated")
+
+
+def split_counts(df: DataFrame, train: Column, test: Column) -> DataFrame:
+    """(part, rows, first, last) of each side and of the undated rows, in one pass."""
+    parted = df.withColumn("part", part_of(train, test)).filter(F.col("part").isNotNull())
+    return parted.groupBy("part").agg(
+        row_count().alias("rows"), F.min(START_DATE).alias("first"), F.max(START_DATE).alias("last")
+    )
+
+
 def split_at(df: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(is_train(cutoff)), df.filter(is_test(cutoff))
 
@@ -69,14 +84,14 @@ def fixed_split(df: DataFrame, first_test_day: str) -> tuple[DataFrame, DataFram
     return split_at(df, F.lit(first_test_day).cast("date"))
 
 
+def within(first: str, last: str) -> Column:
+    return F.col(START_DATE).between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+
+
 def period_split(
     df: DataFrame, train: tuple[str, str], test: tuple[str, str]
 ) -> tuple[DataFrame, DataFrame]:
     """Two date ranges, both ends inclusive; rows in neither are left out."""
-
-    def within(first: str, last: str) -> Column:
-        return F.col(START_DATE).between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-
     return df.filter(within(*train)), df.filter(within(*test))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.labels import label_by_code
-from wayfare.functions.timeparts import weekday_name
+from wayfare.functions.timeparts import month_start, weekday_name
 from wayfare.operators.aggregates import group_by, row_count
 from wayfare.operators.cleaning import with_derived
 from wayfare.operators.features import CALENDAR, CYCLIC, FLAGS, basic_features
 from wayfare.operators.history import HISTORY, join_history, zone_days, zone_history
-from wayfare.operators.split import fill_with, is_test, is_train, split_at, split_date
+from wayfare.operators.split import fill_with, is_test, is_train, part_of, split_at, split_date
 from wayfare.roles import DURATION, START_DATE, Roles
-from wayfare.sources.sinks import stored
+from wayfare.sources.sinks import stored, write_partitioned
 
 # Fixed value: share of the rows held out as the future.
 TEST_FRACTION = 0.2
@@ -77,6 +77,19 @@ def build_features(df: DataFrame, roles: Roles, test_fraction: float = TEST_FRAC
     )
 
 
+def write_processed(df: DataFrame, roles: Roles, path: str, test_fraction: float = TEST_FRACTION) -> None:
+    """Write :func:`processed_columns` of both parts, by part and month, in one job; undated rows are on neither side."""
+    rows = basic_features(df, roles)
+    history = stored_history(rows, roles)
+    cutoff = split_date(_days(history), test_fraction)
+    means = _train_means(history, cutoff, roles)
+    cut = cutoff.scalar()
+    joined = join_history(rows, history, roles).withColumn("part", part_of(is_train(cut), is_test(cut)))
+    dated = joined.filter(F.col(START_DATE).isNotNull())
+    filled = fill_with(dated, means, HISTORY).withColumn("month", month_start(START_DATE))
+    write_partitioned(filled.select(*processed_columns(roles), "part", "month"), path, "part", "month")
+
+
 def _days(history: DataFrame) -> DataFrame:
     return history.groupBy(START_DATE).agg(F.sum("trips").alias("trips"))
 
@@ -102,11 +115,13 @@ def _report(
     counted = _days(history).agg(
         F.coalesce(F.sum(F.when(is_train(cut), F.col("trips"))), F.lit(0)).alias("n_train"),
         F.coalesce(F.sum(F.when(is_test(cut), F.col("trips"))), F.lit(0)).alias("n_test"),
+        F.coalesce(F.sum(F.when(F.col(START_DATE).isNull(), F.col("trips"))), F.lit(0)).alias("n_undated"),
     )
     fills = means.select(F.struct(*HISTORY)).scalar()
     return counted.select(
         "n_train",
         "n_test",
+        "n_undated",
         cut.alias("split_date"),
         F.lit(test_fraction).alias("test_fraction"),
         F.lit(len(feature_columns(roles))).alias("n_features"),

@@ -129,7 +129,7 @@ register_model(
         seeded=True,
     )
 )
-# Boosting under the parameter names gradient-boosting libraries use, fitted by Spark.
+# An alias: the same learner as ``gbt`` under the parameter names gradient-boosting libraries use.
 register_model(
     ModelSpec(
         "boosted",
@@ -151,34 +151,33 @@ def model_frame(df: DataFrame, roles: Roles, target: str) -> DataFrame:
     return prepare_frame(basic_features(df, roles), roles, target)
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rebalance cached rows when they sit in so few partitions that most cores idle.
+# Partitions that a fit reads: fixed, so that neither the cluster nor the input's layout changes the model.
+FIT_PARTITIONS = 32
 
-    A fit passes over its rows many times, so one shuffle of the narrow training columns
-    pays off; rows already in enough partitions stay where they are.
+
+def _arranged(rows: DataFrame, partitions: int) -> DataFrame:
+    """The same rows in the same order and partitions, however they arrive.
+
+    Tree learners sample bins and rows by partition and place, and sums of doubles depend on their order.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() * 2 > cores:
-        return rows
-    return rows.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    return rows.repartition(partitions, *rows.columns).sortWithinPartitions(*rows.columns)
 
 
 def fit(
-    train: DataFrame, key: str, label: str, features: list[str], **params: float
+    train: DataFrame, key: str, label: str, features: list[str], partitions: int = FIT_PARTITIONS, **params: float
 ) -> PipelineModel:
     """Assemble ``features`` and fit the registered model.
 
     A NULL or NaN feature fails the fit instead of silently poisoning it. The few columns
-    the fit reads are kept on the executors, with spilling; a lost block is recomputed
-    from the source.
+    the fit reads are dealt to ``partitions`` partitions by their hash, a number to set by the size of the
+    training table, and kept on the executors, with spilling; a lost block is recomputed from the source.
     """
-    rows = train.select(*dict.fromkeys([*features, label])).persist(StorageLevel.MEMORY_AND_DISK)
-    spread = _spread(rows)
+    narrow = train.select(*dict.fromkeys([*features, label]))
+    rows = _arranged(narrow, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         assembler = VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="error")
-        return Pipeline(stages=[assembler, MODELS[key].build(label, **params)]).fit(spread)
+        return Pipeline(stages=[assembler, MODELS[key].build(label, **params)]).fit(rows)
     finally:
-        spread.unpersist()
         rows.unpersist()
 
 

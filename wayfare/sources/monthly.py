@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -16,60 +18,80 @@ from wayfare.operators.aggregates import row_count
 from wayfare.sources.schemas import cast_present, conform, union_by_name
 
 
+# Footers that the driver asks for at a time.
+_FOOTERS_AT_ONCE = 16
+
+
 class Loaded(NamedTuple):
     df: DataFrame | None
     present: list[str]
     missing: list[str]
+    unmatched: list[str] = []
+
+
+def _stored_files(spark: SparkSession, path: str) -> list[str]:
+    """The Parquet files at or directly under ``path``; none if it does not exist."""
+    try:
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+        return sorted(r["path"] for r in listed.select("path").collect())
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def _schemas(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Stored schema (as JSON) -> the files that have it."""
+    vintages: dict[str, list[str]] = defaultdict(list)
+    with ThreadPoolExecutor(_FOOTERS_AT_ONCE) as pool:
+        found = pool.map(lambda file: spark.read.parquet(file).schema.json(), files)
+        for file, schema in zip(files, found, strict=True):
+            vintages[schema].append(file)
+    return vintages
 
 
 def load_months(
     spark: SparkSession,
-    paths: dict[str, str],
+    paths: Mapping[str, str | Sequence[str]],
     schema: T.StructType | None = None,
     money: list[str] = (),
 ) -> Loaded:
     """Union the months that exist; absent ones are reported, not fatal.
 
-    ``paths`` maps a month to its file or folder. Only footers are read here. Months that
+    ``paths`` maps a month to its file or folder, or to several. Only listings and footers are read here. Files that
     share a stored schema become one scan, so the plan grows with the number of schema
-    vintages rather than with the number of files. With ``schema`` every vintage is
-    conformed to it; without, ``money`` columns become double and columns merge by name.
+    vintages rather than with the number of files, and no file is read with another's schema. With ``schema`` every
+    vintage is conformed to it; without, ``money`` columns become double and columns merge by name.
     """
-    vintages: dict[str, list[str]] = defaultdict(list)
+    files: list[str] = []
     present, missing = [], []
     for month in sorted(paths):
-        try:
-            stored = spark.read.parquet(paths[month]).schema
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            missing.append(month)
-            continue
-        present.append(month)
-        vintages[stored.json()].append(paths[month])
-    if not present:
+        given = [paths[month]] if isinstance(paths[month], str) else paths[month]
+        found = [file for path in given for file in _stored_files(spark, path)]
+        (present if found else missing).append(month)
+        files += found
+    if not files:
         return Loaded(None, [], missing)
     parts = [
-        spark.read.schema(T.StructType.fromJson(json.loads(stored))).parquet(*files)
-        for stored, files in vintages.items()
+        spark.read.schema(T.StructType.fromJson(json.loads(stored))).parquet(*own)
+        for stored, own in _schemas(spark, files).items()
     ]
     fixed = [conform(p, schema) if schema else cast_present(p, list(money)) for p in parts]
     return Loaded(union_by_name(fixed), present, missing)
 
 
-def monthly_files(
-    spark: SparkSession, folder: str, name: str = r"(\d{4}-\d{2})\.parquet$"
-) -> DataFrame:
-    """(month, path, bytes) of the files whose name carries their month; nothing is read."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .load(folder)
-        .select("path", F.regexp_extract("path", name, 1).alias("found"), F.col("length").alias("bytes"))
-        .filter(F.col("found") != "")
+def folder_files(spark: SparkSession, folder: str, name: str = r"(\d{4}-\d{2})\.parquet$") -> DataFrame:
+    """(month, path, bytes) of every Parquet file of a folder; the month is NULL where the name carries none."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+    found = F.nullif(F.regexp_extract("path", name, 1), F.lit(""))
+    return listed.select(
+        F.to_date(F.concat(found, F.lit("-01"))).alias("month"), "path", F.col("length").alias("bytes")
     )
-    month = F.to_date(F.concat(F.col("found"), F.lit("-01")))
-    return listed.select(month.alias("month"), "path", "bytes")
+
+
+def monthly_files(spark: SparkSession, folder: str, name: str = r"(\d{4}-\d{2})\.parquet$") -> DataFrame:
+    """(month, path, bytes) of the files whose name carries their month; nothing is read."""
+    return folder_files(spark, folder, name).filter("month IS NOT NULL")
 
 
 def month_range(first: str, last: str) -> list[str]:
@@ -89,12 +111,20 @@ def load_folder(
 ) -> Loaded:
     """:func:`load_months` over a folder of monthly files; all of them by default.
 
-    Only the listing, one row per monthly file, comes to the driver.
+    A month may have several files. Files whose name carries no month are not loaded but returned as ``unmatched``. Only the
+    listing, one row per file, comes to the driver.
     """
-    found = {f"{r['month']:%Y-%m}": r["path"] for r in monthly_files(spark, folder).collect()}
+    found: dict[str, list[str]] = defaultdict(list)
+    unmatched = []
+    for r in folder_files(spark, folder).orderBy("path").collect():
+        if r["month"] is None:
+            unmatched.append(r["path"])
+        else:
+            found[f"{r['month']:%Y-%m}"].append(r["path"])
     wanted = sorted(set(months)) if months is not None else sorted(found)
     loaded = load_months(spark, {m: found[m] for m in wanted if m in found}, schema, money)
-    return loaded._replace(missing=[*loaded.missing, *[m for m in wanted if m not in found]])
+    absent = [m for m in wanted if m not in found]
+    return loaded._replace(missing=[*loaded.missing, *absent], unmatched=unmatched)
 
 
 def load_stats(df: DataFrame, start: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,26 +9,21 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the one the session names in ``spark.checkpoint.dir``.
+    """A fresh folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset.
 
-    Where that is unset, local mode gets a temporary folder; a cluster must name one,
-    since executors cannot see the driver's disk.
+    Both are storage that the driver and all executors reach.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="wayfare-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """Overwrite ``path`` as Parquet, one folder per ``by`` value.
+def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
+    """Overwrite ``path`` as Parquet, one folder per combination of ``by`` values.
 
     The rebalance hint gathers a partition value's rows so tasks do not each open a file
     per value, while adaptive execution still splits a value too big for one task.
     """
-    df.hint("rebalance", F.col(by)).write.mode("overwrite").partitionBy(by).parquet(path)
+    df.hint("rebalance", *map(F.col, by)).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
