@@ -8,8 +8,8 @@ each (their prefixes), so documents meet by prefix shingle only:
 2. Each class is verified against one hub: among the smallest classes of its shingles, the one that it shares most
    of them with. Large sets of near copies are joined to few hubs by that, with one candidate each, not all pairs.
 3. Classes still in different components are joined on their shingles in full. A pair goes on only if sizes, the
-   shingle's place in both sets and the distance of the sets' odd sketches (parity bits; they can differ in no more
-   bits than the sets differ in elements) allow the threshold. None of these filters loses a link.
+   shingle's place in both sets allow the threshold, and then the distance of the sets' odd sketches (parity bits; they
+   can differ in no more bits than the sets differ in elements). None of these filters loses a link.
 4. Candidates are verified on whole sets, recomputed from the texts; links become components.
 
 A document without words has the empty set and links with nothing, not with another empty one. Repeated rows and
@@ -36,16 +36,16 @@ from wayfare.llm.subwords import mixed
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-FREQUENT = 1 << 16
-# A shingle counts as met in a batch of documents if so many of them hold it.
-_LEAST_IN_BATCH = 8
-_SKETCH_BITS = 1024
+FREQUENT = 1 << 18
+# A shingle is counted in an Arrow batch of documents if so many of them hold it.
+_LEAST_IN_BATCH = 2
+_LEAST_SKETCH_BITS = 1024
 # Pairs of one class that a task verifies together.
 _PORTION = 500
 
 
 def frequent_shingles(texts: DataFrame, size: int, most: int = FREQUENT) -> np.ndarray:
-    """The ``most`` most frequent shingle hashes, rarest first."""
+    """The most frequent shingle hashes, rarest first: of all counts the least that at most ``most`` shingles reach."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,13 +55,21 @@ def frequent_shingles(texts: DataFrame, size: int, most: int = FREQUENT) -> np.n
             columns = [pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))]
             yield pa.record_batch(columns, names=["shingle", "n"])
 
-    counted = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(most).toPandas().sort_values(["n", "shingle"])
-    return top["shingle"].to_numpy(np.int64).view(np.uint64)
+    partial = texts.select("text").mapInArrow(count, "shingle long, n long")
+    counted = stored(partial.groupBy("shingle").agg(F.sum("n").alias("n")), "frequencies")
+    by_count = counted.groupBy("n").agg(F.count(F.lit(1)).alias("shingles"))
+    so_far = Window.orderBy(F.desc("n"))  # over the distinct counts
+    reached = by_count.select("n", F.sum("shingles").over(so_far).alias("reached")).filter(F.col("reached") <= most)
+    least = reached.agg(F.min("n")).first()[0]
+    top = counted.filter(F.col("n") >= F.lit(least)).toArrow()  # at most `most` rows, none if `least` is NULL
+    shingles, counts = (top.column(i).to_numpy() for i in range(2))
+    return shingles[np.lexsort((shingles, counts))].astype(np.int64).view(np.uint64)
 
 
 def odd_sketch(shingles: np.ndarray) -> np.ndarray:
-    bits = np.bincount((shingles % np.uint64(_SKETCH_BITS)).astype(np.int64), minlength=_SKETCH_BITS) & 1
+    """The parity of the elements that hash to each bit; as many bits as elements at least, a power of two."""
+    size = max(_LEAST_SKETCH_BITS, 1 << max(len(shingles) - 1, 0).bit_length())
+    bits = np.bincount((shingles % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -172,23 +180,35 @@ def open_candidates(shared: DataFrame, sketches: DataFrame, joined: DataFrame, p
     rooted = labelled.withColumn("root", F.coalesce("root", "class"))
     of_shingle = Window.partitionBy("shingle")
     mixed_roots = rooted.withColumn("apart", F.min("root").over(of_shingle) < F.max("root").over(of_shingle)).filter("apart")
-    rows = stored(mixed_roots.select("shingle", "class", "n", "place", "root").join(sketches, "class"), "open")
+    rows = stored(mixed_roots.select("shingle", "class", "n", "place", "root"), "open")
     a, b = rows.alias("a"), rows.alias("b")
     n_a, n_b = F.col("a.n"), F.col("b.n")
-    need = _need(n_a, n_b, percent)
-    differing = sum(
-        F.bit_count(F.get("a.sketch", F.lit(i)).bitwiseXOR(F.get("b.sketch", F.lit(i)))) for i in range(_SKETCH_BITS // 64)
-    )
-    pairs = a.join(
+    met = a.join(
         b,
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.class") < F.col("b.class"))
         & (F.col("a.root") != F.col("b.root"))
         & _sizes_allow(n_a, n_b, percent)
-        & (F.least(n_a - F.col("a.place"), n_b - F.col("b.place")) >= need)
-        & (differing <= n_a + n_b - 2 * need),
+        & (F.least(n_a - F.col("a.place"), n_b - F.col("b.place")) >= _need(n_a, n_b, percent)),
+    )
+    pairs = met.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), n_a.alias("n_a"), n_b.alias("n_b")).distinct()
+    sketched = pairs.join(sketches.select(F.col("class").alias("a"), F.col("sketch").alias("s_a")), "a").join(
+        sketches.select(F.col("class").alias("b"), F.col("sketch").alias("s_b")), "b"
+    )
+    most = F.col("n_a") + F.col("n_b") - 2 * _need(F.col("n_a"), F.col("n_b"), percent)
+    return sketched.filter(_differing_bits(F.col("s_a"), F.col("s_b")) <= most).select("a", "b")
+
+
+def _differing_bits(a: Column, b: Column) -> Column:
+    """Bits in which two odd sketches differ, the longer one folded; sizes that allow a link differ by one fold at most."""
+    length = F.least(F.size(a), F.size(b))
+
+    def word(sketch: Column, i: Column) -> Column:
+        return F.get(sketch, i).bitwiseXOR(F.when(F.size(sketch) > length, F.get(sketch, i + length)).otherwise(F.lit(0).cast("long")))
+
+    return F.aggregate(
+        F.sequence(F.lit(0), length - 1), F.lit(0), lambda n, i: n + F.bit_count(word(a, i).bitwiseXOR(word(b, i)))
     )
-    return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
 
 def document_components(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
