@@ -92,9 +92,18 @@ def duplicate_fingerprints(spark, folder):
     return duplicate_rows(table(spark, folder, "lineitem"))
 
 
-@query("duplicate_rows_approx")
+@query(
+    "duplicate_rows_approx",
+    """SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS distinct_rows, true AS within_bound
+       FROM lineitem""",
+)
 def duplicate_estimate(spark, folder):
-    return duplicate_rows_approx(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"))
+    """The estimate against the exact count: within five standard deviations of the sketch."""
+    rsd, keys = 0.01, table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+    estimate = duplicate_rows_approx(keys, rsd).select("rows", "approx_distinct")
+    exact = duplicate_rows(keys).select("distinct_rows").scalar()
+    off = F.abs(F.col("approx_distinct") - exact)
+    return estimate.select("rows", exact.alias("distinct_rows"), (off <= 5 * rsd * exact).alias("within_bound"))
 
 
 _NUMERIC = ["fare", "total", "distance", "party", DURATION]

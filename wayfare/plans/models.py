@@ -29,6 +29,7 @@ from wayfare.operators.features import basic_features
 from wayfare.operators.split import resolved_split
 from wayfare.roles import Roles
 from wayfare.sources.schemas import columns
+from wayfare.sources.sinks import stored
 
 FEATURES = "features"
 SEED = 42
@@ -151,6 +152,14 @@ def model_frame(df: DataFrame, roles: Roles, target: str) -> DataFrame:
     return prepare_frame(basic_features(df, roles), roles, target)
 
 
+def stored_frame(df: DataFrame, roles: Roles, target: str) -> DataFrame:
+    """:func:`model_frame` written once, for the cutoff, the fit and the scoring that all read it.
+
+    Computed lazily it would repeat the joins and the cleaning behind ``df`` for each of them.
+    """
+    return stored(model_frame(df, roles, target), "model-rows")
+
+
 # Partitions that a fit reads: fixed, so that neither the cluster nor the input's layout changes the model.
 FIT_PARTITIONS = 32
 
@@ -249,7 +258,7 @@ def train_and_score(
     ``max_rows`` thins the training part to about that many rows, chosen by the hash of
     ``keys``; the hold-out is always scored whole.
     """
-    train, test = resolved_split(model_frame(df, roles, target), test_fraction)
+    train, test = resolved_split(stored_frame(df, roles, target), test_fraction)
     if max_rows is not None:
         train = cap_rows(train, max_rows, *keys)
     model = fit(train, key, target, features, **params)
@@ -260,7 +269,7 @@ def evaluate_saved(
     model: PipelineModel, df: DataFrame, roles: Roles, target: str, test_fraction: float = 0.2
 ) -> DataFrame:
     """Metrics of a loaded model on the hold-out rebuilt from ``df``."""
-    _, test = resolved_split(model_frame(df, roles, target), test_fraction)
+    _, test = resolved_split(stored_frame(df, roles, target), test_fraction)
     return regression_metrics(score(model, test), target)
 
 
@@ -268,7 +277,7 @@ def ablation(
     df: DataFrame, roles: Roles, key: str, target: str, subsets: Mapping[str, list[str]], **params: float
 ) -> DataFrame:
     """(features, n_features, n, rmse, mae, r2): one fit per feature subset."""
-    train, test = resolved_split(model_frame(df, roles, target), 0.2)
+    train, test = resolved_split(stored_frame(df, roles, target), 0.2)
     table = None
     for name, features in subsets.items():
         scored = score(fit(train, key, target, features, **params), test)
