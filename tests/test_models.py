@@ -49,7 +49,7 @@ def priced(trips):
     return trips(*changes).cache()
 
 
-def test_registry_checks_parameters():
+def test_registry_checks_parameters(spark):
     assert set(MODELS) == {"linear", "dtree", "rforest", "gbt", "boosted"}
     built = MODELS["boosted"].build("fare", n_estimators=30, learning_rate=0.1)
     assert (built.getMaxIter(), built.getMaxDepth(), built.getStepSize()) == (30, 6, 0.1)
