@@ -4,8 +4,8 @@ A short item resembles a long document little, so containment is searched among
 partitioned by the size of their shingle sets (powers of two). For a partition of sizes up to s, a document is read as
 overlapping windows of 2s shingles every s: one of them holds the whole of any passage of up to s shingles. A window's and
 an item's MinHash values agree, each with the chance of their resemblance; the containment asked and the largest window make
-that at least ``least_resemblance``, and ``HASHES`` values of one row a band miss a passage that just reaches it with
-a chance of (1 - resemblance)^HASHES, 0.02 % for a verbatim one. Each (document, item) that agrees in any value is a candidate,
+that at least ``least_resemblance``, and ``HASHES`` values of one row a band miss a passage with a chance of
+(1 - resemblance)^HASHES: at most 0.01 % for a verbatim one, 0.3 % for one that just reaches 75 %. Each (document, item) that agrees in any value is a candidate,
 and is reported if the document's whole shingle set holds at least ``percent`` of the item's.
 
 Items are searched in blocks of at most ``ITEMS_PER_BLOCK`` by (size, hash), each broadcast to one pass over the documents without a
