@@ -33,9 +33,9 @@ SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 17
 PER_LANGUAGE = 400
 UNDETERMINED = "und"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 350_000
 BLOCK = 64
-SLICE_WORDS = 300_000
+SLICE_WORDS = 200_000
 _SEED = 20_24
 _MOST_LOGIT = 30.0
 

@@ -32,7 +32,7 @@ CAPACITY = 1024
 OPEN_BINS = 512
 END_ID = 2
 # Words kept with their ids by one Python worker.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

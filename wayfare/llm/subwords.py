@@ -63,6 +63,10 @@ def ngrams(words: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.nda
     return np.concatenate(owners), np.concatenate(hashes), np.concatenate(places)
 
 
+# New words scored together: their features take about 500 bytes a word for the moment.
+_SCORED_AT_ONCE = 20_000
+
+
 class WordScores(dict):
     """word -> number of its row in :attr:`rows`, grown by whole batches of new words.
 
@@ -86,7 +90,9 @@ class WordScores(dict):
         if end > len(self.rows):
             more = np.zeros((max(end, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]), np.float32)
             self.rows = np.concatenate([self.rows, more])
-        self.rows[start:end] = self.score(new)
+        for at in range(0, len(new), _SCORED_AT_ONCE):
+            part = new[at : at + _SCORED_AT_ONCE]
+            self.rows[start + at : start + at + len(part)] = self.score(part)
         self.update(zip(new, range(start, end)))
 
     def numbers(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ BUCKETS = 1 << 17
 DIMENSIONS = 4
 PASSAGE = 50
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 4500
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 _SEED = 20_24
 
 
