@@ -55,6 +55,24 @@ def test_language_without_labels_or_documents(documents):
     assert language.detect_languages(documents([]), one).collect() == []
 
 
+def test_a_rare_label_with_blank_texts_only_spoils_no_other_language(spark, tmp_path):
+    pick = random.Random(2)
+    blank = [" \n\u00a0\u2003\x1c", "", " "]
+    rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(language_rows(pick, 100))]
+    rows += [(1000 + i, blank[i % 3], "ab", "s", 0) for i in range(9)] + [(2000, None, "xx", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.QUERIES["op7_language_id"](spark, str(tmp_path)).collect()}
+    worded = [r for r in rows if r[0] < 1000]
+    assert len(found) == len(rows) and all(found[i].lang_pred == "und" for i in found if i >= 1000)
+    assert sum(found[r[0]].lang_pred == r[2] for r in worded) >= 0.98 * len(worded)
+    model = language.fit(docs, F.lit(True))
+    assert model.languages == ["aa", "bb", "cc"] and model.weights.any()
+    assert language.train(["a b", " "], ["en", "xx"]).languages == ["en"] and language.train([" "], ["xx"]).languages == []
+    assert language.keep_determined(docs, model, 0.5).count() >= 0.98 * len(worded)
+    assert language.labelled_sample(docs, F.lit(True)).filter("doc_id >= 1000").count() == 0
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     lengths = np.array([1, 4, 0, 6, 130])

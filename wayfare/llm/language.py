@@ -13,8 +13,9 @@ Labelling is one pass without a shuffle. Chains are cut into blocks whose transf
 all blocks of many documents advance together, exactly.
 
 NULL texts and texts without letters are ``und`` with score 0. A document's chain starts from an even mix of languages.
-Ties go to the language first in alphabetical order. Repeated rows are labelled alike. With nothing to learn from,
-every document is ``und``; with one language, all with letters are that one. Extra columns are not read.
+Ties go to the language first in alphabetical order. Repeated rows are labelled alike. Blank texts teach nothing: a language
+that has no others is left out. With nothing to learn from, every document is ``und``; with one language, all with letters are
+that one. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ BLOCK = 64
 SLICE_WORDS = 200_000
 _SEED = 20_24
 _MOST_LOGIT = 30.0
+_HAS_WORDS = r"(?U)[^\s\x1c-\x1f]"  # what str.split leaves
 
 
 @dataclass(frozen=True)
@@ -139,13 +141,13 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> np
 
 def train(texts: list[str], languages: list[str], steps: int = 240, rate: float = 0.4, batch: int = 48, length: int = 128) -> LanguageModel:
     """Adagrad on the conditional likelihood of code-switched chains of passages from ``texts``."""
-    names = sorted(set(languages))
     vocabulary: dict[str, int] = {}
     coded = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in tokens(t)), np.int32) for t in texts]
+    names = sorted({own for c, own in zip(coded, languages) if len(c)})
     pools = [[c for c, own in zip(coded, languages) if own == name and len(c)] for name in names]
     weights = np.zeros((BUCKETS, len(names)), np.float32)
     transitions = np.zeros((len(names), len(names)))
-    if len(names) < 2 or not all(pools):
+    if len(names) < 2:
         return LanguageModel(names, weights, transitions)
     owners, buckets = _features(list(vocabulary))
     begin = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(vocabulary)))])
@@ -196,8 +198,8 @@ def train(texts: list[str], languages: list[str], steps: int = 240, rate: float
 
 
 def labelled_sample(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` (doc_id, text, lang) rows of each language among ``allowed`` rows with text and lang."""
-    known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & allowed)
+    """About ``per_language`` (doc_id, text, lang) rows of each language among ``allowed`` rows with words and lang."""
+    known = docs.select("doc_id", "text", "lang").filter(F.col("text").rlike(_HAS_WORDS) & F.col("lang").isNotNull() & allowed)
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
