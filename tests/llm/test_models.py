@@ -195,6 +195,22 @@ def test_repetitions_of_personal_data_are_added_and_clean_texts_left(documents):
     assert [r.text for r in masked] == ["call <phone> or later <phone> then", plain, None]
 
 
+def test_mentions_of_a_local_part_without_digits_are_added(documents):
+    model = pii.train(pii_texts(random.Random(6)))
+    texts = [
+        "mail john.smith@corp.com or ask John.Smith, not smith or john.smithers",
+        "john.smith is nobody here, call +1 (743) 555-3824",
+        "ann@corp.com and ann; mailto:jane-doe@corp.com (jane-doe) jane-doe",
+        "----@corp.com ---- and mary@a.org,peter@b.org with peter mary",
+    ]
+    spans = [r.spans for r in pii.find_personal_data(documents(texts), model).orderBy("doc_id").collect()]
+    assert spans[0] == "email:5:24,email:32:42" and spans[1] == "phone:32:49"
+    assert spans[2] == "email:0:12,email:29:46,email:48:56,email:58:66"
+    assert spans[3] == "email:0:13,email:23:33,email:34:45,email:51:56,email:57:61"
+    masked = pii.mask_personal_data(documents(texts[:1]), model).collect()
+    assert masked[0].text == "mail <email> or ask <email>, not smith or john.smithers"
+
+
 def test_personal_data_without_a_model(documents):
     assert pii.fit(documents(["none"])) is None and pii.fit(documents([])) is None
     rows = pii.find_personal_data(documents([f"{CARD} a@b.c", (7, "x")]), None).orderBy("doc_id").collect()
