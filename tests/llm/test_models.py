@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -231,6 +232,43 @@ def test_belief_propagation_is_exact_on_a_chain():
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-6)
 
 
+def test_a_base_span_reaches_all_repetitions(documents):
+    model = pii.train(pii_texts(random.Random(6)))
+    gap = " " + syllables(PARTS["aa"], random.Random(7), 6) + " "
+    for base, word, kind, times in [
+        ("+1 (743) 555-3824", "743-555-3824", "phone", 50), ("bob.42@mail2.example.com", "bob.42", "email", 50),
+        ("john.smith@corp.com", "john.smith", "email", 50), ("+1 (743) 555-3824", "743-555-3824", "phone", 300),
+    ]:
+        after, before = base + (gap + word) * times, (word + gap) * times + base
+        rows = pii.find_personal_data(documents([after, before]), model).orderBy("doc_id").collect()
+        assert [r.spans.count(f"{kind}:") for r in rows] == [times + 1, times + 1], (base, times)
+        masked = pii.mask_personal_data(documents([after]), model).collect()
+        assert word not in masked[0].text and masked[0].text.count(f"<{kind}>") == times + 1
+
+
+def chain_marginals(node, step):
+    """By forward-backward in logits."""
+    forward, backward = [node[0]], [np.zeros(len(step))]
+    for own in node[1:]:
+        forward.append(own + np.logaddexp.reduce(forward[-1][:, None] + step, axis=0))
+    for own in node[:0:-1]:
+        backward.insert(0, np.logaddexp.reduce(step + (own + backward[0])[None], axis=1))
+    total = np.array(forward) + np.array(backward)
+    return np.exp(total - np.logaddexp.reduce(total, axis=1)[:, None])
+
+
+@pytest.mark.parametrize("n", [2, 5, 64, 65, 300])
+def test_belief_propagation_is_exact_on_long_rows(n):
+    rng = np.random.default_rng(n)
+    nodes = pii.nodes_of([" ".join(f"a{i}" for i in range(n)) + " and " + " x ".join(["a+1"] * n)], [[]])
+    model = pii.PiiModel(rng.normal(size=(pii.BUCKETS, pii.LABELS)), rng.normal(size=(pii.LABELS, pii.LABELS)), 2.0, 0.0)
+    equal = replace(nodes, equal=[(i, i + 1) for i in range(n, 2 * n - 1)], similar=[])
+    node = model.weights[np.array(nodes.features)].sum(1)
+    got = pii.probabilities(model, equal)
+    assert np.allclose(got[:n], chain_marginals(node[:n], model.next_to), atol=1e-6)
+    assert np.allclose(got[n:], chain_marginals(node[n:], 2 * np.diag([1.0] * (pii.LABELS - 1) + [0.0])), atol=1e-6)
+
+
 def test_overlapping_spans_are_masked_once():
     assert pii.masked("ab 123 cd", [(3, 3, 5), (4, 2, 6)]) == "ab <phone> cd"
 
