@@ -130,6 +130,23 @@ def test_repeated_substrings_are_removed(documents, corpus, hot_runs, shard_word
             assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_runs_of_periodic_texts_are_cut(documents):
+    line, pick = [f"w{i}" for i in range(28)], random.Random(4)
+    periodic = " ".join(line * 40)
+    mixed = " ".join(" ".join([*line[:12], *(f"v{pick.randrange(999)}" for _ in range(8))]) for _ in range(40))
+    words, counts = shingles.word_hashes(pa.array([periodic, mixed, "a b", periodic + " end"]), lower=False)
+    at, anchors, several, per = substrings.runs_of(words, counts, 35, 8)
+    ends = np.repeat(np.cumsum(counts) - 34, per)
+    owner = np.repeat(np.arange(4), per)
+    following = np.where(np.append(owner[1:], -1) == owner, np.append(at[1:], 0), ends)
+    assert (following > at).all() and (following - at).max() <= 56 and several[following - at > 28].all()
+    assert (following - at).sum() == (counts[counts >= 35] - 34).sum()
+    texts = [periodic, mixed, periodic + " end", " ".join(line[3:] + line[:3]), "a b"]
+    for hot_runs in (1, 20_000):
+        rows = substrings.without_repeats(documents(texts), hot_runs=hot_runs, shard_words=300).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == dict(enumerate(removal(texts, 35)))
+
+
 def test_substring_edges(documents):
     long = " ".join(f"w{i}" for i in range(50))
     rows = substrings.without_repeats(documents([(1, long), (1, long), (1, "other"), (None, long + " z"), (2, "Other")])).collect()

@@ -3,7 +3,8 @@
 A window is ``WINDOW`` consecutive words. Equal windows must meet in one shard without sending every text to every shard:
 
 1. Each window is assigned its anchor, the smallest hash among its ``GRAM``-word sequences. Equal windows have equal anchors, and
-   neighbouring windows mostly share one, so a text is cut into few runs of windows.
+   neighbouring windows mostly share one, so a text is cut into few runs of windows. A run that goes on, as in a periodic text,
+   is cut into pieces of a fixed number of windows.
 2. Anchors are counted over the distinct texts, twice in a run that has its anchor at several places; runs whose anchor is
    counted once hold no repeated window and go no further.
 3. The words of the other runs go to the shard of their anchor, each distinct run once, with its number of occurrences. Runs of
@@ -58,7 +59,8 @@ def runs_of(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each run in texts laid end to end: place of the first window, anchor, whether that is at several places.
 
-    Last, the number of runs per text.
+    Last, the number of runs per text. Only a run that has its anchor at several places has more windows than a window has
+    grams; it is cut after every twice as many windows, so that a run's count stands for its words.
     """
     n = len(words)
     grams = gram_hashes(words, gram) if n else words
@@ -86,6 +88,10 @@ def runs_of(
     new[starts[counts > 0]] = valid[starts[counts > 0]]
     at = np.flatnonzero(new)
     several = np.add.reduceat(moved & ~new, at) > 0 if len(at) else np.zeros(0, bool)
+    longest = 2 * grams_per_window
+    pieces = -(-np.minimum(np.append(at[1:], n) - at, left[at] - window + 1) // longest)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at, several = np.repeat(at, pieces) + nth * longest, np.repeat(several, pieces)
     return at, anchors[at], several, np.diff(np.searchsorted(at, np.append(starts, n)))
 
 
