@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from wayfare.llm import language, pii, toxicity
 from wayfare.llm.decontamination import contaminated
 from wayfare.llm.jaccard import near_duplicates
+from wayfare.llm.merkle import verify_documents
+from wayfare.llm.oracles import MANIFEST, TRIE
 from wayfare.llm.packing import pack_documents
+from wayfare.llm.prefix_trie import ordered_turns, prefix_trie, spliced
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.sharding import even_tree, shard_documents
 from wayfare.llm.shipping import ship_package
 from wayfare.llm.substrings import without_repeats
 from wayfare.llm.url_filters import filter_captures, patterns
+from wayfare.sources.sinks import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +197,19 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return pii.find_personal_data(docs, pii.fit(docs))
+
+
+@_query("op12_merkle_manifest", MANIFEST)
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return verify_documents(_table(spark, folder, "documents"), _held_out(), lowered)
+
+
+@_query("op13_prefix_trie", TRIE)
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = ordered_turns(_table(spark, folder, "conversations"))
+    conversations = turns.select("conv_id").distinct()
+    base = F.col("conv_id") - F.pmod("conv_id", F.lit(5))
+    keep = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    rebuilt = spliced(turns, conversations.select("conv_id", base.alias("base"), keep.alias("keep")))
+    return prefix_trie(stored(rebuilt, "rebuilt"), conversations)
