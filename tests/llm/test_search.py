@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import CLASHING, ODD
-from wayfare.llm import components, decontamination, fm_index, jaccard, shingles, substrings
+from wayfare.llm import components, decontamination, fm_index, hyperminhash, jaccard, shingles, substrings, verification
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -20,9 +20,9 @@ def words_of(text):
     return WORD.findall(text or "")
 
 
-def shingle_set(text):
+def shingle_set(text, size=5):
     words = words_of((text or "").translate(LOWER))
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else ({tuple(words)} if words else set())
 
 
 def edited(words, pick, edits):
@@ -47,8 +47,8 @@ def corpus():
     return texts
 
 
-def brute_components(texts):
-    sets = [shingle_set(t) for t in texts]
+def brute_components(texts, size=5, percent=75):
+    sets = [shingle_set(t, size) for t in texts]
     parent = list(range(len(texts)))
 
     def root(x):
@@ -59,19 +59,66 @@ def brute_components(texts):
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
-def test_near_duplicates_match_brute_force(documents, corpus, monkeypatch):
-    monkeypatch.setattr(jaccard, "_PORTION", 7)
-    rows = jaccard.near_duplicates(documents(corpus, **CLASHING)).collect()
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicates_match_brute_force(documents, corpus, monkeypatch, block):
+    monkeypatch.setattr(verification, "PORTION", 7)
+    rows = jaccard.near_duplicates(documents(corpus, **CLASHING), block=block).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(corpus)
     assert len(rows) == len(corpus)
 
 
+def test_group_pairs_of_a_template_stay_few(spark, documents):
+    """Texts that share a little less than asked: the shared shingles are frequent and so in no prefix."""
+    template = [f"t{i}" for i in range(100)]
+    texts = [" ".join(template + [f"own{k}x{i}" for i in range(35)]) for k in range(400)]
+    rows = documents(texts).select("doc_id", "text")
+    sets = jaccard.document_sets(rows, 5, 75, jaccard.frequent_shingles(rows, 5)).withColumnRenamed("doc_id", "group")
+    assert jaccard.live_prefixes(sets.select("group", "n", "prefix")).count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_hyperminhash_matches_brute_force(documents, corpus, block):
+    texts = [*corpus, *("a few words only here now " + str(i % 7) for i in range(20))]
+    rows = hyperminhash.near_duplicates(documents(texts, **CLASHING, bands=1, n_shingles=2, kept=3), block=block).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts, 4, 80)
+    assert len(rows) == len(texts) and all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+def test_hyperminhash_of_repeated_and_missing_ids(documents):
+    text = "one two three four five six"
+    rows = hyperminhash.near_duplicates(documents([(4, text), (4, text), (None, text), (2, text), (None, "alone " + text), (None, None), (7, "")])).collect()
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows)
+    assert got == Counter(
+        [(4, 3, 2, False), (4, 3, 2, False), (None, 3, 2, False), (2, 3, 2, True), (None, 4, None, True), (None, 0, None, True), (7, 0, 7, True)]
+    )
+    assert hyperminhash.near_duplicates(documents([])).collect() == []
+
+
+def test_registers_agree_as_often_as_sets():
+    rng = np.random.default_rng(5)
+    for size, similarity in ((6, 2 / 3), (50, 0.8), (300, 0.8), (5000, 0.6), (400, 0.0)):
+        estimates = []
+        for _ in range(60):
+            both = round(size * 2 * similarity / (1 + similarity))
+            pool = rng.integers(0, 2**63, 2 * size - both).astype(np.uint64)
+            a, b = np.sort(pool[:size]), np.sort(pool[size - both :])
+            equal = (hyperminhash.sketch(a) == hyperminhash.sketch(b)).sum()
+            estimates.append(float(hyperminhash.estimated(np.array(equal), np.array(size), np.array(size))))
+        assert abs(np.mean(estimates) - both / (2 * size - both)) < 0.03
+
+
+def test_registers_hold_zeros_and_mantissa():
+    rest = hyperminhash._REST
+    values = np.array([1 << (rest - 1), (1 << rest) - 1, 1, 0b1011 << (rest - 10)], np.uint64)
+    assert hyperminhash.compressed(values).tolist() == [0, 1023, (rest - 1) << 10, (6 << 10) | (0b011 << 7)]
+
+
 def test_one_of_each_component_stays(documents, corpus):
     docs = documents([*enumerate(corpus), (0, corpus[0]), (0, corpus[0]), (None, corpus[1]), (None, "alone in here and without any doc id")], **CLASHING)
     kept = jaccard.one_of_each(docs)

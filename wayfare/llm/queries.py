@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import language, pii, toxicity
+from wayfare.llm import hyperminhash, language, pii, toxicity
 from wayfare.llm.decontamination import contaminated
 from wayfare.llm.jaccard import near_duplicates
 from wayfare.llm.merkle import verify_documents
@@ -213,3 +213,8 @@ def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     keep = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
     rebuilt = spliced(turns, conversations.select("conv_id", base.alias("base"), keep.alias("keep")))
     return prefix_trie(stored(rebuilt, "rebuilt"), conversations)
+
+
+@_query("op11_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperminhash.near_duplicates(_table(spark, folder, "documents"))

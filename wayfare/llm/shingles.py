@@ -43,6 +43,12 @@ def slices(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int,
         first = end
 
 
+def sliced(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices by the bytes of a text column, so that results of long texts do not pile up."""
+    for first, rows in slices(batch.column(column)):
+        yield batch.slice(first, len(rows))
+
+
 def word_bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, start of each word, end of each word, words per text)."""
     data, at = _bytes(column)
