@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -9,13 +10,12 @@ from tests.llm.conftest import CLASHING, ODD
 from wayfare.llm import packing, sharding
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ADDED = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_shards_are_even_gapless_and_grow_into_the_new_one_only(documents):
@@ -100,29 +100,46 @@ def check_packing(rows, texts, tokenizer, capacity):
 
 def test_packing_round_trip(documents, tokenizer):
     texts = ODD + ["word " * n for n in (3, 40, 63, 64, 65, 200, 1000)] + [f"some text number {i} " * (i % 9) for i in range(300)]
-    texts += ["a  b", "a \n \n b", " lead", "trail ", "no\xa0break \xa0 here", "<|endoftext|> plain"]
-    rows = packing.pack_documents(documents(texts, **CLASHING), RANKS, public_tokenizers.PATTERN, capacity=64, open_bins=16).collect()
+    texts += ["a  b", "a \n \n b", " lead", "trail ", "no\xa0break \xa0 here", "<|endoftext|> plain", "x <|endoftext|> y", "<|endoftext|><|endoftext|>", " <|endoftext|>  z <|endof|>"]
+    rows = packing.pack_documents(documents(texts, **CLASHING), RANKS, public_tokenizers.PATTERN, ADDED, capacity=64, open_bins=16).collect()
     sequences, tokens = check_packing(rows, dict(enumerate(texts)), tokenizer, 64)
     assert sequences <= 1.05 * tokens / 64 + 4
 
 
 def test_packing_of_nothing_and_of_repeats(documents, tokenizer):
-    assert packing.pack_documents(documents([]), RANKS, public_tokenizers.PATTERN).collect() == []
-    rows = packing.pack_documents(documents([(1, "same"), (1, "same")]), RANKS, public_tokenizers.PATTERN).collect()
+    assert packing.pack_documents(documents([]), RANKS, public_tokenizers.PATTERN, ADDED).collect() == []
+    rows = packing.pack_documents(documents([(1, "same"), (1, "same")]), RANKS, public_tokenizers.PATTERN, ADDED).collect()
     assert len(rows) == 2 and len({r.ids_crc32 for r in rows}) == 1
 
 
 def test_words_encode_as_the_tokenizer_does(tokenizer):
     import random
 
-    words = packing.WordIds(RANKS, public_tokenizers.PATTERN)
+    words = packing.WordIds(RANKS, public_tokenizers.PATTERN, ADDED)
     pick = random.Random(5)
     for _ in range(3000):
-        text = "".join(pick.choice(" \n\tab'1.é<|　\xa0s\x1c\x85") for _ in range(pick.randint(0, 14)))
+        text = "".join(pick.choice([*" \n\tab'1.é<|　\xa0s\x1c\x85", "<|endoftext|>", "<|endof"]) for _ in range(pick.randint(0, 14)))
         want = b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids)
         assert words.encode(text) == want, text
 
 
+def test_the_longest_of_two_added_tokens_is_cut_out(tmp_path):
+    words = packing.WordIds(RANKS, public_tokenizers.PATTERN, {"<a>": 7, "<a><b>": 8})
+    assert words.encode("<a><b><a>") == (8).to_bytes(4, "little") + (7).to_bytes(4, "little")
+    (tmp_path / "t.json").write_text('{"added_tokens": [{"content": "x", "id": 1, "single_word": false, "lstrip": true, "rstrip": false, "normalized": false}]}')
+    with pytest.raises(ValueError):
+        packing.added_tokens(str(tmp_path / "t.json"))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="test tables not present")
+@pytest.mark.parametrize("partitions", [1, 8, 64])
+def test_large_batches_are_packed_tightly(spark, documents, partitions):
+    """10,000 documents, in one batch where they are one partition: within 1 % of the least possible."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(partitions, "doc_id")
+    rows = packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN, ADDED).selectExpr("sequence_id", "length").collect()
+    assert len({r.sequence_id for r in rows}) <= 1.01 * sum(r.length for r in rows) / packing.CAPACITY
+
+
 def test_open_bins_find_the_tightest_and_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert bins.add(7, ["a"]) is None and bins.add(4, ["b"]) is None

@@ -4,8 +4,9 @@ Every scan task packs its own documents: nothing is shuffled, a sequence never s
 recomputed task packs the same rows the same way. A task holds at most ``open_bins`` open sequences, in a
 bitset with one bit for each amount of free space. A piece goes to the open sequence with the least free
 space that holds it (the lowest set bit from its length up); when none does and the space is
-used up, the fullest sequence closes first. Within an Arrow batch long pieces are offered before short ones,
-and at the end of the task the sequences still open are fitted into each other by the same rule.
+used up, the fullest sequence closes first. Pieces are offered in chunks of ``CHUNK``, long ones before short ones, whatever the batches
+are: longer chunks would fill the open sequences with long pieces, which then close before short ones come. At the end of the task
+the sequences still open are fitted into each other by the same rule.
 
 Documents longer than a sequence are cut into full sequences, the odd remainder first; only that remainder is packed.
 
@@ -16,12 +17,13 @@ tables give no rows. Extra columns are not read.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import sys
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 import tiktoken
@@ -30,7 +32,10 @@ from pyspark.sql import functions as F
 
 CAPACITY = 1024
 OPEN_BINS = 512
+CHUNK = 2 * OPEN_BINS
 END_ID = 2
+# Rows of a result batch.
+_ROWS = 10_000
 # Words kept with their ids by one Python worker.
 CACHED_WORDS = 300_000
 
@@ -96,13 +101,18 @@ class WordIds(dict):
     its spaces and each word, its space in front, encoded alone and remembered. Where white space holds
     two spaces or more, the whole run decides, and such texts are encoded whole.
 
-    The rank file gives the ids of the JSON file of the same vocabulary and encodes unseen words ten times as fast.
+    The rank file gives the ids of the JSON file of the same vocabulary and encodes unseen words ten times as fast. What it lacks are
+    ``added`` tokens, whose text has an id of its own wherever it stands: texts are cut at them first, the longest of those that
+    begin at one place.
     """
 
     _SPACES = re.compile(r" \s* ")
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: Mapping[str, int] = {}):
         super().__init__()
+        self.added = {text: number.to_bytes(4, "little") for text, number in added.items()}
+        longest = sorted(map(re.escape, added), key=len, reverse=True)
+        self.cuts = re.compile(f"({'|'.join(longest)})") if longest else None
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.ids = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -120,20 +130,37 @@ class WordIds(dict):
         return found
 
     def encode(self, text: str) -> bytes:
+        if self.cuts is not None and self.cuts.search(text):
+            parts = self.cuts.split(text)
+            return b"".join(self.added[p] if k % 2 else self.plain(p) for k, p in enumerate(parts))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if self._SPACES.search(text):
             return self.whole(text)
         first, *words = text.split(" ")
         return self.whole(first) + b"".join(map(self.__getitem__, words))
 
 
-_ENCODERS: dict[str, WordIds] = {}
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The tokens that a tokenizer's JSON file adds to its vocabulary. Only ones that match as they stand are supported."""
+    with open(json_path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that look at what stands around them are not supported")
+    return {t["content"]: t["id"] for t in added}
+
 
+_ENCODERS: dict[tuple, WordIds] = {}
 
-def _encoder(path: str, pattern: str) -> WordIds:
+
+def _encoder(path: str, pattern: str, added: Mapping[str, int]) -> WordIds:
     """One per Python worker, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path, pattern)
-    return _ENCODERS[path]
+    key = (path, pattern, *sorted(added.items()))
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordIds(path, pattern, added)
+    return _ENCODERS[key]
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
@@ -151,6 +178,7 @@ def pack_documents(
     docs: DataFrame,
     ranks_path: str,
     pattern: str,
+    added: Mapping[str, int],
     capacity: int = CAPACITY,
     open_bins: int = OPEN_BINS,
     end_id: int = END_ID,
@@ -159,16 +187,23 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece, with the sequence it went to and its place there.
 
-    ``ranks_path`` and ``pattern`` describe the tokenizer: a file of base64 tokens with their ranks, and the
-    pattern that splits text before merging.
+    ``ranks_path``, ``pattern`` and ``added`` describe the tokenizer: a file of base64 tokens with their ranks, the
+    pattern that splits text before merging, and the tokens that are cut out first, see :func:`added_tokens`.
     ``sequence_id`` is the scan task's number times 2^33 plus a count.
     """
     end = end_id.to_bytes(4, "little")
 
     def pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks_path, pattern).encode
+        encode = _encoder(ranks_path, pattern, added).encode
         bins = OpenBins(capacity, open_bins)
-        sequences, rows = 0, []
+        sequences, rows, waiting = 0, [], []
+
+        def offer() -> None:
+            waiting.sort(key=lambda item: -item[3])
+            for item in waiting:
+                if (closed := bins.add(item[3], [item])) is not None:
+                    close(closed)
+            waiting.clear()
 
         def close(contents: list) -> None:
             nonlocal sequences
@@ -189,20 +224,18 @@ def pack_documents(
             if base is None and batch.num_rows:
                 base = batch.column(2)[0].as_py() << 33
             ids = batch.column(0).to_pylist()
-            small = []
             for doc, text in zip(ids, batch.column(1)):
                 for piece, (start, length, crc) in enumerate(cut(encode(text.as_py() or "") + end, capacity)):
                     item = (doc, piece, start, length, crc)
                     if length == capacity:
                         close([item])
                     else:
-                        small.append(item)
-            small.sort(key=lambda item: -item[3])
-            for item in small:
-                if (closed := bins.add(item[3], [item])) is not None:
-                    close(closed)
-            if rows:
-                yield flushed()
+                        waiting.append(item)
+                        if len(waiting) >= CHUNK:
+                            offer()
+                if len(rows) >= _ROWS:
+                    yield flushed()
+        offer()
         last = OpenBins(capacity, max(1, bins.count))
         for filled, contents in bins.drain():
             if (closed := last.add(filled, contents)) is not None:

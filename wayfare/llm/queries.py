@@ -13,7 +13,7 @@ from wayfare.llm.decontamination import contaminated
 from wayfare.llm.jaccard import near_duplicates
 from wayfare.llm.merkle import verify_documents
 from wayfare.llm.oracles import MANIFEST, TRIE
-from wayfare.llm.packing import pack_documents
+from wayfare.llm.packing import added_tokens, pack_documents
 from wayfare.llm.prefix_trie import ordered_turns, prefix_trie, spliced
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.sharding import even_tree, shard_documents
@@ -44,10 +44,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer() -> tuple[str, str, dict[str, int]]:
+    """Rank file, splitting pattern and added tokens of the tokenizer that packs documents."""
+    path = public_tokenizers.path
+    return path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added_tokens(path("byte_bpe_50k.json"))
+
+
 @_query("op1_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, *tokenizer())
 
 
 @_query("op10_sharding")
@@ -81,17 +87,19 @@ _URL_ORACLE = """
 WITH captures AS (
   SELECT page_id, url,
          TIMESTAMP '2024-01-01 00:00:00' + to_seconds(('0x' || substr(md5(url), 1, 8))::BIGINT % 2592000) AS fetched_at,
-         nullif(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '') AS host,
+         nullif(lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#]*@)?([^/:?#@]+)', 1)), '') AS host,
          nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]+/([^/?#]+)', 1), '') AS segment
   FROM pages),
 keyed AS (
   SELECT *, host || '/' || segment AS section,
-         '*.' || nullif(regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1), '') AS site
+         '*.' || nullif(regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1), '') AS site,
+         '*.' || nullif(regexp_extract(host, '([^.]+[.][^.]+)$', 1), '') AS domain
   FROM captures),
 crawled AS (
-  SELECT section AS pattern FROM keyed UNION SELECT host FROM keyed UNION SELECT site FROM keyed),
+  SELECT section AS pattern FROM keyed UNION SELECT host FROM keyed UNION SELECT site FROM keyed
+  UNION SELECT domain FROM keyed),
 edits AS (
-  SELECT pattern, date_trunc('second', ts) AS edited, max(event_type = 'error') AS listed
+  SELECT pattern, ts AS edited, max(event_type = 'error') AS listed
   FROM events JOIN crawled
     ON ('0x' || substr(md5(pattern), 1, 8))::BIGINT % (SELECT max(user_id) + 1 FROM events) = user_id
   WHERE event_type IN ('error', 'signup') GROUP BY ALL),
@@ -99,13 +107,14 @@ stepped AS (
   SELECT *, lead(edited) OVER (PARTITION BY pattern ORDER BY edited) AS until FROM edits),
 intervals AS (SELECT pattern, edited AS since, until FROM stepped WHERE listed)
 SELECT page_id, url, CAST(fetched_at AS VARCHAR) AS fetched_at,
-       coalesce(a.pattern, b.pattern, c.pattern) IS NOT NULL AS listed,
-       coalesce(a.pattern, b.pattern, c.pattern) AS pattern,
-       CAST(coalesce(a.since, b.since, c.since) AS VARCHAR) AS since
+       coalesce(a.pattern, b.pattern, c.pattern, d.pattern) IS NOT NULL AS listed,
+       coalesce(a.pattern, b.pattern, c.pattern, d.pattern) AS pattern,
+       CAST(coalesce(a.since, b.since, c.since, d.since) AS VARCHAR) AS since
 FROM keyed k
 LEFT JOIN intervals a ON k.section = a.pattern AND fetched_at >= a.since AND (a.until IS NULL OR fetched_at < a.until)
 LEFT JOIN intervals b ON k.host = b.pattern AND fetched_at >= b.since AND (b.until IS NULL OR fetched_at < b.until)
-LEFT JOIN intervals c ON k.site = c.pattern AND fetched_at >= c.since AND (c.until IS NULL OR fetched_at < c.until)"""
+LEFT JOIN intervals c ON k.site = c.pattern AND fetched_at >= c.since AND (c.until IS NULL OR fetched_at < c.until)
+LEFT JOIN intervals d ON k.domain = d.pattern AND fetched_at >= d.since AND (d.until IS NULL OR fetched_at < d.until)"""
 
 
 @_query("op4_url_filters", _URL_ORACLE)
