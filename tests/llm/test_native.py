@@ -79,14 +79,16 @@ def brute_listed(edits, pattern, when):
 
 def test_url_filters_match_brute_force(spark):
     pick = random.Random(11)
-    hosts = ["a.b.example.com", "www.c.example.org", "d.example.net"]
-    patterns = hosts + ["*.b.example.com", "d.example.net/x", "*.d.example.net"]
-    moments = [at(d, h, m) for d in (1, 2, 5, 9) for h in (0, 13) for m in (0, 59)]
-    edits = [(pick.choice(patterns), pick.choice(moments), pick.random() < 0.6) for _ in range(60)]
+    hosts = ["a.b.example.com", "www.c.example.org", "d.example.net", "example.com"]
+    patterns = hosts + ["*.b.example.com", "d.example.net/x", "*.d.example.net", "*.example.com", "*.example.org"]
+    moments = [at(d, h, m) + dt.timedelta(microseconds=u) for d in (1, 2, 5, 9) for h in (0, 13) for m in (0, 59) for u in (0, 100_000, 900_000)]
+    edits = [(pick.choice(patterns), pick.choice(moments), pick.random() < 0.6) for _ in range(150)]
     edits += [(None, at(1), True), ("d.example.net", None, True)]
-    captures = [(i, f"https://{pick.choice(hosts)}/{pick.choice('xy')}/p?q", pick.choice(moments) + dt.timedelta(seconds=pick.choice([-1, 0, 1]))) for i in range(300)]
+    captures = [(i, f"https://{pick.choice(['', '', 'user:p@w@'])}{pick.choice(hosts)}/{pick.choice('xy')}/p?q@r", pick.choice(moments) + dt.timedelta(microseconds=pick.choice([-1, 0, 1, 10**6]))) for i in range(300)]
     captures += [(900, None, at(3)), (901, "not a url", at(3)), (902, "https://d.example.net/x", None), (1, captures[1][1], captures[1][2])]
-    frame = spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp").withColumn("pattern", F.lit("clash"))
+    frame = spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp").withColumns(
+        {c: F.lit("clash") for c in ("pattern", "__host", "__at", "at", "of_day", "a.b")}
+    )
     listing = spark.createDataFrame(edits, "pattern string, at timestamp, listed boolean")
     rows = url_filters.filter_captures(frame, listing).collect()
     assert len(rows) == len(captures)
@@ -95,8 +97,10 @@ def test_url_filters_match_brute_force(spark):
         match = re.match(r"https://([^/]+)/?([^/?]*)", r.url or "")
         if match and r.fetched_at is not None:
             host, segment = match.groups()
-            site = "*." + re.search(r"([^.]+\.[^.]+\.[^.]+)$", host).group(1)
-            for pattern in ([f"{host}/{segment}"] if segment else []) + [host, site]:
+            host = host.rpartition("@")[2]
+            labels = host.split(".")
+            sites = ["*." + ".".join(labels[-n:]) for n in (3, 2) if len(labels) >= n]
+            for pattern in ([f"{host}/{segment}"] if segment else []) + [host, *sites]:
                 state, since = brute_listed(edits, pattern, r.fetched_at)
                 if state:
                     want = (True, pattern, since)
@@ -104,6 +108,14 @@ def test_url_filters_match_brute_force(spark):
         assert (r.listed, r.pattern, r.since) == want, r
 
 
+def test_two_edits_within_a_second(spark):
+    edits = [("e.example.com", at(1) + dt.timedelta(milliseconds=100), True), ("e.example.com", at(1) + dt.timedelta(milliseconds=900), False)]
+    listing = spark.createDataFrame(edits, "pattern string, at timestamp, listed boolean")
+    times = [(0, at(1)), (1, at(1) + dt.timedelta(milliseconds=500)), (2, at(2))]
+    captures = spark.createDataFrame([(i, "https://e.example.com/", t) for i, t in times], "page_id long, url string, fetched_at timestamp")
+    assert {r.page_id: r.listed for r in url_filters.filter_captures(captures, listing).collect()} == {0: False, 1: True, 2: False}
+
+
 def test_url_filters_with_empty_sides(spark):
     captures = spark.createDataFrame([(1, "https://x.y.example.com/a", at(1))], "page_id long, url string, fetched_at timestamp")
     none = spark.createDataFrame([], "pattern string, at timestamp, listed boolean")
