@@ -11,7 +11,6 @@ All stages but the last return the columns of ``documents``. Empty tables pass t
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from wayfare.llm import language, pii
 from wayfare.llm.decontamination import decontaminated
 from wayfare.llm.jaccard import one_of_each
 from wayfare.llm.packing import pack_documents
+from wayfare.llm.queries import tokenizer
 from wayfare.llm.shipping import ship_package
 from wayfare.sources.sinks import stored
 
@@ -49,7 +49,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, *tokenizer())
 
 
 STAGES = [
