@@ -8,8 +8,9 @@ that at least ``least_resemblance``, and ``HASHES`` values of one row a band mis
 (1 - resemblance)^HASHES: at most 0.01 % for a verbatim one, 0.3 % for one that just reaches 75 %. Each (document, item) that agrees in any value is a candidate,
 and is reported if the document's whole shingle set holds at least ``percent`` of the item's.
 
-Items are searched in blocks of at most ``ITEMS_PER_BLOCK`` by (size, hash), each broadcast to one pass over the documents without a
-shuffle; what a block holds is bounded by ``SHINGLES_PER_BLOCK``. Skew does not matter to a pass: documents stay where they are.
+Items are shingled and signed in tasks and stored. They are searched in blocks of at most ``ITEMS_PER_BLOCK``, each collected as it is stored and
+broadcast to one pass over the documents without a shuffle; what a block holds is bounded by ``SHINGLES_PER_BLOCK``. Skew does not matter to a pass:
+documents stay where they are.
 
 Documents and items without words match nothing. An item or document of fewer words than a shingle is one shingle, its whole
 sequence. NULL ids are kept. Repeated documents are each reported; repeated rows of one item are one item; items of one id with
@@ -19,14 +20,16 @@ different texts are told apart and give rows of their own. Empty tables give no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.shingles import shingle_hashes, shingle_sets, slices, word_hashes
+from wayfare.llm.shingles import shingle_hashes, shingle_sets, sliced, slices, word_hashes
 from wayfare.llm.subwords import mixed
+from wayfare.sources.sinks import stored
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -36,6 +39,12 @@ SHINGLES_PER_BLOCK = 5_000_000
 _SEEDS = np.random.default_rng(0xBE7C).integers(1, 2**63, HASHES, dtype=np.uint64)
 
 
+class Item(NamedTuple):
+    item_id: int | None
+    shingles: np.ndarray  # sorted and distinct
+    signature: np.ndarray
+
+
 def least_resemblance(size: int, window: int, percent: int) -> float:
     """The least Jaccard resemblance of an item of ``size`` shingles and a window that holds ``percent`` of them."""
     held = percent * size / 100
@@ -46,16 +55,23 @@ def _class_of(size: int) -> int:
     return 1 << max(size - 1, 0).bit_length()
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The ``HASHES`` MinHash values of a non-empty set."""
+    return np.array([mixed(shingles ^ seed).min() for seed in _SEEDS])
+
+
 class ItemIndex:
     """The items of a block: exact sets and, for each size class, MinHash values by hash function."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+    def __init__(self, items: list[Item]):
+        self.ids = [item.item_id for item in items]
+        self.sets = sets = [item.shingles for item in items]
+        signed = np.array([item.signature for item in items])
         classes = np.array([_class_of(len(s)) for s in sets])
         self.by_class: dict[int, tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
         for size in np.unique(classes):
             members = np.flatnonzero(classes == size)
-            signatures = np.array([[mixed(sets[m] ^ seed).min() for seed in _SEEDS] for m in members])
+            signatures = signed[members]
             tables = []
             for k in range(HASHES):
                 order = np.argsort(signatures[:, k], kind="stable")
@@ -87,18 +103,6 @@ class ItemIndex:
         return found
 
 
-def _blocks(items: Iterator[tuple[int | None, np.ndarray]]) -> Iterator[list[tuple[int | None, np.ndarray]]]:
-    block, shingles = [], 0
-    for item in items:
-        if block and (len(block) >= ITEMS_PER_BLOCK or shingles + len(item[1]) > SHINGLES_PER_BLOCK):
-            yield block
-            block, shingles = [], 0
-        block.append(item)
-        shingles += len(item[1])
-    if block:
-        yield block
-
-
 _FOUND = "doc_id long, item_id long, n_shared long, n_item long"
 
 
@@ -113,24 +117,33 @@ def contaminated(
     return out
 
 
-def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
-    """The items with their shingle sets, block by block; the driver holds one block at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text")
+def signed_items(benchmark: DataFrame, size: int) -> DataFrame:
+    """(item_id, shingles, signature) of the items with words, the last two as bytes of 64-bit integers."""
 
-    def shingled() -> Iterator[tuple[int | None, np.ndarray]]:
-        held: list = []
-        for row in rows.toLocalIterator():
-            held.append(row)
-            if len(held) == 1000:
-                yield from sets_of(held)
-                held = []
-        yield from sets_of(held)
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in sliced(batch, 1)):
+            rows = [(i.as_py(), s.tobytes(), signature(s).tobytes()) for i, s in zip(part.column(0), shingle_sets(part.column(1), size)) if len(s)]
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.record_batch(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["item_id", "shingles", "signature"]
+            )
 
-    def sets_of(held: list) -> Iterator[tuple[int | None, np.ndarray]]:
-        sets = shingle_sets(pa.array([r["text"] for r in held], pa.string()), size)
-        yield from ((r["item_id"], s) for r, s in zip(held, sets) if len(s))
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    return rows.mapInArrow(sign, "item_id long, shingles binary, signature binary")
 
-    yield from _blocks(shingled())
+
+def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[Item]]:
+    """The items, signed by tasks, block by block; the driver holds one block at a time."""
+    block, held = [], 0
+    for row in stored(signed_items(benchmark, size), "items").toLocalIterator():
+        item = Item(row["item_id"], *(np.frombuffer(row[c], np.uint64) for c in ("shingles", "signature")))
+        if block and (len(block) >= ITEMS_PER_BLOCK or held + len(item.shingles) > SHINGLES_PER_BLOCK):
+            yield block
+            block, held = [], 0
+        block.append(item)
+        held += len(item.shingles)
+    if block:
+        yield block
 
 
 def _hits(column: pa.Array, index: ItemIndex, size: int, percent: int) -> Iterator[tuple[int, int, int]]:
@@ -149,14 +162,14 @@ def _hits(column: pa.Array, index: ItemIndex, size: int, percent: int) -> Iterat
                 yield first + at, item, n
 
 
-def _search(texts: DataFrame, block: list[tuple[int | None, np.ndarray]], size: int, percent: int) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(([i for i, _ in block], ItemIndex([s for _, s in block])))
+def _search(texts: DataFrame, block: list[Item], size: int, percent: int) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(ItemIndex(block))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, index = shared.value
+        index = shared.value
         for batch in batches:
             docs = batch.column(0)
-            out = [(docs[at].as_py(), ids[i], n, len(index.sets[i])) for at, i, n in _hits(batch.column(1), index, size, percent)]
+            out = [(docs[at].as_py(), index.ids[i], n, len(index.sets[i])) for at, i, n in _hits(batch.column(1), index, size, percent)]
             columns = list(zip(*out)) or [()] * 4
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_shared", "n_item"])
 
@@ -169,7 +182,7 @@ def decontaminated(
     """``docs`` without those that hold at least ``percent`` of an item's shingles, one pass a block of items."""
     place = docs.columns.index(text)
     for block in item_blocks(benchmark, size):
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex([s for _, s in block]))
+        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(block))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -27,7 +27,10 @@ _DRAW_BITS = 52
 
 
 def even_tree(shards: int, racks_per_region: int = 2, shards_per_rack: int = 2) -> Tree:
-    """A tree of equal leaves, filled rack by rack and region by region."""
+    """A tree of equal leaves, filled rack by rack and region by region.
+
+    To add a shard to data that is sharded by it, use :func:`grown`: a larger even tree also moves rows between the old shards.
+    """
     if shards < 1:
         raise ValueError("a tree needs at least one shard")
     tree: Tree = {}

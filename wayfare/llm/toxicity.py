@@ -181,7 +181,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, toxic:
     """About ``toxic`` and ``clean`` (text, toxic) rows of the two classes, among ``allowed`` doc_ids of ``labels``.
 
     The labels are counted by class and each class is thinned by a hash of doc_id, so only bounded
-    rows meet the documents.
+    rows meet the documents. Of several texts under one doc_id the smallest is taken.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & allowed)
     classes = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -193,7 +193,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, toxic:
     thinned = classes.filter(F.col("toxic").isin(0, 1) & (rank < share * F.lit(float(1 << 40))))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     # At most about toxic + clean rows, whatever the size of the tables.
-    return texts.join(F.broadcast(thinned), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    return texts.join(F.broadcast(thinned), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
