@@ -5,16 +5,17 @@
    of its own, so that registers of any two sets agree with the chance of their Jaccard similarity, however small the sets.
 2. Documents with equal sets are one class. Bands of four registers, 64 bits, are the keys under which classes meet; at similarity 0.8 the 32 bands
    miss a pair with a chance of 5e-8.
-3. Each class is first held against one hub, the class that is the smallest in most of its bands: large groups of copies
-   need one comparison each. Bands whose classes are then still in different components are compared in full, in blocks: a
-   band with m classes becomes pairs of blocks of ``BLOCK`` classes, dealt to tasks, which compare registers in
-   numpy and give only the pairs whose estimate allows a link. No pair is written before that.
+3. Each class is first held against one hub: a band's hub is the class that meets most others over all its bands, the middle of a group of near
+   copies, and a class takes the hub of most of its bands. Large groups of copies need one comparison each by that. Bands whose classes
+   are then still in different components are compared in full, in blocks: a band with m classes becomes pairs of blocks of
+   ``BLOCK`` classes, dealt to tasks, which compare registers in numpy. No pair is written before its estimate allows a link.
 4. The estimate corrects the share of equal registers by the chance that different minima share a register, given the two sizes. Pairs
-   go on if it is at most four standard errors under the threshold.
+   go on if it is at most four standard errors under the threshold, and if their odd sketches, ``ODD_BITS`` parity bits, differ in no more bits than
+   the sets of two linked documents can differ in elements. The second filter loses nothing.
 5. They are confirmed on whole sets, recomputed from the texts; links become components.
 
-Every document is banded, and no band is capped. Documents on a template a little under the threshold cost register comparisons in blocks, and a
-confirmation for each pair whose estimate is too high; they lose nothing.
+Every document is banded, and no band is capped. Documents on a template a little under the threshold cost comparisons of sketches in blocks, and a
+confirmation for each pair that passes both filters; they lose nothing.
 
 A document without words has no set, links with nothing and is its own component, even with a NULL doc_id. Repeated rows and doc_ids are separate
 documents. A NULL doc_id does not count when the smallest of a component is sought. Extra columns are not read.
@@ -42,6 +43,7 @@ PERCENT = 80
 REGISTERS = 128
 MANTISSA = 10
 BLOCK = 512
+ODD_BITS = 2048
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 _REST = 64 - _BUCKET_BITS  # hash bits from which a register is made
 _SEED = np.uint64(0x48594D48)
@@ -83,6 +85,17 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return registers
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the elements that hash to each of ``ODD_BITS`` bits."""
+    parity = np.bincount((shingles % np.uint64(ODD_BITS)).astype(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
+def most_different(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """In how many elements linked sets of these sizes can differ."""
+    return n_a + n_b - 2 * -(-percent * (n_a + n_b) // (100 + percent))
+
+
 def _octaves(n: np.ndarray) -> np.ndarray:
     """The chance that the least of a bucket's share of ``n`` uniform values has 0, 1, ... leading zeros."""
     share = np.maximum(np.asarray(n, float) / REGISTERS, 1.0)[..., None]
@@ -107,58 +120,65 @@ def _packed(registers: np.ndarray) -> np.ndarray:
     return registers.view(np.int64)
 
 
-def _unpacked(bands: pa.Array) -> np.ndarray:
-    """(row, register) of a list column of packed bands."""
-    return bands.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint16).reshape(len(bands), REGISTERS)
+def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
+    """A list column, of lists of one length, as a matrix of its integers seen as ``dtype``."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(dtype).reshape(len(column), -1)
 
 
 def document_sketches(texts: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, f1, f2, bands): set size, set fingerprint and packed registers of ``texts(doc_id, text)``."""
+    """(doc_id, n, f1, f2, bands, odd): set size, set fingerprint, packed registers and odd sketch of ``texts(doc_id, text)``."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, 1):
-                sizes, digests, bands = [], [], []
+                sizes, digests, bands, odd = [], [], [], []
                 for own in shingle_sets(part.column(1), size):
                     sizes.append(len(own))
                     digests.append(set_digests(own))
                     bands.append(_packed(sketch(own)) if len(own) else np.zeros(0, np.int64))
+                    odd.append(odd_sketch(own))
                 f1, f2 = zip(*digests)
-                arrays = [pa.array(c, pa.int64()) for c in (sizes, f1, f2)] + [pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.record_batch([part.column(0), *arrays], names=["doc_id", "n", "f1", "f2", "bands"])
+                arrays = [pa.array(c, pa.int64()) for c in (sizes, f1, f2)] + [pa.array(c, pa.list_(pa.int64())) for c in (bands, odd)]
+                yield pa.record_batch([part.column(0), *arrays], names=["doc_id", "n", "f1", "f2", "bands", "odd"])
 
-    return texts.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return texts.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, f1 long, f2 long, bands array<long>, odd array<long>")
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose estimate allows a link."""
+    """The ``pairs(a, b)`` whose sketches allow a link."""
     least = least_estimate(percent)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            equal = (_unpacked(batch.column(4)) == _unpacked(batch.column(5))).sum(1)
             n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(estimated(equal, n_a, n_b) >= least))
+            equal = (_matrix(batch.column(4), np.uint16) == _matrix(batch.column(5), np.uint16)).sum(1)
+            off = np.bitwise_count(_matrix(batch.column(6), np.uint64) ^ _matrix(batch.column(7), np.uint64)).sum(1)
+            likely = (estimated(equal, n_a, n_b) >= least) & (off <= most_different(n_a, n_b, percent))
+            yield batch.select([0, 1]).filter(pa.array(likely))
 
-    one, other = (classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bands").alias(f"s_{c}")) for c in "ab")
+    one, other = (classes.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "bands", "odd")]) for c in "ab")
     met = pairs.join(other, "b").join(one, "a")
-    return met.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(judge, "a long, b long")
+    return met.select("a", "b", "n_a", "n_b", "bands_a", "bands_b", "odd_a", "odd_b").mapInArrow(judge, "a long, b long")
 
 
 def live_bands(classes: DataFrame) -> DataFrame:
-    """(key, class, n, hub, hub_n) of the bands in which two classes or more meet; the hub is the smallest of them."""
+    """(key, class, n, met) of the bands in which two classes or more meet, ``met`` of them."""
     placed = classes.select("class", "n", F.posexplode("bands").alias("band", "registers"))
     keyed = placed.select(F.xxhash64("band", "registers").alias("key"), "class", "n")
-    held = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("class", "n")).alias("hub"))
-    met = stored(held.filter("rows > 1"), "bands")
-    return join_unique(keyed, met, ["key"]).select("key", "class", "n", F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n"))
+    held = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
+    return join_unique(keyed, stored(held.filter("met > 1").withColumn("rows", F.col("met")), "bands"), ["key"])
 
 
 def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each class the hub that it meets in most bands."""
-    fitting = live.filter("hub != class").filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    """(a, b): for each class the hub of most of its bands."""
+    score = live.groupBy("class").agg(F.sum("met").alias("score"))
+    scored = stored(live.join(score, "class"), "scored")
+    hub = F.max_by(F.struct("class", "n"), F.struct("score", -F.col("class"))).alias("hub")
+    hubs = stored(scored.groupBy("key").agg(hub, F.count(F.lit(1)).alias("rows")), "hubs")
+    met = join_unique(scored.select("key", "class", "n"), hubs, ["key"]).select("class", "n", F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n"))
+    fitting = met.filter("hub != class").filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
     votes = fitting.groupBy(F.col("hub").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
 
@@ -174,18 +194,19 @@ def open_pairs(live: DataFrame, classes: DataFrame, joined: DataFrame, percent:
     dealt = counted.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     units = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "root")
-    sketched = units.join(classes.select("class", "bands"), "class").select("key", "i", "j", "own", "class", "n", "root", "bands")
+    sketched = units.join(classes.select("class", "bands", "odd"), "class").select("key", "i", "j", "own", "class", "n", "root", "bands", "odd")
     least = least_estimate(percent)
 
     def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = pa.Table.from_batches(rows).combine_chunks()
         i, j, own, name, n, root = (unit.column(k).to_numpy() for k in range(1, 7))
-        registers = _unpacked(unit.column("bands").combine_chunks())
+        registers, odd = (_matrix(unit.column(c).combine_chunks(), t) for c, t in (("bands", np.uint16), ("odd", np.uint64)))
         octaves = _octaves(n)
         for at in np.flatnonzero(own == i[0]) if len(name) > 1 else ():
             # within a block each pair once, between blocks the first against the second
             to = np.flatnonzero((own == j[0]) & (root != root[at]) & ((i[0] != j[0]) | (name > name[at])))
             to = to[100 * np.minimum(n[to], n[at]) >= percent * np.maximum(n[to], n[at])]
+            to = to[np.bitwise_count(odd[to] ^ odd[at]).sum(1) <= most_different(n[to], n[at], percent)]
             chance = (octaves[to] @ octaves[at]) / (1 << MANTISSA)
             likely = ((registers[to] == registers[at]).sum(1) / REGISTERS - chance) / (1 - chance) >= least
             if likely.any():
@@ -223,7 +244,7 @@ def near_duplicates(
         F.min(F.struct("row", F.col("doc_id").alias("head"))).alias("first"), F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("rows")
     )
     named = stored(firsts.select("n", "f1", "f2", F.col("first.row").alias("class"), F.col("first.head").alias("doc_id"), "smallest", "rows"), "named")
-    registers = sketches.select(F.col("row").alias("class"), "bands")
+    registers = sketches.select(F.col("row").alias("class"), "bands", "odd")
     classes = stored(named.select("class", "doc_id", "n", "f1", "f2").join(registers, "class"), "classes")
 
     live = stored(live_bands(classes), "live")
