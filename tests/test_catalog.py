@@ -11,9 +11,6 @@ from check import canonical
 from wayfare.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-# Fits on all features; their quality is tested on data with a known answer.
-SLOW = {name for name in QUERIES if name.startswith("ml.") and name not in ORACLES}
-
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
 
 
@@ -30,7 +27,7 @@ def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     got = canonical(df.columns, [tuple(r) for r in df.collect()])

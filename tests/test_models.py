@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from wayfare.operators.evaluation import prediction_sample, regression_metrics, residual_histogram
 from wayfare.operators.features import model_features, raw_features
+from wayfare.operators.importance import permutation_importance, with_partners
+from wayfare.operators.splits import best_splits, split_gains
 from wayfare.plans.models import (
     MODELS,
     ablation,
     coefficients,
     compare_models,
     evaluate_saved,
+    evaluation_report,
     feature_importance,
     fit,
     index_strings,
     load_model,
-    register_model,
     save_model,
     saved_models,
     score,
@@ -57,8 +59,6 @@ def test_registry_checks_parameters(spark):
         MODELS["dtree"].build("fare", maxDepth=99)
     with pytest.raises(ValueError, match="no parameter"):
         MODELS["linear"].build("fare", depth=3)
-    with pytest.raises(ValueError, match="already registered"):
-        register_model(MODELS["gbt"])
 
 
 def test_linear_finds_the_line(spark, priced):
@@ -131,7 +131,7 @@ def test_save_load_evaluate_compare(spark, priced):
     assert table[0]["n_train"] == kept["new"].train.count()
     described = saved_models(spark, folder).filter("model_id = 'old'").first()
     assert described["params"] == {"regParam": 0.0, "elasticNetParam": 0.0, "maxIter": 100.0}
-    assert described["features"] == ["trip_distance"]
+    assert described["features"] == ["trip_distance"] and described["seconds"] > 0
 
     loaded = load_model(folder, "old")
     before = {r["VendorID"]: r["prediction"] for r in kept["old"].scored.collect()}
@@ -142,6 +142,29 @@ def test_save_load_evaluate_compare(spark, priced):
     assert row["rmse"] == pytest.approx(0.0, abs=1e-6)
 
 
+def test_report_of_a_saved_model(spark, priced):
+    for key, names in (("linear", ["trip_distance", "RatecodeID"]), ("dtree", ["trip_distance", "RatecodeID"])):
+        trained = train_and_score(priced, TLC, key, "fare_amount", names)
+        found = evaluation_report(trained.model, priced, TLC, "fare_amount", names, ["VendorID"], rows=5)
+        assert found.metrics.first()["n"] == trained.test.count()
+        sample = found.sample.collect()
+        assert len(sample) == 5 and all(r["error"] == pytest.approx(r["predicted"] - r["actual"]) for r in sample)
+        ranked = found.importance.collect()
+        assert [r["feature"] for r in ranked] == names and ranked[0]["importance"] > 10 * max(ranked[1]["importance"], 0)
+
+
+def test_categories_are_split_as_sets(spark):
+    """Three labels whose means no threshold on an index order can separate in one split."""
+    means = {"a": 1.0, "b": 9.0, "c": 1.0}
+    rows = [(k, means[k]) for k, n in (("a", 30), ("b", 20), ("c", 10)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "kind string, y double")
+    model = fit(df, "dtree", "y", ["kind"], categories=["kind"], maxDepth=1)
+    seen = spark.createDataFrame([("a",), ("b",), ("c",), ("new",), (None,)], "kind string")
+    got = {r["kind"]: r["prediction"] for r in score(model, seen).collect()}
+    assert {k: got[k] for k in means} == means and got["new"] == got[None]
+    assert score(model, seen).columns == ["kind", "prediction"]
+
+
 def test_one_upcoming_trip(spark, priced):
     trained = train_and_score(priced, TLC, "linear", "fare_amount", model_features(TLC))
     moment = dt.datetime(2024, 5, 1, 8, 30)
@@ -172,6 +195,60 @@ def test_strings_indexed_by_frequency_then_value(spark):
 def test_a_model_does_not_depend_on_the_layout_of_its_rows(spark, priced):
     rows = priced.selectExpr("trip_distance AS x", "cast(PULocationID AS double) AS place", "fare_amount + tip_amount AS y")
     one, nine = (
-        fit(rows.repartition(n, "x"), "rforest", "y", ["x", "place"], partitions=4, numTrees=4) for n in (1, 9)
+        fit(rows.repartition(n, "x"), "rforest", "y", ["x", "place"], partition_rows=100, numTrees=4) for n in (1, 9)
     )
     assert one.stages[-1].toDebugString.split("\n", 1)[1] == nine.stages[-1].toDebugString.split("\n", 1)[1]
+
+
+def test_best_splits_match_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1.0, 2.0, 5.0, None]), rng.gauss(0, 1), 7.0, rng.gauss(0, 1)) for _ in range(500)]
+    rows = [(a, b, c, None if i % 50 == 0 else y + (3 if b > 0.4 else 0) - (a or 0)) for i, (a, b, c, y) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "few double, many double, one double, y double").repartition(4)
+    got = {r["feature"]: r for r in best_splits(df, ["few", "many", "one"], "y", slices=7).collect()}
+    assert set(got) == {"few", "many"}
+
+    def error(values):
+        return sum((v - sum(values) / len(values)) ** 2 for v in values) if values else 0.0
+
+    for k, name in enumerate(["few", "many"]):
+        known = [(r[k], r[3]) for r in rows if r[k] is not None and r[3] is not None]
+        values = sorted({v for v, _ in known})
+        sides = [(x + y) / 2 for x, y in zip(values, values[1:])]
+        gains = {t: error([y for _, y in known]) - error([y for v, y in known if v <= t]) - error([y for v, y in known if v > t]) for t in sides}
+        best = max(gains, key=lambda t: (gains[t], -t))
+        r = got[name]
+        assert (r["threshold"], r["n_left"]) == (best, sum(v <= best for v, _ in known))
+        assert r["gain"] == pytest.approx(gains[best]) and r["n_left"] + r["n_right"] == len(known)
+        assert split_gains(df, [name], "y", slices=3).count() == len(sides)
+
+
+def test_partners_are_a_permutation_and_fixed_over_layouts(spark, monkeypatch):
+    from wayfare.operators import importance
+
+    monkeypatch.setattr(importance, "SLICE_ROWS", 40)
+    rows = [(i, None if i % 9 == 0 else float(i % 13)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "i long, x double")
+    pairs = [sorted(with_partners(frame.repartition(n), ["i", "x"]).collect()) for n in (2, 7)]
+    assert pairs[0] == pairs[1]
+    assert sorted(r["other"]["i"] for r in pairs[0]) == list(range(300))
+    assert sum(r["other"]["i"] == r["i"] for r in pairs[0]) < 10
+
+
+def test_permutation_importance_matches_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.uniform(0, 10), rng.uniform(0, 10), rng.gauss(0, 1)) for _ in range(400)]
+    df = spark.createDataFrame([(a, b, 3 * a + b + e) for a, b, e in rows], "a double, b double, y double")
+    model = fit(df, "linear", "y", ["a", "b"])
+    got = {r["feature"]: r["importance"] for r in permutation_importance(model, df, ["a", "b"], "y").collect()}
+    pairs = with_partners(df.select("a", "b", F.col("y").alias("__label")), ["a", "b"]).collect()
+    wa, wb = model.stages[-1].coefficients
+    c = model.stages[-1].intercept
+
+    def rmse(pick):
+        return (sum((wa * pick(r)[0] + wb * pick(r)[1] + c - r["__label"]) ** 2 for r in pairs) / len(pairs)) ** 0.5
+
+    base = rmse(lambda r: (r["a"], r["b"]))
+    assert got["a"] == pytest.approx(rmse(lambda r: (r["other"]["a"], r["b"])) - base)
+    assert got["b"] == pytest.approx(rmse(lambda r: (r["a"], r["other"]["b"])) - base)
+    assert got["a"] > 2 * got["b"] > 0

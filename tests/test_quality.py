@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import column
 from wayfare.operators.cleaning import standard_rules, with_derived
+from wayfare.operators.distinct import period_sketches, relative_error, united_distinct
 from wayfare.operators.quality import (
     categorical_distribution,
     classify_columns,
@@ -16,6 +18,7 @@ from wayfare.operators.quality import (
     sanity_block,
     target_audit,
 )
+from wayfare.operators.report import quality_report
 from wayfare.roles import TLC, Limits
 
 LIMITS = Limits(year_max=2025)
@@ -113,3 +116,50 @@ def test_distributions_and_profiles(spark):
         "a": "other",
     }
     assert column(column_profile(df), "non_null") == [2, 2, 3]
+
+
+def test_report_reads_the_table_once(spark, trips):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    plain = with_derived(trips({}, {}, {"fare_amount": -1.0, "passenger_count": None}), TLC).cache()
+    df = plain.mapInArrow(count, plain.schema)
+    got = {(r["section"], r["subject"], r["measure"]): r["value"] for r in quality_report(df, TLC, Limits(year_max=2026), ["fare_amount"]).collect()}
+    assert read.value == 3
+    assert got["table", "all", "rows"] == 3 and got["table", "all", "duplicates"] == 0
+    assert got["missing", "passenger_count", "rows"] == 1 and got["missing", "passenger_count", "pct"] == pytest.approx(100 / 3)
+    assert got["sanity", "implausible_fare", "rows"] == 1 and got["numeric", "fare_amount", "mean"] == pytest.approx(19 / 3)
+    empty = {(r["section"], r["measure"]): r["value"] for r in quality_report(plain.limit(0), TLC, Limits(year_max=2026), ["fare_amount"]).collect()}
+    assert empty["numeric", "mean"] is None and empty["sanity", "pct"] == 0.0
+
+
+def test_report_counts_again_when_observed_rows_are_off(spark, trips, monkeypatch):
+    """As after a map task ran twice: the observed row count differs from the action's."""
+    from wayfare.operators import report
+
+    class Doubled(report.Observation):
+        @property
+        def get(self):
+            return {k: v * 2 if isinstance(v, int) else v for k, v in super().get.items()}
+
+    monkeypatch.setattr(report, "Observation", Doubled)
+    df = with_derived(trips({}, {"fare_amount": -1.0}), TLC)
+    got = {(r["section"], r["subject"], r["measure"]): r["value"] for r in quality_report(df, TLC, Limits(year_max=2026), ["fare_amount"]).collect()}
+    assert got["table", "all", "rows"] == 2 and got["sanity", "implausible_fare", "rows"] == 1
+
+
+def test_sketches_of_periods_unite(spark):
+    df = spark.range(60_000).selectExpr("id % 3 AS month", "id % 20000 AS x", "IF(id % 2 = 0, NULL, CAST(id % 10 AS DOUBLE)) AS y", "'c' AS one")
+    sketches = period_sketches(df, ["x", "y", "one"], F.col("month")).cache()
+    assert sketches.count() == 9
+    got = {r["column"]: (r["rows"], r["distinct_values"]) for r in united_distinct(sketches).collect()}
+    assert abs(got["x"][1] - 20_000) <= 5 * relative_error() * 20_000 and got["y"] == (60_000, 5) and got["one"] == (60_000, 1)
+    some = {r["column"]: r["distinct_values"] for r in united_distinct(sketches.filter("period = 1")).collect()}
+    assert abs(some["x"] - 20_000) <= 5 * relative_error() * 20_000
+    assert united_distinct(sketches, "period").count() == 9
+    nothing = period_sketches(df.limit(0), ["x"], F.col("month"))
+    assert nothing.collect() == [] and united_distinct(nothing).collect() == []

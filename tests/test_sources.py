@@ -10,13 +10,17 @@ from wayfare.functions.labels import rate_code_label
 from wayfare.functions.sampling import cap_rows, first_by_hash, hash_sample, key_digest, sampled_projection
 from wayfare.operators.coverage import coverage_summary, period_gaps, periods_present
 from wayfare.operators.locations import in_service_zones, outside_unknown, with_zone_label
+from wayfare.sources import incremental
+from wayfare.sources.footers import folder_coverage, footer_stats, footers
+from wayfare.sources.incremental import sync_months, synced, write_months
 from wayfare.sources.monthly import (
     file_stats,
+    folder_files,
     load_folder,
     load_months,
     load_stats,
-    month_range,
     monthly_files,
+    month_range,
 )
 from wayfare.sources.schemas import (
     TRIPS,
@@ -247,3 +251,92 @@ def test_shared_folder_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert first.startswith(base) and first != second
+
+
+def monthly_folder(spark, vintages, folder, *months):
+    for month in months:
+        shutil.copy(next(Path(vintages[month]).glob("part-*.parquet")), folder / f"trips_{month}.parquet")
+
+
+def test_footers_tell_what_a_scan_tells(spark, vintages, tmp_path):
+    monthly_folder(spark, vintages, tmp_path, "2023-01", "2023-02", "2025-01")
+    shutil.copy(tmp_path / "trips_2023-01.parquet", tmp_path / "copy.parquet")
+    (tmp_path / "broken_2023-03.parquet").write_bytes(b"no Parquet file")
+    found = footers(folder_files(spark, str(tmp_path)), "TPEP_pickup_datetime")
+    rows = {Path(r["path"]).name: r for r in found.collect()}
+    for name in ("trips_2023-01", "trips_2023-02", "trips_2025-01", "copy"):
+        r, scan = rows[f"{name}.parquet"], spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        low, high = scan.agg(F.min("tpep_pickup_datetime"), F.max("tpep_pickup_datetime")).first()
+        assert (r["rows"], r["first"], r["last"], r["n_columns"], r["unread"]) == (scan.count(), low, high, len(scan.columns), None)
+    assert rows["trips_2023-01.parquet"]["vintage"] == rows["copy.parquet"]["vintage"] != rows["trips_2025-01.parquet"]["vintage"]
+    assert rows["broken_2023-03.parquet"]["unread"] and rows["broken_2023-03.parquet"]["rows"] is None
+    stats = footer_stats(found).first()
+    assert (stats["n_files"], stats["n_months"], stats["n_unmatched"], stats["n_unread"], stats["n_records"]) == (5, 4, 1, 1, 8)
+    assert stats["size_bytes"] == sum(f.stat().st_size for f in tmp_path.glob("*.parquet"))
+    present = folder_coverage(found)
+    assert coverage_summary(present).first()["missing_months"] == 21
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan.split("Relation")[0] and plan.count("Relation") == 1
+    assert footers(folder_files(spark, str(tmp_path)).limit(0), "x").collect() == []
+
+
+def test_a_column_without_statistics_has_no_extent(spark, tmp_path):
+    spark.sql("SELECT CAST(NULL AS TIMESTAMP_NTZ) AS t, 1 AS x").write.parquet(f"{tmp_path}/nulls_2024-01.parquet")
+    (row,) = footers(folder_files(spark, f"{tmp_path}/nulls_2024-01.parquet", "x"), "t").collect()
+    assert (row["rows"], row["first"], row["last"]) == (1, None, None)
+
+
+def test_sync_loads_new_and_changed_files_only(spark, vintages, tmp_path, monkeypatch):
+    folder, target = tmp_path / "in", f"{tmp_path}/out"
+    folder.mkdir()
+    monthly_folder(spark, vintages, folder, "2023-01", "2023-02")
+    assert sync_months(spark, str(folder), target, schema=TRIPS) == (["2023-01", "2023-02"], 2, 0)
+    assert synced(spark, target).count() == 4
+    assert sync_months(spark, str(folder), target, schema=TRIPS) == ([], 0, 0)
+
+    untouched = sorted(Path(f"{target}/data/file_month=2023-01").glob("*.parquet"))
+    monthly_folder(spark, vintages, folder, "2025-01")
+    shutil.copy(folder / "trips_2023-02.parquet", folder / "more_2023-02.parquet")
+    assert sync_months(spark, str(folder), target, schema=TRIPS) == (["2023-02", "2025-01"], 2, 0)
+    by_month = {r["file_month"]: r["count"] for r in synced(spark, target).groupBy("file_month").count().collect()}
+    assert by_month == {"2023-01": 2, "2023-02": 4, "2025-01": 2}
+    assert sorted(Path(f"{target}/data/file_month=2023-01").glob("*.parquet")) == untouched
+    assert synced(spark, target).drop("file_month").schema.simpleString() == TRIPS.simpleString()
+
+    moved = tmp_path / "elsewhere"
+    moved.mkdir()
+    shutil.move(folder / "trips_2025-01.parquet", moved / "trips_2025-01.parquet")
+    shutil.move(folder / "more_2023-02.parquet", moved / "more_2023-02.parquet")
+    assert sync_months(spark, str(folder), target, schema=TRIPS) == (["2023-02", "2025-01"], 0, 2)
+    assert {r["file_month"]: r["count"] for r in synced(spark, target).groupBy("file_month").count().collect()} == {"2023-01": 2, "2023-02": 2}
+    shutil.move(moved / "trips_2025-01.parquet", folder / "trips_2025-01.parquet")
+    assert sync_months(spark, str(folder), target, schema=TRIPS) == (["2025-01"], 1, 0)
+    assert synced(spark, target).count() == 6
+
+
+def test_a_failed_sync_leaves_the_old_state_or_is_repeated(spark, vintages, tmp_path, monkeypatch):
+    folder, target = tmp_path / "in", f"{tmp_path}/out"
+    folder.mkdir()
+    monthly_folder(spark, vintages, folder, "2023-01")
+    sync_months(spark, str(folder), target, schema=TRIPS)
+    before = sorted(map(tuple, synced(spark, target).collect()), key=str)
+    shutil.copy(folder / "trips_2023-01.parquet", folder / "again_2023-01.parquet")
+
+    def failing_tasks(df, path):
+        write_months(df.withColumn("VendorID", F.when(F.rand() >= 0, F.raise_error(F.lit("lost")).cast("int"))), path)
+
+    monkeypatch.setattr(incremental, "write_months", failing_tasks)
+    with pytest.raises(Exception, match="lost"):
+        sync_months(spark, str(folder), target, schema=TRIPS)
+    assert sorted(map(tuple, synced(spark, target).collect()), key=str) == before
+
+    def dies_after_data(df, path):
+        write_months(df, path)
+        raise RuntimeError("driver lost between the commits")
+
+    monkeypatch.setattr(incremental, "write_months", dies_after_data)
+    with pytest.raises(RuntimeError):
+        sync_months(spark, str(folder), target, schema=TRIPS)
+    monkeypatch.setattr(incremental, "write_months", write_months)
+    assert sync_months(spark, str(folder), target, schema=TRIPS) == (["2023-01"], 1, 0)
+    assert synced(spark, target).count() == 2 * len(before)

@@ -31,6 +31,7 @@ from wayfare.plans.features import (
     stored_history,
 )
 from wayfare.roles import START_DATE
+from wayfare.sources.sinks import stored
 from wayfare.sources.tables import RIDES, SALES, rides, sales
 
 _BASIC = """
@@ -234,7 +235,8 @@ def _parts(train, test):
 @query("impute_train_mean", _IMPUTED_SQL)
 def imputed(spark, folder):
     facts = derived_rides(spark, folder, "event_id", "origin_id", "start_ts", "end_ts")
-    joined = join_history(facts, stored_history(facts, RIDES), RIDES)
+    # stored, as the cutoff, the means and both parts read it
+    joined = stored(join_history(facts, stored_history(facts, RIDES), RIDES), "joined")
     return _parts(*impute_from_train(*time_split(joined, TEST_FRACTION), HISTORY))
 
 

@@ -1,15 +1,18 @@
 """Model fits, evaluation, persistence and scoring.
 
-One-feature linear fits have closed forms in SQL and are checked exactly; tree ensembles
-are checked by row counts here and by the test suite.
+One-feature linear fits, single splits and one round of boosting have closed forms in SQL and are checked exactly; of larger tree ensembles SQL
+states bounds, and the test suite checks them on data with a known answer.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from wayfare.catalog.cleaning import derived_rides, derived_sales
-from wayfare.catalog.registry import SALES_CUTOFF, query, sql_with
+from wayfare.catalog.registry import SALES_CUTOFF, SALES_KEEP, query, sql_with
 from wayfare.operators.aggregates import row_count
 from wayfare.operators.cleaning import keep_rows, standard_rules
 from wayfare.operators.evaluation import (
@@ -19,13 +22,17 @@ from wayfare.operators.evaluation import (
     residual_histogram,
 )
 from wayfare.operators.features import model_features, raw_features
+from wayfare.operators.importance import permutation_importance
 from wayfare.operators.split import column_means, resolved_split, time_split
+from wayfare.operators.splits import best_splits
+from wayfare.plans.boosting import Settings, fit_boosted, score_boosted
 from wayfare.plans.models import (
     Trained,
     ablation,
     coefficients,
     compare_models,
     evaluate_saved,
+    evaluation_report,
     feature_importance,
     fit,
     index_strings,
@@ -34,6 +41,7 @@ from wayfare.plans.models import (
     saved_models,
     score,
     score_trips,
+    stored_frame,
     train_and_score,
 )
 from wayfare.sources.sinks import shared_folder
@@ -245,7 +253,11 @@ def string_index(spark, folder):
     return indexed.groupBy("flag", "flag_idx").agg(row_count().alias("rows"))
 
 
-# Fits over all 16 features, trees included
+# Fits over all 16 features, trees included: what SQL can state of them is how many rows they score, that they predict no worse than the
+# train mean, and bounds of what they return.
+
+_HELD_OUT = f""" , kept AS (SELECT * FROM sales_d WHERE {SALES_KEEP}),
+  cut AS (SELECT quantile_disc(start_date, 0.8) AS d FROM kept)"""
 
 
 def _full_fit(spark, folder, key, target="fare", features=None, **params):
@@ -253,12 +265,25 @@ def _full_fit(spark, folder, key, target="fare", features=None, **params):
     return train_and_score(clean_sales(spark, folder), SALES, key, target, features, **params)
 
 
+def _against_mean(scored, train, target: str):
+    """(n, no_worse): rows scored, and whether their RMSE is at most 2 % over that of the train mean."""
+    mean = column_means(train, [target]).scalar()
+    measured = scored.agg(
+        row_count().alias("n"),
+        F.sqrt(F.avg((F.col(PREDICTION) - F.col(target)) ** 2)).alias("rmse"),
+        F.sqrt(F.avg((mean - F.col(target)) ** 2)).alias("mean_rmse"),
+    )
+    return measured.select("n", (F.col("rmse") <= 1.02 * F.col("mean_rmse")).alias("no_worse"))
+
+
 def _register_fit(name: str, key: str, target: str = "fare", extra: tuple[str, ...] = ()):
-    @query(name)
+    sql = f" SELECT '{key}' AS model, count(*) AS n, true AS no_worse FROM kept, cut WHERE start_date >= d AND {target} IS NOT NULL"
+
+    @query(name, sql_with("sales", "sales_d", then=_HELD_OUT + sql))
     def run(spark, folder):
         features = [*model_features(SALES), *extra]
         trained = _full_fit(spark, folder, key, target, features)
-        return regression_metrics(trained.scored, target).withColumn("model", F.lit(key))
+        return _against_mean(trained.scored, trained.train, target).withColumn("model", F.lit(key))
 
 
 _register_fit("ml.linear_full", "linear")
@@ -270,27 +295,209 @@ _register_fit("ml.duration", "dtree", target="duration_min")
 # The tip model may also see the fare; it is evaluated against the tip it predicts.
 _register_fit("ml.tip", "dtree", target="tip", extra=("fare",))
 
+# Eight columns, of which one holds strings.
+_INDEXED = ["flag", *raw_features(SALES), "line_number", "pickup_month"]
+_SUBSETS = {"distance_and_rate": 2, "indexed": len(_INDEXED), "raw": len(raw_features(SALES)), "engineered": len(model_features(SALES))}
+
 
-@query("ml.ablation")
+@query(
+    "ml.ablation",
+    sql_with(
+        "sales",
+        "sales_d",
+        then=_HELD_OUT
+        + " UNION ALL ".join(
+            f" SELECT '{name}' AS features, {n} AS n_features, count(*) AS n, true AS bounded FROM kept, cut WHERE start_date >= d"
+            for name, n in _SUBSETS.items()
+        ),
+    ),
+)
 def ablated(spark, folder):
+    """Each subset's metrics, reduced to what SQL can state: all held-out rows, and errors that fit each other."""
     subsets = {
         "distance_and_rate": [SALES.distance, SALES.rate_code],
+        "indexed": _INDEXED,
         "raw": raw_features(SALES),
         "engineered": model_features(SALES),
     }
-    return ablation(clean_sales(spark, folder), SALES, "dtree", "fare", subsets)
+    table = ablation(clean_sales(spark, folder), SALES, "dtree", "fare", subsets, categories=["flag"])
+    bounded = (F.col("mae") > 0) & (F.col("mae") <= F.col("rmse")) & F.col("r2").between(-0.05, 1.0)
+    return table.select("features", "n_features", "n", bounded.alias("bounded"))
 
 
-@query("eval.importance")
+@query(
+    "eval.importance",
+    " UNION ALL ".join(f"SELECT '{f}' AS feature, true AS share, true AS adds_up" for f in model_features(SALES)),
+)
 def importance(spark, folder):
+    """Every feature's importance is a share and they add up to one."""
     trained = _full_fit(spark, folder, "dtree")
-    return feature_importance(trained.model, spark, model_features(SALES))
+    found = feature_importance(trained.model, spark, model_features(SALES))
+    total = found.agg(F.sum("importance")).scalar()
+    return found.select("feature", F.col("importance").between(0, 1).alias("share"), (F.abs(total - 1) < 1e-9).alias("adds_up"))
 
 
-@query("score_trips")
+@query("score_trips", sql_with("sales", then=" SELECT order_key, line_number, true AS in_range FROM sales"))
 def score_all_trips(spark, folder):
-    """Every sale, described only by what is known before it ends, with its predicted fare."""
-    model = _full_fit(spark, folder, "dtree").model
+    """Every sale, described only by what is known before it ends: its prediction is a mean of training fares."""
+    trained = _full_fit(spark, folder, "dtree")
     known = [SALES.start, SALES.origin, SALES.dest, SALES.distance, SALES.party, SALES.rate_code]
     upcoming = sales(spark, folder, "order_key", "line_number", *known)
-    return score_trips(model, upcoming, SALES)
+    low, high = (trained.train.agg(f("fare")).scalar() for f in (F.min, F.max))
+    scored = score_trips(trained.model, upcoming, SALES)
+    return scored.select("order_key", "line_number", F.col(PREDICTION).between(low, high).alias("in_range"))
+
+
+# Splits that SQL finds by prefix sums over the counts of distinct values
+
+_SPLIT_FEATURES = ["distance", "party", "rate_code", "origin_id", "dest_id"]
+
+
+def _splits_sql(features: list[str], source: str) -> str:
+    cells = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, fare AS y FROM {source}" for f in features)
+    return f"""
+  counts AS (
+    SELECT feature, value, count(*) AS n, sum(y) AS total FROM ({cells}) WHERE value IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+  sides AS (
+    SELECT feature, value, lead(value) OVER w AS after, sum(n) OVER w AS n_left, sum(total) OVER w AS t_left,
+           sum(n) OVER f AS n_all, sum(total) OVER f AS t_all
+    FROM counts WINDOW w AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)),
+  gains AS (
+    SELECT feature, (value + after) / 2 AS threshold, CAST(n_left AS BIGINT) AS n_left, CAST(n_all - n_left AS BIGINT) AS n_right,
+           t_left / n_left AS left_mean, (t_all - t_left) / (n_all - n_left) AS right_mean,
+           n_left * (t_left / n_left - t_all / n_all) ** 2
+             + (n_all - n_left) * ((t_all - t_left) / (n_all - n_left) - t_all / n_all) ** 2 AS gain
+    FROM sides WHERE after IS NOT NULL)"""
+
+
+@query(
+    "ml.best_split",
+    sql_with("sales", then=f", {_splits_sql(_SPLIT_FEATURES, 'sales')}")
+    + """
+  SELECT feature, threshold, n_left, n_right, round(left_mean, 4) AS left_mean, round(right_mean, 4) AS right_mean, round(gain / 1e9, 4) AS gain
+  FROM gains QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, threshold) = 1""",
+    digits=4,
+)
+def exact_splits(spark, folder):
+    found = best_splits(sales(spark, folder, "fare", *_SPLIT_FEATURES), _SPLIT_FEATURES, "fare")
+    return found.withColumn("gain", F.col("gain") / 1e9)
+
+
+def _stump_sql(features: list[str]) -> str:
+    return sql_with(
+        "sales",
+        then=f""", filled AS (SELECT * REPLACE (coalesce(rate_code, 1.0) AS rate_code) FROM sales WHERE fare IS NOT NULL), {_splits_sql(features, "filled")},
+  best AS (SELECT * FROM gains ORDER BY gain DESC, feature, threshold LIMIT 1)
+  SELECT round(left_mean, 4) AS prediction, n_left AS rows FROM best UNION ALL SELECT round(right_mean, 4), n_right FROM best""",
+    )
+
+
+def _stump(spark, folder, key: str, features: list[str], **params):
+    """The leaves of one split over all rows, as (prediction, rows)."""
+    facts = sales(spark, folder, "fare", *features).fillna({SALES.rate_code: 1.0})
+    model = fit(facts, key, "fare", features, **params)
+    return score(model, facts).groupBy(PREDICTION).agg(row_count().alias("rows"))
+
+
+@query("ml.dtree.stump", _stump_sql(_SPLIT_FEATURES), digits=4)
+def tree_of_one_split(spark, folder):
+    """As many bins as the features have values, so that the fit weighs every split."""
+    return _stump(spark, folder, "dtree", _SPLIT_FEATURES, maxDepth=1, maxBins=64)
+
+
+@query(
+    "ml.categories",
+    sql_with(
+        "sales",
+        then="""
+        SELECT coalesce(flag, '-') AS flag, count(*) AS rows, true AS known_means FROM sales GROUP BY 1""",
+    ),
+)
+def categories(spark, folder):
+    """A tree over one string column, fitted without one of its values, saved, loaded, and scoring all rows, the unseen value's too."""
+    facts = sales(spark, folder, "order_key", "flag", "fare")
+    seen = facts.filter("flag != 'A' AND fare IS NOT NULL")
+    base = shared_folder(spark, "models")
+    model = fit(seen, "dtree", "fare", ["flag"], categories=["flag"], maxDepth=2)
+    model.write().overwrite().save(f"{base}/categories")
+    scored = score(PipelineModel.load(f"{base}/categories"), facts)
+    means = seen.groupBy("flag").agg(F.avg("fare").alias("m"))
+    low, high = means.agg(F.min("m")).scalar(), means.agg(F.max("m")).scalar()
+    within = F.col(PREDICTION).between(low - 1e-6, high + 1e-6)
+    return scored.groupBy(F.coalesce("flag", F.lit("-")).alias("flag")).agg(row_count().alias("rows"), F.bool_and(within).alias("known_means"))
+
+
+@query(
+    "eval.report",
+    sql_with(
+        "sales",
+        then=_FITTED
+        + f""", figures AS ({_LINE_METRICS})
+        SELECT 'metrics' AS section, 'n' AS subject, CAST(n AS DOUBLE) AS value FROM figures
+        UNION ALL SELECT 'metrics', 'rmse', rmse FROM figures UNION ALL SELECT 'metrics', 'mae', mae FROM figures
+        UNION ALL SELECT 'metrics', 'r2', round(r2, 4) FROM figures
+        UNION ALL SELECT 'sample', 'rows', CAST(least(200, n) AS DOUBLE) FROM figures
+        UNION ALL SELECT 'importance', 'distance', 1.0""",
+    ),
+    digits=4,
+)
+def report(spark, folder):
+    """A saved line evaluated again: metrics, how many predictions the sample has, and whether its one feature matters."""
+    base = shared_folder(spark, "models")
+    _save(_line_model(spark, folder), base, "line", "fare", "2024-01-01T00:00:00")
+    found = evaluation_report(load_model(base, "line"), sales(spark, folder), SALES, "fare", _LINE, ["order_key", "line_number"])
+    metrics = found.metrics.withColumn("n", F.col("n").cast("double")).unpivot([], ["n", "rmse", "mae", "r2"], "subject", "value")
+    sample = found.sample.agg(row_count().cast("double").alias("value")).select(F.lit("rows").alias("subject"), "value")
+    weight = found.importance.select(F.col("feature").alias("subject"), (F.col("importance") > 0).cast("double").alias("value"))
+    parts = {"metrics": metrics, "sample": sample, "importance": weight}
+    return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("section"), "subject", "value") for name, df in parts.items()])
+
+
+_FEW_VALUES = ["party", "rate_code", "origin_id", "dest_id"]
+
+
+@query("ml.gbt.stump", _stump_sql(_FEW_VALUES), digits=4)
+def one_round_of_boosting(spark, folder):
+    return _stump(spark, folder, "gbt", _FEW_VALUES, maxIter=1, maxDepth=1)
+
+
+@query("ml.boosted.stump", _stump_sql(_FEW_VALUES), digits=4)
+def one_boosted_split(spark, folder):
+    """One round of the second-order boosting with no shrinkage and no penalty is the best split."""
+    facts = sales(spark, folder, "fare", *_FEW_VALUES).fillna({SALES.rate_code: 1.0})
+    settings = Settings(n_estimators=1, max_depth=1, learning_rate=1.0, reg_lambda=0.0)
+    scored = score_boosted(fit_boosted(facts, _FEW_VALUES, "fare", settings), facts)
+    return scored.groupBy(PREDICTION).agg(row_count().alias("rows"))
+
+
+_ROUNDS = 10
+
+
+@query(
+    "ml.boosted.second_order",
+    sql_with("sales", "sales_d", then=_HELD_OUT + " SELECT count(*) AS n, true AS beats_gbt, true AS kept_best FROM kept, cut WHERE start_date >= d"),
+)
+def second_order(spark, folder):
+    """As many rounds of depth 5 as Spark's own boosting: the error on the hold-out is no larger. The last weeks of training decide where to stop."""
+    features = model_features(SALES)
+    train, test = resolved_split(stored_frame(clean_sales(spark, folder), SALES, "fare"), 0.2)
+    weeks = train.select((F.max("start_date") - F.expr("INTERVAL 28 DAYS")).alias("d")).scalar()
+    own = fit_boosted(train, features, "fare", Settings(n_estimators=_ROUNDS, max_depth=5, patience=3), F.col("start_date") > weeks)
+    other = fit(train, "gbt", "fare", features, maxIter=_ROUNDS)
+    off = (F.col(PREDICTION) - F.col("fare")) ** 2
+    ours = score_boosted(own, test).agg(row_count().alias("n"), F.sqrt(F.avg(off)).alias("rmse"))
+    theirs = score(other, test).agg(F.sqrt(F.avg(off)).alias("rmse")).scalar()
+    return ours.select("n", (F.col("rmse") <= theirs).alias("beats_gbt"), F.lit(0 < len(own.trees) <= _ROUNDS).alias("kept_best"))
+
+
+@query(
+    "eval.permutation",
+    """SELECT 'distance' AS feature, true AS matters UNION ALL SELECT 'party', false UNION ALL SELECT 'constant', false""",
+)
+def permuted(spark, folder):
+    """A line through quantity, a hardly related number and a constant: only the first can matter to it."""
+    facts = sales(spark, folder, "fare", "distance", "party").withColumn("constant", F.lit(1.0))
+    names = ["distance", "party", "constant"]
+    found = permutation_importance(fit(facts, "linear", "fare", names), facts, names, "fare")
+    spread = facts.agg(F.stddev("fare")).scalar()
+    return found.select("feature", (F.col("importance") > 0.05 * spread).alias("matters"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from wayfare.catalog.cleaning import derived_rides
 from wayfare.catalog.registry import RIDES_KEEP, query, sql_with
-from wayfare.operators.cleaning import standard_rules
+from wayfare.functions.timeparts import month_start
+from wayfare.operators.cleaning import standard_rules, with_derived
+from wayfare.operators.distinct import period_sketches, relative_error, united_distinct
 from wayfare.operators.quality import (
     categorical_distribution,
     clipped_histogram,
@@ -19,8 +21,11 @@ from wayfare.operators.quality import (
     sanity_block,
     target_audit,
 )
-from wayfare.roles import DURATION
-from wayfare.sources.tables import RIDE_COLUMNS, RIDES, RIDES_LIMITS, SALES_LIMITS, rides, sales, table
+from wayfare.operators.quantiles import MARGIN, exact_quantiles, rank_error
+from wayfare.operators.report import quality_report
+from wayfare.roles import DURATION, START_DATE
+from wayfare.sources.sinks import shared_folder
+from wayfare.sources.tables import RIDE_COLUMNS, RIDES, RIDES_LIMITS, SALE_COLUMNS, SALES, SALES_LIMITS, rides, sales, table
 
 
 def _missing(column: str) -> str:
@@ -135,10 +140,33 @@ def summary_exact(spark, folder):
     return numeric_summary(facts, _NUMERIC)
 
 
-@query("numeric_summary_approx")
+def _within(probs: dict[str, float], columns: list[str], view: str) -> str:
+    """Every estimate is as near in rank as the sketch promises."""
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{q}' AS statistic, true AS within FROM {view} HAVING count({c}) > 0" for c in columns for q in probs)
+
+
+def _judged(df, columns: list[str], probs: dict[str, float], estimates):
+    """(column, statistic, within): whether each estimate lies between the exact quantiles at its rank less and plus the bound."""
+    reach = MARGIN * rank_error()
+    edges = {q: (max(0.0, p - reach), min(1.0, p + reach)) for q, p in probs.items()}
+    exact = exact_quantiles(df, columns, sorted({e for pair in edges.values() for e in pair}))
+    bounds = df.sparkSession.createDataFrame([(q, *pair) for q, pair in edges.items()], "statistic string, low double, high double")
+    joined = estimates.join(bounds, "statistic")
+    for side in ("low", "high"):
+        at = exact.select("column", F.col("prob").alias(side), F.col("value").alias(f"{side}_value"))
+        joined = joined.join(at, ["column", side])
+    return joined.select("column", "statistic", F.col("value").between(F.col("low_value"), F.col("high_value")).alias("within"))
+
+
+_QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+
+
+@query("numeric_summary_approx", sql_with("rides", "rides_d", then=" " + _within(_QUARTILES, _NUMERIC, "rides_d")))
 def summary_sketched(spark, folder):
+    """The estimated quartiles, each held against exact quantiles on either side of its error bound."""
     facts = derived_rides(spark, folder, "start_ts", "end_ts", *_NUMERIC[:-1])
-    return numeric_summary(facts, _NUMERIC, exact=False)
+    estimates = numeric_summary(facts, _NUMERIC, exact=False).filter(F.col("statistic").isin(*_QUARTILES))
+    return _judged(facts, _NUMERIC, _QUARTILES, estimates)
 
 
 _AUDIT = {
@@ -164,9 +192,46 @@ def audit_exact(spark, folder):
     return target_audit(sales(spark, folder, "fare"), "fare", SALES_LIMITS.fare_max)
 
 
-@query("target_audit_approx")
+_TAIL = {"median": 0.5, "p99_9": 0.999, "p99_99": 0.9999}
+
+
+@query("target_audit_approx", sql_with("sales", then=" " + _within(_TAIL, ["fare"], "sales")))
 def audit_sketched(spark, folder):
-    return target_audit(sales(spark, folder, "fare"), "fare", SALES_LIMITS.fare_max, exact=False)
+    """The estimated tail of the target, held against exact quantiles likewise."""
+    facts = sales(spark, folder, "fare")
+    found = target_audit(facts, "fare", SALES_LIMITS.fare_max, exact=False).filter(F.col("measure").isin(*_TAIL))
+    return _judged(facts, ["fare"], _TAIL, found.select(F.lit("fare").alias("column"), F.col("measure").alias("statistic"), "value"))
+
+
+_REPORTED = ["distance", "party", "fare", "tip", "total", DURATION]
+_SALE_ALL = [*SALE_COLUMNS, DURATION, START_DATE]
+_SALE_CHECKS = {
+    "implausible_fare": "fare <= 0 OR fare > 100000",
+    "zero_distance": "distance <= 0",
+    "extreme_distance": "distance >= 45",
+    "bad_passenger_count": "party IS NULL OR party <= 0",
+    "bad_duration": "duration_min < 1440 OR duration_min > 2592000",
+}
+
+
+def _report_sql() -> str:
+    counted = [("missing", c, f"{c} IS NULL") for c in _SALE_ALL] + [("sanity", n, c) for n, c in _SALE_CHECKS.items()]
+    rows = "SELECT 'table' AS section, 'all' AS subject, 'rows' AS measure, CAST(count(*) AS DOUBLE) AS value FROM sales_d"
+    parts = [rows, "SELECT 'table', 'all', 'distinct_rows', CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT * FROM sales_d)"]
+    parts.append("SELECT 'table', 'all', 'duplicates', CAST((SELECT count(*) FROM sales_d) - count(*) AS DOUBLE) FROM (SELECT DISTINCT * FROM sales_d)")
+    for section, subject, condition in counted:
+        hit = f"count(*) FILTER (WHERE {condition})"
+        parts.append(f"SELECT '{section}', '{subject}', 'rows', CAST({hit} AS DOUBLE) FROM sales_d")
+        parts.append(f"SELECT '{section}', '{subject}', 'pct', round(100.0 * {hit} / count(*), 4) FROM sales_d")
+    for c in _REPORTED:
+        figures = {"count": f"count({c})", "mean": f"avg({c})", "stddev": f"stddev_samp({c})", "min": f"min({c})", "max": f"max({c})"}
+        parts += [f"SELECT 'numeric', '{c}', '{m}', round(CAST({sql} AS DOUBLE), 4) FROM sales_d" for m, sql in figures.items()]
+    return sql_with("sales", "sales_d", then=" " + " UNION ALL ".join(parts))
+
+
+@query("quality_report", _report_sql(), digits=4)
+def whole_report(spark, folder):
+    return quality_report(with_derived(sales(spark, folder), SALES), SALES, SALES_LIMITS, _REPORTED)
 
 
 # Ranges the three histograms are clipped to.
@@ -224,16 +289,36 @@ def distincts(spark, folder):
     return distinct_counts(rides(spark, folder, *_DISTINCT), _DISTINCT)
 
 
+_SKETCHED = ["origin_id", "dest_id", "order_key", "fare", "flag"]
+
+
+@query(
+    "distinct_counts.sketched",
+    sql_with(
+        "sales",
+        then=" "
+        + " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS distinct_values, true AS within FROM sales" for c in _SKETCHED
+        ),
+    ),
+)
+def united_counts(spark, folder):
+    """Sketches of the early months, those of the later ones appended, all united: within five standard errors of the exact counts."""
+    facts = sales(spark, folder, "start_ts", *_SKETCHED)
+    path, late = shared_folder(spark, "sketches"), F.coalesce(F.year("start_ts") >= 1998, F.lit(False))
+    for part in (~late, late):
+        period_sketches(facts.filter(part), _SKETCHED, month_start("start_ts")).write.mode("append").parquet(path)
+    found = united_distinct(spark.read.parquet(path)).withColumnRenamed("distinct_values", "estimate")
+    off = F.abs(F.col("estimate") - F.col("distinct_values"))
+    within = off <= F.greatest(F.lit(1.0), 5 * relative_error() * F.col("distinct_values"))
+    return found.join(distinct_counts(facts, _SKETCHED), "column").select("column", "rows", "distinct_values", within.alias("within"))
+
+
 _KINDS = {
-    "order_key": "numeric",
-    "line_number": "numeric",
-    "start_ts": "timestamp",
-    "end_ts": "timestamp",
-    "distance": "numeric",
-    "rate_code": "numeric",
-    "flag": "categorical",
-    "fare": "numeric",
-}
+    "order_key": "numeric", "line_number": "numeric", "start_ts": "timestamp", "end_ts": "timestamp", "origin_id": "numeric",
+    "dest_id": "numeric", "distance": "numeric", "party": "numeric", "rate_code": "numeric", "flag": "categorical", "fare": "numeric",
+    "tip": "numeric", "total": "numeric",
+}
 
 
 @query(

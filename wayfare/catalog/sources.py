@@ -7,13 +7,17 @@ from pyspark.sql import types as T
 
 from wayfare.catalog.features import FILLED_SQL, HISTORY_SQL
 from wayfare.catalog.registry import query, sql_with
+from wayfare.functions.timeparts import month_start
 from wayfare.operators.aggregates import row_count
 from wayfare.operators.coverage import coverage_summary, period_gaps, periods_present
 from wayfare.plans.features import write_processed
-from wayfare.sources.monthly import file_stats, load_months, load_stats
+from wayfare.sources.footers import folder_coverage, footer_stats, footers
+from wayfare.sources.incremental import manifest, sync_months, synced
+from wayfare.sources.monthly import file_stats, folder_files, load_folder, load_months, load_stats
 from wayfare.sources.schemas import cast_present, columns, conform, project, schema_drift, union_by_name
-from wayfare.sources.sinks import shared_folder, write_partitioned
+from wayfare.sources.sinks import shared_folder, stored, write_partitioned
 from wayfare.sources.tables import RIDES, SALES, rides, sales, table, zones
+from wayfare.sources.zones import read_zones
 
 
 @query(
@@ -36,17 +40,18 @@ _ORDERS = columns(
 
 
 def _drifted_orders(spark, folder):
-    """The orders table cut by year into three vintages, each with its own schema."""
-    year = F.year("o_orderdate")
-    orders = table(spark, folder, "orders").withColumn("year", year)
-    old = orders.filter(year < 1997).select(
+    """The orders table cut by date ranges, which reach the scan, into three vintages, each with its own schema."""
+    ordered = F.col("o_orderdate")
+    second, third = (F.lit(f"{year}-01-01").cast("timestamp_ntz") for year in (1997, 1999))
+    orders = table(spark, folder, "orders").withColumn("year", F.year(ordered))
+    old = orders.filter(ordered < second).select(
         F.col("o_orderkey").cast("int").alias("order_key"),
         F.col("o_custkey").alias("customer"),
         F.col("o_orderdate").alias("ordered"),
         F.floor("o_totalprice").cast("int").alias("total"),
         "year",
     )
-    middle = orders.filter(year.between(1997, 1998)).select(
+    middle = orders.filter((ordered >= second) & (ordered < third)).select(
         F.col("o_orderkey").alias("order_key"),
         F.col("o_orderdate").alias("ordered"),
         F.col("o_totalprice").alias("total"),
@@ -54,7 +59,7 @@ def _drifted_orders(spark, folder):
         F.col("o_custkey").cast("double").alias("customer"),
         "year",
     )
-    new = orders.filter((year >= 1999) | year.isNull()).select(
+    new = orders.filter((ordered >= third) | ordered.isNull()).select(
         F.col("o_orderkey").alias("order_key"),
         F.col("o_custkey").alias("customer"),
         F.col("o_orderdate").alias("ordered"),
@@ -166,21 +171,138 @@ def files(spark, folder):
     return stats.select("n_files", "n_records", (F.col("size_bytes") > F.col("n_records")).alias("sized"))
 
 
+# Every column of lineitem, how a reader might expect it, and what that comes to.
+_EXPECTED = {
+    "l_orderkey": (T.LongType(), "ok"), "l_partkey": (T.LongType(), "ok"), "l_suppkey": (T.LongType(), "ok"),
+    "l_linenumber": (T.DoubleType(), "other_type"), "L_Quantity": (T.DoubleType(), "renamed_case"), "l_extendedprice": (T.DoubleType(), "ok"),
+    "l_discount": (T.FloatType(), "other_type"), "L_Tax": (T.DoubleType(), "renamed_case"), "l_returnflag": (T.StringType(), "ok"),
+    "l_linestatus": (T.StringType(), "ok"), "l_shipdate": (T.DateType(), "other_type"), "airport_fee": (T.DoubleType(), "missing"),
+}
+
+
 @query(
     "schema_drift",
-    """SELECT 'l_orderkey' AS "column", 'ok' AS status, count(l_orderkey) AS non_null FROM lineitem
-       UNION ALL SELECT 'l_linenumber', 'other_type', count(l_linenumber) FROM lineitem
-       UNION ALL SELECT 'L_Tax', 'renamed_case', count(l_tax) FROM lineitem
-       UNION ALL SELECT 'airport_fee', 'missing', 0""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{status}' AS status, {'0' if status == 'missing' else f'count({c})'} AS non_null{'' if status == 'missing' else ' FROM lineitem'}"""
+        for c, (_, status) in _EXPECTED.items()
+    ),
 )
 def drift(spark, folder):
-    expected = columns(
-        l_orderkey=T.LongType(),
-        l_linenumber=T.DoubleType(),
-        L_Tax=T.DoubleType(),
-        airport_fee=T.DoubleType(),
+    return schema_drift(table(spark, folder, "lineitem"), columns(**{c: dtype for c, (dtype, _) in _EXPECTED.items()}))
+
+
+@query("dim_zone.csv", sql_with("zones", then=" SELECT * FROM zones"))
+def dim_zone_csv(spark, folder):
+    """The location table through a CSV file and back."""
+    path = shared_folder(spark, "zones")
+    zones(spark, folder).write.option("header", True).csv(path)
+    return read_zones(spark, path)
+
+
+_MONTH_FOLDER = r"month=(\d{4}-\d{2})/"
+_FOLDER_ORDERS = """
+monthly AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, date_trunc('month', o_orderdate) AS m, o_orderkey % 97 = 0 AS odd,
+         year(o_orderdate) < 1997 OR year(o_orderdate) < 1999 AND o_orderkey % 2 = 0 AS early,
+         CASE WHEN year(o_orderdate) < 1997 THEN floor(o_totalprice)
+              WHEN year(o_orderdate) < 1999 AND o_orderkey % 2 = 0 THEN o_totalprice
+              ELSE CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) END AS total,
+         CASE WHEN year(o_orderdate) >= 1997 THEN o_orderpriority END AS priority
+  FROM orders)"""
+
+
+def _write_months(vintage, base: str) -> None:
+    """Append the rows to a folder a month; every 97th order goes to one whose name carries no month."""
+    named = F.when(F.col("order_key") % 97 == 0, "oddity").otherwise(F.coalesce(F.date_format("ordered", "yyyy-MM"), F.lit("undated")))
+    months = vintage.drop("year").withColumn("month", named).hint("rebalance", F.col("month"))
+    months.write.mode("append").partitionBy("month").parquet(base)
+
+
+def _monthly_orders(spark, folder, base: str):
+    """Two writers of a folder of monthly files: the first ones, then the later ones. The middle years' months have files of both."""
+    old, middle, new = _drifted_orders(spark, folder).values()
+    even = F.col("order_key") % 2 == 0
+    _write_months(old, base)
+    _write_months(middle.filter(even), base)
+    yield
+    _write_months(middle.filter(~even).withColumn("total", F.col("total").cast("float")), base)
+    _write_months(new, base)
+    yield
+
+
+def _order_months(df, period):
+    return df.groupBy(period.alias("period")).agg(
+        row_count().alias("orders"), F.sum("total").alias("total"), F.count("priority").alias("with_priority"), F.count("customer").alias("with_customer")
     )
-    return schema_drift(table(spark, folder, "lineitem"), expected)
+
+
+_MONTH_FIGURES = "count(*) AS orders, round(sum(total), 2) AS total, count(priority) AS with_priority, count(o_custkey) AS with_customer"
+
+
+@query(
+    "load_folder",
+    f"""WITH {_FOLDER_ORDERS}
+        SELECT strftime(m, '%Y-%m-%d') AS period, {_MONTH_FIGURES}, true AS left_out FROM monthly WHERE NOT odd AND m IS NOT NULL GROUP BY m""",
+    digits=2,
+)
+def whole_folder(spark, folder):
+    """Several files a month, two schemas in one month, and files whose name carries no month."""
+    base = shared_folder(spark, "months")
+    for _ in _monthly_orders(spark, folder, base):
+        pass
+    loaded = load_folder(spark, base, schema=_ORDERS, name=_MONTH_FOLDER)
+    return _order_months(loaded.df, month_start("ordered")).withColumn("left_out", F.lit(len(loaded.unmatched) > 0))
+
+
+def _footers(spark, folder):
+    base = shared_folder(spark, "months")
+    for _ in _monthly_orders(spark, folder, base):
+        pass
+    return stored(footers(folder_files(spark, base, _MONTH_FOLDER), "ordered"), "footers")
+
+
+@query(
+    "footer_stats",
+    f"""WITH {_FOLDER_ORDERS}
+        SELECT count(*) AS n_records, CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) AS first_date,
+               CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_date,
+               count(DISTINCT m) FILTER (WHERE NOT odd) AS n_months, 0 AS n_unread, true AS sized FROM monthly""",
+)
+def folder_footers(spark, folder):
+    stats = footer_stats(_footers(spark, folder))
+    sized = (F.col("size_bytes") > 0) & (F.col("n_files") > F.col("n_unmatched")) & (F.col("n_vintages") > 1)
+    return stats.select("n_records", "first_date", "last_date", "n_months", "n_unread", sized.alias("sized"))
+
+
+@query(
+    "folder_coverage",
+    f"""WITH {_FOLDER_ORDERS}, present AS (SELECT m, count(*) AS rows FROM monthly WHERE NOT odd AND m IS NOT NULL GROUP BY m)
+        SELECT CAST(CAST(min(m) AS DATE) AS VARCHAR) AS first_month, CAST(CAST(max(m) AS DATE) AS VARCHAR) AS last_month, count(*) AS months,
+               CAST(date_diff('month', min(m), max(m)) + 1 - count(*) AS BIGINT) AS missing_months, CAST(sum(rows) AS BIGINT) AS rows, true AS sized
+        FROM present""",
+)
+def named_months(spark, folder):
+    """Coverage by the names and footers of files: nothing is scanned."""
+    present = stored(folder_coverage(_footers(spark, folder)), "coverage")
+    totals = present.agg(F.sum("rows").alias("rows"), (F.sum("bytes") > 0).alias("sized"))
+    return coverage_summary(present).join(F.broadcast(totals))
+
+
+@query(
+    "sync_months",
+    f"""WITH {_FOLDER_ORDERS}
+        SELECT strftime(m, '%Y-%m') AS period, {_MONTH_FIGURES}, count(DISTINCT early) AS loads
+        FROM monthly WHERE NOT odd AND m IS NOT NULL GROUP BY m""",
+    digits=2,
+)
+def incremental_months(spark, folder):
+    """A target that follows the folder: one run before and one after the later files come, a third that finds nothing new."""
+    base, target = shared_folder(spark, "months"), shared_folder(spark, "synced")
+    for _ in _monthly_orders(spark, folder, base):
+        sync_months(spark, base, target, schema=_ORDERS, name=_MONTH_FOLDER)
+    sync_months(spark, base, target, schema=_ORDERS, name=_MONTH_FOLDER)
+    loads = manifest(spark, target).groupBy(F.date_format("month", "yyyy-MM").alias("period")).agg(F.count_distinct("batch").alias("loads"))
+    return _order_months(synced(spark, target), F.col("file_month")).join(loads, "period")
 
 
 @query("dim_zone", sql_with("zones", then=" SELECT * FROM zones"))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from wayfare.functions.bins import equal_width_bin
 from wayfare.operators.cleaning import Rule, keeps_all
-from wayfare.operators.quantiles import exact_quantiles
+from wayfare.operators.quantiles import SKETCH_SIZE, FirstScan, first_scan, quantiles_of, sketched_quantiles
 from wayfare.roles import DURATION, Limits, Roles
 
 
@@ -30,21 +30,26 @@ def missing_per_column(df: DataFrame) -> DataFrame:
     )
 
 
-def sanity_block(df: DataFrame, roles: Roles, limits: Limits) -> DataFrame:
-    """(check, rows, pct): gross implausibilities.
+def sanity_checks(roles: Roles, limits: Limits) -> dict[str, Column]:
+    """Gross implausibilities by name.
 
     These are wider than the cleaning rules: a fare between zero and the minimum and a
     missing fare or distance are removed by cleaning but not counted here.
     """
     fare, distance, party = F.col(roles.fare), F.col(roles.distance), F.col(roles.party)
     minutes = F.col(DURATION)
-    checks = {
+    return {
         "implausible_fare": implausible(fare, limits.fare_max),
         "zero_distance": distance <= 0,
         "extreme_distance": distance >= limits.distance_max,
         "bad_passenger_count": party.isNull() | (party <= 0),
         "bad_duration": (minutes < limits.duration_min) | (minutes > limits.duration_max),
     }
+
+
+def sanity_block(df: DataFrame, roles: Roles, limits: Limits) -> DataFrame:
+    """(check, rows, pct) of :func:`sanity_checks`."""
+    checks = sanity_checks(roles, limits)
     counts = df.agg(
         F.count(F.lit(1)).alias("__rows"), *[F.count_if(c).alias(name) for name, c in checks.items()]
     )
@@ -112,73 +117,43 @@ def duplicate_rows_approx(df: DataFrame, rsd: float = 0.01) -> DataFrame:
     return counted.withColumn("approx_duplicates", surplus)
 
 
-_MOMENTS = {"count": F.count, "mean": F.avg, "stddev": F.stddev, "min": F.min, "max": F.max}
+_MOMENTS = ["count", "mean", "stddev", "min", "max"]
 _QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
 
-def _sketched(column: Column, probs: dict[str, float], accuracy: int) -> dict[str, Column]:
-    """Name -> estimated quantile; all share one sketch."""
-    found = F.percentile_approx(column, list(probs.values()), accuracy)
-    return {name: found.getItem(i) for i, name in enumerate(probs)}
-
-
-def _named_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float], out: str) -> DataFrame:
-    """(column, out, value) of exact quantiles under their names."""
+def _named_quantiles(df: DataFrame, scan: FirstScan, probs: dict[str, float], out: str, exact: bool) -> DataFrame:
+    """(column, out, value) of quantiles under their names."""
+    found = quantiles_of(df, scan, list(probs.values())) if exact else sketched_quantiles(scan, list(probs.values()))
     names = F.coalesce(*[F.when(F.col("prob") == p, F.lit(name)) for name, p in probs.items()])
-    return exact_quantiles(df, columns, list(probs.values())).select("column", names.alias(out), "value")
+    return found.select("column", names.alias(out), "value")
 
 
-def numeric_summary(
-    df: DataFrame, columns: list[str], exact: bool = True, accuracy: int = 10000
-) -> DataFrame:
-    """(column, statistic, value): count, mean, sample stddev, min, quartiles, max.
+def numeric_summary(df: DataFrame, columns: list[str], exact: bool = True, sketch_size: int = SKETCH_SIZE) -> DataFrame:
+    """(column, statistic, value): count, mean, sample stddev, min, quartiles, max, in two scans.
 
-    Quartiles come from :func:`~wayfare.operators.quantiles.exact_quantiles`. With
-    ``exact=False`` they are sketched in the same single scan; every task's sketch goes to
-    one reducer, so that form suits thousands of tasks rather than hundreds of thousands.
+    The first scan gives all but the quartiles and brackets those for the second, see :mod:`~wayfare.operators.quantiles`. With
+    ``exact=False`` the sketches of the first answer for them.
     """
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-
-    def measures(column: str) -> dict[str, Column]:
-        simple = {name: function(column).cast("double") for name, function in _MOMENTS.items()}
-        return simple if exact else simple | _sketched(F.col(column), _QUARTILES, accuracy)
-
-    packed = numeric.agg(
-        *[F.struct(*[m.alias(s) for s, m in measures(c).items()]).alias(c) for c in columns]
+    scan = first_scan(df, columns, size=sketch_size)
+    packed = scan.row.select(
+        *[F.struct(*[scan.moments(c)[m].cast("double").alias(m) for m in _MOMENTS]).alias(c) for c in columns]
     )
-    statistics = [*_MOMENTS] if exact else [*_MOMENTS, *_QUARTILES]
-    table = (
-        packed.unpivot([], columns, "column", "__s")
-        .select("column", "__s.*")
-        .unpivot(["column"], statistics, "statistic", "value")
-    )
-    if not exact:
-        return table
-    return table.unionByName(_named_quantiles(numeric, columns, _QUARTILES, "statistic"))
+    moments = packed.unpivot([], columns, "column", "__s").select("column", "__s.*").unpivot(["column"], _MOMENTS, "statistic", "value")
+    return moments.unionByName(_named_quantiles(df, scan, _QUARTILES, "statistic", exact))
 
 
 _AUDIT_QUANTILES = {"median": 0.5, "p99_9": 0.999, "p99_99": 0.9999}
 
 
-def target_audit(
-    df: DataFrame, target: str, cap: float, exact: bool = True, accuracy: int = 10000
-) -> DataFrame:
-    """(measure, value): range, median, far tail, negatives and rows above the cap."""
+def target_audit(df: DataFrame, target: str, cap: float, exact: bool = True, sketch_size: int = SKETCH_SIZE) -> DataFrame:
+    """(measure, value): range, median, far tail, negatives and rows above the cap; scanned as by :func:`numeric_summary`."""
     y = F.col(target).cast("double")
-    measures = {
-        "min": F.min(y),
-        "max": F.max(y),
-        "negative": F.count_if(y < 0).cast("double"),
-        "above_cap": F.count_if(y > cap).cast("double"),
-    }
-    if not exact:
-        measures |= _sketched(y, _AUDIT_QUANTILES, accuracy)
-    one_row = df.agg(*[c.alias(name) for name, c in measures.items()])
-    table = one_row.unpivot([], list(measures), "measure", "value")
-    if not exact:
-        return table
-    tail = _named_quantiles(df, [target], _AUDIT_QUANTILES, "measure")
-    return table.unionByName(tail.drop("column"))
+    scan = first_scan(df, [target], {"negative": y < 0, "above_cap": y > cap}, sketch_size)
+    own = scan.moments(target)
+    measures = {"min": own["min"], "max": own["max"], "negative": F.col("negative").cast("double"), "above_cap": F.col("above_cap").cast("double")}
+    one_row = scan.row.select(*[c.alias(name) for name, c in measures.items()])
+    tail = _named_quantiles(df, scan, _AUDIT_QUANTILES, "measure", exact)
+    return one_row.unpivot([], list(measures), "measure", "value").unionByName(tail.drop("column"))
 
 
 def clipped_histogram(

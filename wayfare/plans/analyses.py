@@ -29,7 +29,6 @@ class Result(NamedTuple):
 class Analysis(NamedTuple):
     key: str
     family: str
-    title: str
     needs: tuple[str, ...]  # roles read: start, end, origin, ...
     run: Callable[..., Result]  # (df, roles) or, with labels, (df, roles, zones)
     labelled: bool = False
@@ -50,11 +49,11 @@ def register(analysis: Analysis) -> None:
     ANALYSES[analysis.key] = analysis
 
 
-def analysis(key: str, title: str, *needs: str, labelled: bool = False):
+def analysis(key: str, *needs: str, labelled: bool = False):
     """Register the decorated function under ``key``; its prefix names the family."""
 
     def add(run):
-        register(Analysis(key, FAMILIES[key.split(".")[0]], title, needs, run, labelled))
+        register(Analysis(key, FAMILIES[key.split(".")[0]], needs, run, labelled))
         return run
 
     return add
@@ -84,26 +83,26 @@ def _duration(roles: Roles) -> Column:
 # Demand
 
 
-@analysis("demand.by_hour", "Trips by hour", "start")
+@analysis("demand.by_hour", "start")
 def trips_by_hour(df: DataFrame, roles: Roles) -> Result:
     frame = group_by(df, F.hour(roles.start), "hour", trips=row_count())
     return Result(frame, summary(frame, total_trips=_total("trips"), peak_hour=peak("hour", "trips")))
 
 
-@analysis("demand.by_weekday", "Trips by weekday", "start")
+@analysis("demand.by_weekday", "start")
 def trips_by_weekday(df: DataFrame, roles: Roles) -> Result:
     days = group_by(df, F.dayofweek(roles.start), "day", trips=row_count())
     metrics = summary(days, total_trips=_total("trips"), busiest_day=weekday_name(peak("day", "trips")))
     return Result(relabel(days, "day", weekday_name(F.col("day")), "weekday"), metrics)
 
 
-@analysis("demand.by_month", "Trips by month", "start")
+@analysis("demand.by_month", "start")
 def trips_by_month(df: DataFrame, roles: Roles) -> Result:
     months = group_by(df, F.month(roles.start), "m", trips=row_count())
     return Result(relabel(months, "m", month_name(F.col("m")), "month"), summary(months, total_trips=_total("trips")))
 
 
-@analysis("demand.over_time", "Trips over time", "start")
+@analysis("demand.over_time", "start")
 def trips_over_time(df: DataFrame, roles: Roles) -> Result:
     frame = group_by(df, F.to_date(roles.start), "period", trips=row_count())
     busiest = peak("period", "trips")
@@ -129,17 +128,17 @@ def _top_zones(df: DataFrame, roles: Roles, zones: DataFrame, location: str, k:
     return Result(frame, metrics.select("distinct_zones", "top_zone"))
 
 
-@analysis("geo.top_pickups", "Most common pickup locations", "origin", labelled=True)
+@analysis("geo.top_pickups", "origin", labelled=True)
 def top_pickups(df: DataFrame, roles: Roles, zones: DataFrame, k: int = 12) -> Result:
     return _top_zones(df, roles, zones, roles.origin, k)
 
 
-@analysis("geo.top_dropoffs", "Most common dropoff locations", "dest", labelled=True)
+@analysis("geo.top_dropoffs", "dest", labelled=True)
 def top_dropoffs(df: DataFrame, roles: Roles, zones: DataFrame, k: int = 12) -> Result:
     return _top_zones(df, roles, zones, roles.dest, k)
 
 
-@analysis("geo.hotspot_compare", "Pickup and dropoff hotspots", "origin", "dest", labelled=True)
+@analysis("geo.hotspot_compare", "origin", "dest", labelled=True)
 def hotspot_compare(df: DataFrame, roles: Roles, zones: DataFrame, k: int = 10) -> Result:
     frame = hotspots(df, roles, zones, k)
     return Result(frame, summary(frame, zones_compared=row_count()))
@@ -148,7 +147,7 @@ def hotspot_compare(df: DataFrame, roles: Roles, zones: DataFrame, k: int = 10)
 # Trip
 
 
-@analysis("trip.distance_dist", "Trip distance distribution", "distance")
+@analysis("trip.distance_dist", "distance")
 def distance_distribution(df: DataFrame, roles: Roles) -> Result:
     distance = F.col(roles.distance)
     plausible = df.filter((distance > 0) & (distance < 100))
@@ -156,7 +155,7 @@ def distance_distribution(df: DataFrame, roles: Roles) -> Result:
     return Result(frame, summary(df, avg_distance=F.avg(distance)))
 
 
-@analysis("trip.duration_dist", "Trip duration distribution", "start", "end")
+@analysis("trip.duration_dist", "start", "end")
 def duration_distribution(df: DataFrame, roles: Roles) -> Result:
     timed = df.select(_duration(roles).alias("minutes"))
     minutes = F.col("minutes")
@@ -165,17 +164,17 @@ def duration_distribution(df: DataFrame, roles: Roles) -> Result:
     return Result(frame, summary(timed, avg_duration_min=F.avg(minutes)))
 
 
-@analysis("trip.avg_duration", "Average trip duration", "start", "end")
+@analysis("trip.avg_duration", "start", "end")
 def average_duration(df: DataFrame, roles: Roles) -> Result:
     return Result(None, summary(df, avg_duration_min=F.avg(_duration(roles))))
 
 
-@analysis("trip.avg_distance", "Average trip distance", "distance")
+@analysis("trip.avg_distance", "distance")
 def average_distance(df: DataFrame, roles: Roles) -> Result:
     return Result(None, summary(df, avg_distance=F.avg(roles.distance)))
 
 
-@analysis("trip.avg_speed", "Average trip speed", "start", "end", "distance")
+@analysis("trip.avg_speed", "start", "end", "distance")
 def average_speed(df: DataFrame, roles: Roles) -> Result:
     """Mean of the rows' own speeds, over rows that took any time."""
     hours = _duration(roles) / F.lit(60.0)
@@ -186,39 +185,39 @@ def average_speed(df: DataFrame, roles: Roles) -> Result:
 # Revenue
 
 
-@analysis("rev.total", "Total revenue", "total")
+@analysis("rev.total", "total")
 def total_revenue(df: DataFrame, roles: Roles) -> Result:
     revenue = F.coalesce(F.sum(roles.total), F.lit(0.0))
     per_trip = revenue / F.greatest(row_count(), F.lit(1))
     return Result(None, summary(df, total_revenue=revenue, revenue_per_trip=per_trip))
 
 
-@analysis("rev.by_hour", "Revenue by hour", "start", "total")
+@analysis("rev.by_hour", "start", "total")
 def revenue_by_hour(df: DataFrame, roles: Roles) -> Result:
     frame = group_by(df, F.hour(roles.start), "hour", revenue=F.sum(roles.total))
     return Result(frame, summary(frame, total_revenue=_total("revenue")))
 
 
-@analysis("rev.by_weekday", "Revenue by weekday", "start", "total")
+@analysis("rev.by_weekday", "start", "total")
 def revenue_by_weekday(df: DataFrame, roles: Roles) -> Result:
     days = group_by(df, F.dayofweek(roles.start), "day", revenue=F.sum(roles.total))
     frame = relabel(days, "day", weekday_name(F.col("day")), "weekday")
     return Result(frame, summary(days, total_revenue=_total("revenue")))
 
 
-@analysis("rev.by_month", "Revenue by month", "start", "total")
+@analysis("rev.by_month", "start", "total")
 def revenue_by_month(df: DataFrame, roles: Roles) -> Result:
     months = group_by(df, F.month(roles.start), "m", revenue=F.sum(roles.total))
     frame = relabel(months, "m", month_name(F.col("m")), "month")
     return Result(frame, summary(months, total_revenue=_total("revenue")))
 
 
-@analysis("rev.avg_fare", "Average fare", "fare")
+@analysis("rev.avg_fare", "fare")
 def average_fare(df: DataFrame, roles: Roles) -> Result:
     return Result(None, summary(df, avg_fare=F.avg(roles.fare)))
 
 
-@analysis("rev.avg_tip", "Average tip", "fare", "tip")
+@analysis("rev.avg_tip", "fare", "tip")
 def average_tip(df: DataFrame, roles: Roles) -> Result:
     """Mean tip, and the mean of each row's tip as a percentage of its positive fare."""
     fare, tip = F.col(roles.fare), F.col(roles.tip)
@@ -235,18 +234,18 @@ def _by_party(df: DataFrame, roles: Roles, **measures: Column) -> DataFrame:
     return group_by(df.filter(party <= 6), party.cast("int"), "passenger_count", **measures)
 
 
-@analysis("pax.distribution", "Passenger count distribution", "party")
+@analysis("pax.distribution", "party")
 def party_distribution(df: DataFrame, roles: Roles) -> Result:
     metrics = summary(df, avg_passengers=F.avg(roles.party))
     return Result(_by_party(df, roles, trips=row_count()), metrics)
 
 
-@analysis("pax.avg_fare", "Average fare by passenger count", "party", "fare")
+@analysis("pax.avg_fare", "party", "fare")
 def fare_by_party(df: DataFrame, roles: Roles) -> Result:
     return Result(_by_party(df, roles, avg_fare=F.avg(roles.fare)), None)
 
 
-@analysis("pax.avg_distance", "Average distance by passenger count", "party", "distance")
+@analysis("pax.avg_distance", "party", "distance")
 def distance_by_party(df: DataFrame, roles: Roles) -> Result:
     return Result(_by_party(df, roles, avg_distance=F.avg(roles.distance)), None)
 
@@ -264,17 +263,17 @@ def _special_side(df: DataFrame, roles: Roles, location: str) -> Result:
     return Result(frame, summary(frame, total_airport_trips=_total("trips")))
 
 
-@analysis("air.pickups", "Trips from airports", "origin")
+@analysis("air.pickups", "origin")
 def special_pickups(df: DataFrame, roles: Roles) -> Result:
     return _special_side(df, roles, roles.origin)
 
 
-@analysis("air.dropoffs", "Trips to airports", "dest")
+@analysis("air.dropoffs", "dest")
 def special_dropoffs(df: DataFrame, roles: Roles) -> Result:
     return _special_side(df, roles, roles.dest)
 
 
-@analysis("air.revenue", "Airport revenue", "origin", "dest", "total")
+@analysis("air.revenue", "origin", "dest", "total")
 def special_revenue(df: DataFrame, roles: Roles) -> Result:
     """A trip between two airports is credited to its origin only."""
     origin, dest = F.col(roles.origin), F.col(roles.dest)
@@ -284,7 +283,7 @@ def special_revenue(df: DataFrame, roles: Roles) -> Result:
     return Result(frame, summary(frame, total_airport_revenue=_total("revenue")))
 
 
-@analysis("air.trends", "Airport traffic over time", "start", "origin", "dest")
+@analysis("air.trends", "start", "origin", "dest")
 def special_trends(df: DataFrame, roles: Roles) -> Result:
     touching = df.filter(roles.touches_special())
     frame = group_by(touching, F.to_date(roles.start), "period", trips=row_count())

@@ -5,6 +5,7 @@ All fits are distributed Spark ML fits; no training row reaches the driver.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 from typing import NamedTuple
 
@@ -24,8 +25,9 @@ from pyspark.sql import types as T
 
 from wayfare.functions.sampling import cap_rows
 from wayfare.operators.cleaning import prepare_frame
-from wayfare.operators.evaluation import PREDICTION, regression_metrics
+from wayfare.operators.evaluation import PREDICTION, prediction_sample, regression_metrics
 from wayfare.operators.features import basic_features
+from wayfare.operators.importance import permutation_importance
 from wayfare.operators.split import resolved_split
 from wayfare.roles import Roles
 from wayfare.sources.schemas import columns
@@ -49,17 +51,16 @@ class Param(NamedTuple):
         return type(self.default)(value)
 
 
-class ModelSpec(NamedTuple):
-    key: str
+class Learner(NamedTuple):
     name: str
     estimator: Callable[..., Estimator]
     params: Mapping[str, Param]
-    seeded: bool = False
+    seeded: bool = True
 
     def build(self, label: str, **values: float) -> Estimator:
         unknown = set(values) - set(self.params)
         if unknown:
-            raise ValueError(f"{self.key} has no parameter {sorted(unknown)}")
+            raise ValueError(f"{self.name} has no parameter {sorted(unknown)}")
         settings = {
             p.sets: p.checked(name, values.get(name, p.default)) for name, p in self.params.items()
         }
@@ -70,19 +71,11 @@ class ModelSpec(NamedTuple):
         )
 
 
-MODELS: dict[str, ModelSpec] = {}
-
-
-def register_model(spec: ModelSpec) -> None:
-    if spec.key in MODELS:
-        raise ValueError(f"model {spec.key!r} is already registered")
-    MODELS[spec.key] = spec
-
-
-# Fixed values below: defaults and ranges of the hyper-parameters.
-register_model(
-    ModelSpec(
-        "linear",
+_DEPTH = Param("maxDepth", 5, 1, 30)
+# Names, defaults and ranges of the hyper-parameters. ``boosted`` is an alias: the same learner as ``gbt`` under the parameter
+# names that gradient-boosting libraries use.
+MODELS: dict[str, Learner] = {
+    "linear": Learner(
         "Linear Regression",
         LinearRegression,
         {
@@ -90,50 +83,20 @@ register_model(
             "elasticNetParam": Param("elasticNetParam", 0.0, 0.0, 1.0),
             "maxIter": Param("maxIter", 100, 1, 1000),
         },
-    )
-)
-register_model(
-    ModelSpec(
-        "dtree",
-        "Decision Tree Regressor",
-        DecisionTreeRegressor,
-        {
-            "maxDepth": Param("maxDepth", 5, 1, 30),
-            "maxBins": Param("maxBins", 32, 2, 256),
-        },
-        seeded=True,
-    )
-)
-register_model(
-    ModelSpec(
-        "rforest",
+        seeded=False,
+    ),
+    "dtree": Learner("Decision Tree Regressor", DecisionTreeRegressor, {"maxDepth": _DEPTH, "maxBins": Param("maxBins", 32, 2, 256)}),
+    "rforest": Learner(
         "Random Forest Regressor",
         RandomForestRegressor,
-        {
-            "numTrees": Param("numTrees", 20, 1, 200),
-            "maxDepth": Param("maxDepth", 5, 1, 30),
-            "subsamplingRate": Param("subsamplingRate", 1.0, 0.1, 1.0),
-        },
-        seeded=True,
-    )
-)
-register_model(
-    ModelSpec(
-        "gbt",
+        {"numTrees": Param("numTrees", 20, 1, 200), "maxDepth": _DEPTH, "subsamplingRate": Param("subsamplingRate", 1.0, 0.1, 1.0)},
+    ),
+    "gbt": Learner(
         "GBT Regressor",
         GBTRegressor,
-        {
-            "maxIter": Param("maxIter", 20, 1, 200),
-            "maxDepth": Param("maxDepth", 5, 1, 30),
-            "stepSize": Param("stepSize", 0.1, 0.01, 1.0),
-        },
-        seeded=True,
-    )
-)
-# An alias: the same learner as ``gbt`` under the parameter names gradient-boosting libraries use.
-register_model(
-    ModelSpec(
-        "boosted",
+        {"maxIter": Param("maxIter", 20, 1, 200), "maxDepth": _DEPTH, "stepSize": Param("stepSize", 0.1, 0.01, 1.0)},
+    ),
+    "boosted": Learner(
         "Boosted Trees Regressor",
         GBTRegressor,
         {
@@ -142,9 +105,8 @@ register_model(
             "learning_rate": Param("stepSize", 0.3, 0.01, 1.0),
             "subsample": Param("subsamplingRate", 1.0, 0.1, 1.0),
         },
-        seeded=True,
-    )
-)
+    ),
+}
 
 
 def model_frame(df: DataFrame, roles: Roles, target: str) -> DataFrame:
@@ -160,39 +122,52 @@ def stored_frame(df: DataFrame, roles: Roles, target: str) -> DataFrame:
     return stored(model_frame(df, roles, target), "model-rows")
 
 
-# Partitions that a fit reads: fixed, so that neither the cluster nor the input's layout changes the model.
-FIT_PARTITIONS = 32
+# Rows of a partition that a fit reads. Their number depends on the rows alone, so that neither the cluster nor the input's layout changes the model.
+FIT_ROWS = 25_000
 
 
 def _arranged(rows: DataFrame, partitions: int) -> DataFrame:
-    """The same rows in the same order and partitions, however they arrive.
+    """The same rows in the same order and partitions, however they arrive: both by a hash of their contents.
 
     Tree learners sample bins and rows by partition and place, and sums of doubles depend on their order.
     """
-    return rows.repartition(partitions, *rows.columns).sortWithinPartitions(*rows.columns)
+    digest = F.xxhash64(*[x for c in rows.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+    hashed = rows.withColumn("__digest", digest)
+    return hashed.repartition(partitions, "__digest").sortWithinPartitions("__digest").drop("__digest")
 
 
 def fit(
-    train: DataFrame, key: str, label: str, features: list[str], partitions: int = FIT_PARTITIONS, **params: float
+    train: DataFrame, key: str, label: str, features: list[str], categories: list[str] = (), partition_rows: int = FIT_ROWS, **params: float
 ) -> PipelineModel:
     """Assemble ``features`` and fit the registered model.
 
+    ``categories`` are those of the features that hold strings. They are indexed inside the pipeline, by descending frequency, and keep their attribute
+    metadata in the vector, so that trees split them as sets of values; values not seen while fitting, and NULL, share one more index, and
+    their rows are scored like all others. A tree needs as many bins as a category has values and one more.
+
     A NULL or NaN feature fails the fit instead of silently poisoning it. The few columns
-    the fit reads are dealt to ``partitions`` partitions by their hash, a number to set by the size of the
-    training table, and kept on the executors, with spilling; a lost block is recomputed from the source.
+    the fit reads are dealt by their hash to one partition for every ``partition_rows`` rows, and kept on the executors,
+    with spilling; a lost block is recomputed from the source. The rows are counted first.
     """
     narrow = train.select(*dict.fromkeys([*features, label]))
+    partitions = max(1, -(-narrow.count() // partition_rows))
     rows = _arranged(narrow, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        assembler = VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="error")
-        return Pipeline(stages=[assembler, MODELS[key].build(label, **params)]).fit(rows)
+        indexed = [StringIndexer(inputCol=c, outputCol=_index(c), handleInvalid="keep", stringOrderType="frequencyDesc") for c in categories]
+        inputs = [_index(f) if f in categories else f for f in features]
+        assembler = VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error")
+        return Pipeline(stages=[*indexed, assembler, MODELS[key].build(label, **params)]).fit(rows)
     finally:
         rows.unpersist()
 
 
+def _index(column: str) -> str:
+    return f"{column}_idx"
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """All rows and columns of ``df`` plus the prediction."""
-    return model.transform(df).drop(FEATURES)
+    return model.transform(df).select(*[F.col(f"`{c}`") for c in df.columns], PREDICTION)
 
 
 def score_trips(model: PipelineModel, df: DataFrame, roles: Roles) -> DataFrame:
@@ -240,6 +215,7 @@ class Trained(NamedTuple):
     train: DataFrame
     test: DataFrame
     scored: DataFrame
+    seconds: float | None = None  # that the fit took
 
 
 def train_and_score(
@@ -251,6 +227,7 @@ def train_and_score(
     test_fraction: float = 0.2,
     max_rows: int | None = None,
     keys: list[str] = (),
+    categories: list[str] = (),
     **params: float,
 ) -> Trained:
     """Features, time split, fit on the past, predictions for the held-out future.
@@ -261,8 +238,9 @@ def train_and_score(
     train, test = resolved_split(stored_frame(df, roles, target), test_fraction)
     if max_rows is not None:
         train = cap_rows(train, max_rows, *keys)
-    model = fit(train, key, target, features, **params)
-    return Trained(model, train, test, score(model, test))
+    began = time.monotonic()
+    model = fit(train, key, target, features, categories, **params)
+    return Trained(model, train, test, score(model, test), time.monotonic() - began)
 
 
 def evaluate_saved(
@@ -273,14 +251,36 @@ def evaluate_saved(
     return regression_metrics(score(model, test), target)
 
 
+class Evaluation(NamedTuple):
+    metrics: DataFrame
+    sample: DataFrame
+    importance: DataFrame
+
+
+def evaluation_report(
+    model: PipelineModel, df: DataFrame, roles: Roles, target: str, features: list[str], keys: list[str], test_fraction: float = 0.2, rows: int = 200
+) -> Evaluation:
+    """A saved model on the hold-out rebuilt from ``df``: metrics, a sample of predictions by the hash of ``keys``, and importances.
+
+    The importances are the trees' own where the model has any, else by permutation on the hold-out, which needs numeric ``features``. The scored
+    hold-out is stored, so the three do not score it again.
+    """
+    _, test = resolved_split(stored_frame(df, roles, target), test_fraction)
+    scored = stored(score(model, test), "scored")
+    own = feature_importance(model, df.sparkSession, features)
+    ranked = own if own is not None else permutation_importance(model, scored, features, target)
+    return Evaluation(regression_metrics(scored, target), prediction_sample(scored, target, *keys, rows=rows), ranked)
+
+
 def ablation(
-    df: DataFrame, roles: Roles, key: str, target: str, subsets: Mapping[str, list[str]], **params: float
+    df: DataFrame, roles: Roles, key: str, target: str, subsets: Mapping[str, list[str]], categories: list[str] = (), **params: float
 ) -> DataFrame:
-    """(features, n_features, n, rmse, mae, r2): one fit per feature subset."""
+    """(features, n_features, n, rmse, mae, r2): one fit per feature subset; ``categories`` are the string features of any of them."""
     train, test = resolved_split(stored_frame(df, roles, target), 0.2)
     table = None
     for name, features in subsets.items():
-        scored = score(fit(train, key, target, features, **params), test)
+        own = [c for c in categories if c in features]
+        scored = score(fit(train, key, target, features, own, **params), test)
         row = regression_metrics(scored, target).select(
             F.lit(name).alias("features"), F.lit(len(features)).alias("n_features"), "*"
         )
@@ -303,6 +303,7 @@ METADATA = columns(
     n_train=T.LongType(),
     n_test=T.LongType(),
     trained_at=T.StringType(),
+    seconds=T.DoubleType(),
 )
 
 
@@ -331,6 +332,7 @@ def save_model(
         trained.train.agg(F.count(F.lit(1))).scalar().alias("n_train"),
         F.col("n").alias("n_test"),
         F.lit(trained_at).alias("trained_at"),
+        F.lit(trained.seconds).cast("double").alias("seconds"),
     )
     described.coalesce(1).write.mode("overwrite").json(f"{folder}/{model_id}/meta")
 

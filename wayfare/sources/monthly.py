@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -15,11 +14,13 @@ from pyspark.sql import types as T
 
 from wayfare.functions.timeparts import month_start
 from wayfare.operators.aggregates import row_count
+from wayfare.sources.footers import footers
 from wayfare.sources.schemas import cast_present, conform, union_by_name
 
-
-# Footers that the driver asks for at a time.
-_FOOTERS_AT_ONCE = 16
+# Paths that the driver lists at a time.
+_LISTED_AT_ONCE = 16
+# Where a file's name carries its month.
+MONTH_NAME = r"(\d{4}-\d{2})\.parquet$"
 
 
 class Loaded(NamedTuple):
@@ -40,14 +41,33 @@ def _stored_files(spark: SparkSession, path: str) -> list[str]:
         return []
 
 
-def _schemas(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
-    """Stored schema (as JSON) -> the files that have it."""
-    vintages: dict[str, list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(_FOOTERS_AT_ONCE) as pool:
-        found = pool.map(lambda file: spark.read.parquet(file).schema.json(), files)
-        for file, schema in zip(files, found, strict=True):
-            vintages[schema].append(file)
-    return vintages
+def _vintages(spark: SparkSession, files: list[str]) -> list[list[str]]:
+    """The files by stored schema, from footers read in tasks; a file that tasks cannot open is a vintage of its own."""
+    rows = spark.createDataFrame([(f,) for f in files], "path string")
+    listed = rows.select("path", F.lit(None).cast("date").alias("month"), F.lit(0).cast("long").alias("bytes"))
+    held: dict[str, list[str]] = defaultdict(list)
+    for r in footers(listed, "").select("path", F.coalesce(F.sha2("vintage", 256), "path").alias("of")).orderBy("path").collect():
+        held[r["of"]].append(r["path"])
+    return list(held.values())
+
+
+def load_files(
+    spark: SparkSession, files: list[str], schema: T.StructType | None = None, money: list[str] = (), of: str | None = None
+) -> DataFrame | None:
+    """The union of the files: one scan for each stored schema, whose columns Spark takes from one of its files.
+
+    With ``of``, a pattern as for :func:`folder_files`, each row also has ``file_month``, that of its file, as "YYYY-MM".
+    """
+    if not files:
+        return None
+    wanted = T.StructType([*schema, T.StructField("file_month", T.StringType())]) if schema and of else schema
+    parts = []
+    for own in _vintages(spark, sorted(files)):
+        part = spark.read.schema(spark.read.parquet(own[0]).schema).parquet(*own)
+        if of is not None:
+            part = part.withColumn("file_month", F.regexp_extract("_metadata.file_path", of, 1))
+        parts.append(conform(part, wanted) if schema else cast_present(part, list(money)))
+    return union_by_name(parts)
 
 
 def load_months(
@@ -63,34 +83,26 @@ def load_months(
     vintages rather than with the number of files, and no file is read with another's schema. With ``schema`` every
     vintage is conformed to it; without, ``money`` columns become double and columns merge by name.
     """
-    files: list[str] = []
-    present, missing = [], []
-    for month in sorted(paths):
-        given = [paths[month]] if isinstance(paths[month], str) else paths[month]
-        found = [file for path in given for file in _stored_files(spark, path)]
-        (present if found else missing).append(month)
-        files += found
-    if not files:
-        return Loaded(None, [], missing)
-    parts = [
-        spark.read.schema(T.StructType.fromJson(json.loads(stored))).parquet(*own)
-        for stored, own in _schemas(spark, files).items()
-    ]
-    fixed = [conform(p, schema) if schema else cast_present(p, list(money)) for p in parts]
-    return Loaded(union_by_name(fixed), present, missing)
+    months = sorted(paths)
+    given = [(m, path) for m in months for path in ([paths[m]] if isinstance(paths[m], str) else paths[m])]
+    with ThreadPoolExecutor(_LISTED_AT_ONCE) as pool:
+        listed = list(pool.map(lambda x: _stored_files(spark, x[1]), given))
+    found = {m for (m, _), files in zip(given, listed) if files}
+    df = load_files(spark, [file for files in listed for file in files], schema, money)
+    return Loaded(df, [m for m in months if m in found], [m for m in months if m not in found])
 
 
-def folder_files(spark: SparkSession, folder: str, name: str = r"(\d{4}-\d{2})\.parquet$") -> DataFrame:
-    """(month, path, bytes) of every Parquet file of a folder; the month is NULL where the name carries none."""
+def folder_files(spark: SparkSession, folder: str, name: str = MONTH_NAME) -> DataFrame:
+    """(month, path, bytes, modified) of every Parquet file of a folder, ``modified`` in microseconds; the month is NULL where the path carries none."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
     found = F.nullif(F.regexp_extract("path", name, 1), F.lit(""))
     return listed.select(
-        F.to_date(F.concat(found, F.lit("-01"))).alias("month"), "path", F.col("length").alias("bytes")
+        F.to_date(F.concat(found, F.lit("-01"))).alias("month"), "path", F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("modified")
     )
 
 
-def monthly_files(spark: SparkSession, folder: str, name: str = r"(\d{4}-\d{2})\.parquet$") -> DataFrame:
-    """(month, path, bytes) of the files whose name carries their month; nothing is read."""
+def monthly_files(spark: SparkSession, folder: str, name: str = MONTH_NAME) -> DataFrame:
+    """(month, path, bytes, modified) of the files whose name carries their month; nothing is read."""
     return folder_files(spark, folder, name).filter("month IS NOT NULL")
 
 
@@ -108,23 +120,24 @@ def load_folder(
     months: list[str] | None = None,
     schema: T.StructType | None = None,
     money: list[str] = (),
+    name: str = MONTH_NAME,
 ) -> Loaded:
     """:func:`load_months` over a folder of monthly files; all of them by default.
 
-    A month may have several files. Files whose name carries no month are not loaded but returned as ``unmatched``. Only the
-    listing, one row per file, comes to the driver.
+    A month may have several files. Files whose path carries no month are not loaded but returned as ``unmatched``. The folder is listed
+    once and only the listing, one row per file, comes to the driver; footers are read in tasks.
     """
     found: dict[str, list[str]] = defaultdict(list)
     unmatched = []
-    for r in folder_files(spark, folder).orderBy("path").collect():
+    for r in folder_files(spark, folder, name).orderBy("path").collect():
         if r["month"] is None:
             unmatched.append(r["path"])
         else:
             found[f"{r['month']:%Y-%m}"].append(r["path"])
     wanted = sorted(set(months)) if months is not None else sorted(found)
-    loaded = load_months(spark, {m: found[m] for m in wanted if m in found}, schema, money)
-    absent = [m for m in wanted if m not in found]
-    return loaded._replace(missing=[*loaded.missing, *absent], unmatched=unmatched)
+    present = [m for m in wanted if m in found]
+    df = load_files(spark, [file for m in present for file in found[m]], schema, money)
+    return Loaded(df, present, [m for m in wanted if m not in found], unmatched)
 
 
 def load_stats(df: DataFrame, start: str) -> DataFrame:

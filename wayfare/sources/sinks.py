@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset.
+    """A fresh folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset; one parent folder per application.
 
-    Both are storage that the driver and all executors reach.
+    Both must be storage that the driver and all executors reach, so a cluster whose checkpoint folder is unset and whose warehouse is a local
+    path is refused: its executors would each write to a disk of their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and base.startswith(("/", "file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/wayfare-{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
