@@ -284,8 +284,9 @@ def folder_footers(spark, folder):
 def named_months(spark, folder):
     """Coverage by the names and footers of files: nothing is scanned."""
     present = stored(folder_coverage(_footers(spark, folder)), "coverage")
-    totals = present.agg(F.sum("rows").alias("rows"), (F.sum("bytes") > 0).alias("sized"))
-    return coverage_summary(present).join(F.broadcast(totals))
+    return coverage_summary(present).withColumns(
+        {"rows": present.agg(F.sum("rows")).scalar(), "sized": present.agg(F.sum("bytes") > 0).scalar()}
+    )
 
 
 @query(
