@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.lean import lean
 from wayfare.llm.shingles import shingle_hashes, shingle_sets, sliced, slices, word_hashes
 from wayfare.llm.subwords import mixed
 from wayfare.sources.sinks import stored
@@ -129,7 +130,7 @@ def signed_items(benchmark: DataFrame, size: int) -> DataFrame:
             )
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    return rows.mapInArrow(sign, "item_id long, shingles binary, signature binary")
+    return rows.mapInArrow(lean(sign), "item_id long, shingles binary, signature binary")
 
 
 def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[Item]]:
@@ -173,7 +174,7 @@ def _search(texts: DataFrame, block: list[Item], size: int, percent: int) -> Dat
             columns = list(zip(*out)) or [()] * 4
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_shared", "n_item"])
 
-    return texts.select("doc_id", "text").mapInArrow(search, _FOUND)
+    return texts.select("doc_id", "text").mapInArrow(lean(search), _FOUND)
 
 
 def decontaminated(
@@ -190,5 +191,5 @@ def decontaminated(
                 clean[[at for at, _, _ in _hits(batch.column(place), shared.value, size, percent)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(lean(keep), docs.schema)
     return docs

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.components import components
 from wayfare.llm.fetch import split_rows
+from wayfare.llm.lean import lean
 from wayfare.llm.shingles import shingle_sets, sliced
 from wayfare.llm.spread import join_unique
 from wayfare.llm.verification import digest, set_digests, verified
@@ -71,7 +72,7 @@ def frequent_shingles(texts: DataFrame, size: int, most: int = FREQUENT) -> np.n
             if held:
                 yield repeated(held)
 
-    partial = texts.select("text").mapInArrow(count, "shingle long, n long")
+    partial = texts.select("text").mapInArrow(lean(count), "shingle long, n long")
     counted = stored(partial.groupBy("shingle").agg(F.sum("n").alias("n")), "frequencies")
     by_count = counted.groupBy("n").agg(F.count(F.lit(1)).alias("shingles"))
     so_far = Window.orderBy(F.desc("n"))  # over the distinct counts
@@ -119,7 +120,7 @@ def document_sets(texts: DataFrame, size: int, percent: int, frequent: np.ndarra
             yield pa.record_batch([part.column(0), *arrays, *part.columns[2:]], names=["doc_id", *_SET_COLUMNS, *identity])
 
     schema = ", ".join([_SET_SCHEMA, *[f"{name} long" for name in identity]])
-    return texts.select("doc_id", "text", *identity).mapInArrow(profile, schema)
+    return texts.select("doc_id", "text", *identity).mapInArrow(lean(profile), schema)
 
 
 def _need(a: Column, b: Column, percent: int) -> Column:
@@ -192,7 +193,7 @@ def open_groups(live: DataFrame, spans: DataFrame, percent: int, block: int) ->
 
     ordered = units.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     inside = spans.filter("least < most").select(F.col("group").alias("a"), F.col("group").alias("b"))
-    return ordered.mapInArrow(search, "a long, b long").union(inside).distinct()
+    return ordered.mapInArrow(lean(search), "a long, b long").union(inside).distinct()
 
 
 def open_candidates(groups: DataFrame, rooted: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:

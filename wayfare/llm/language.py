@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.lean import lean
 from wayfare.llm.subwords import WordScores, mixed, ngrams, slices
 
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 17
 PER_LANGUAGE = 400
 UNDETERMINED = "und"
-CACHED_WORDS = 350_000
+CACHED_WORDS = 250_000
 BLOCK = 64
 SLICE_WORDS = 200_000
 _SEED = 20_24
@@ -227,7 +228,7 @@ def detect_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(
-        label,
+        lean(label),
         "doc_id long, lang_pred string, score double, segments array<struct<lang: string, first_word: int, n_words: int>>",
     )
 
@@ -240,10 +241,10 @@ def keep_determined(docs: DataFrame, model: LanguageModel, least_score: float, t
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _Labeller(shared.value)
         for batch in batches:
-            langs, scores, _ = labeller(batch.column(place))
+            langs, scores, _ = labeller(batch.column(place), with_runs=False)
             yield batch.filter(pa.array([x != UNDETERMINED and y >= least_score for x, y in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 class _Labeller:
@@ -254,7 +255,7 @@ class _Labeller:
         self.labels = len(model.languages)
         self.known = WordScores(model.word_rows, self.labels + 1, CACHED_WORDS)
 
-    def __call__(self, column: pa.Array) -> tuple[list[str], list[float], list[list[dict]]]:
+    def __call__(self, column: pa.Array, with_runs: bool = True) -> tuple[list[str], list[float], list[list[dict]]]:
         n, labels = len(column), self.labels
         if not labels:
             return [UNDETERMINED] * n, [0.0] * n, [[] for _ in range(n)]
@@ -271,7 +272,8 @@ class _Labeller:
             best = np.where(mass > 0, totals.argmax(1), labels)
             langs.extend(self.names[best].tolist())
             scores.extend((totals[np.arange(len(best)), best] / np.maximum(mass, 1e-300)).tolist())
-            runs.extend(_runs(probable.argmax(1), lengths, self.names))
+            if with_runs:
+                runs.extend(_runs(probable.argmax(1), lengths, self.names))
         return langs, scores, runs
 
 

@@ -30,6 +30,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.lean import lean
+
 CAPACITY = 1024
 OPEN_BINS = 512
 CHUNK = 2 * OPEN_BINS
@@ -37,7 +39,7 @@ END_ID = 2
 # Rows of a result batch.
 _ROWS = 10_000
 # Words kept with their ids by one Python worker.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -248,7 +250,7 @@ def pack_documents(
     source = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.col(body).alias("text"), F.spark_partition_id().cast("long").alias("task")
     )
-    return source.mapInArrow(pack_task, PIECES)
+    return source.mapInArrow(lean(pack_task), PIECES)
 
 
 _ARROW = pa.schema(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.fetch import texts_for
+from wayfare.llm.lean import lean
 from wayfare.llm.shingles import shingle_sets
 from wayfare.llm.subwords import mixed
 
@@ -61,4 +62,4 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
             columns = list(zip(*links)) or [(), ()]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
+    return ordered.mapInArrow(lean(compare), "a long, b long").distinct()
