@@ -127,6 +127,38 @@ def test_toxic_passages_are_found_and_misspellings_too(documents):
     assert rows[-len(ODD)].score < 0.5
 
 
+def plain_score(text, model):
+    """The most toxic passage, word by word and n-gram by n-gram."""
+    words = toxicity.tokens(text)
+    margins = []
+    for at in range(0, max(len(words), 1), toxicity.PASSAGE):
+        total = 0.0
+        for word in dict.fromkeys(words[at : at + toxicity.PASSAGE]):
+            _, buckets = toxicity._bucketed([word])
+            total += float(np.mean([model.weights[b] for b in buckets])) if len(buckets) else 0.0
+        margins.append(total / toxicity.PASSAGE + model.bias)
+    return 1 / (1 + np.exp(-max(margins)))
+
+
+def test_scores_match_a_plain_sum_over_passages(documents):
+    rng = np.random.default_rng(8)
+    model = toxicity.ToxicityModel(rng.normal(size=toxicity.BUCKETS) * 40, -0.3)
+    pick = random.Random(8)
+    texts = [" ".join(syllables(PARTS["aa"], pick, pick.choice([1, 3])).replace(" ", "") for _ in range(pick.choice([1, 49, 50, 51, 260]))) for _ in range(40)]
+    texts += [*ODD, "tie tie tie", "x " * 6001]
+    got = {r.doc_id: r.score for r in toxicity.score_documents(documents(texts, **CLASHING), model).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(text, model), abs=1e-5), text
+
+
+def test_the_text_of_a_repeated_doc_id_is_fixed(documents, spark):
+    docs = documents([(1, "b"), (1, "a"), (2, "c")])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    for n in (1, 4):
+        rows = toxicity.labelled_sample(docs.repartition(n), labels, F.lit(True)).collect()
+        assert sorted((r.text, r.toxic) for r in rows) == [("a", 1), ("c", 0)]
+
+
 def test_toxicity_sample_takes_both_classes_and_skips_odd_labels(documents, spark):
     docs = documents([f"text {i}" for i in range(200)] + [None])
     labels = [(i, i % 2) for i in range(150)] + [(3, 0), (4, 1), (None, 1), (160, None), (200, 1), (999, 1), (5, 1)]

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -57,6 +59,35 @@ def test_changing_a_weight_moves_keys_within_or_into_that_subtree_only(spark):
     assert abs(share - 4 / 7) < 0.04
 
 
+def plain_shard(key, tree):
+    """The descent in plain Python: the smallest weighted draw at each level."""
+    text = "\0null" if key is None else str(key)
+
+    def draw(node, weight):
+        bits = int(hashlib.md5(f"{text}/{node}".encode()).hexdigest()[:13], 16)
+        return -math.log((bits + 0.5) / 2.0**52) / weight
+
+    def weigh(node):
+        return node if isinstance(node, float) else sum(map(weigh, node.values()))
+
+    path, node = [], tree
+    while not isinstance(node, float):
+        names = {child: "/".join(map(str, [*path, child])) for child in node}
+        child = min(node, key=lambda c: draw(names[c], weigh(node[c])))
+        path, node = [*path, child], node[child]
+    return path[-1]
+
+
+def test_shards_match_a_plain_descent(documents):
+    uneven = {"r0": {"a": {0: 1.0, 1: 2.5}, "b": {2: 0.5}}, "r1": {"c": {3: 4.0}}, "r2": {"d": {4: 1.0, 5: 1.0, 6: 0.25}}}
+    docs = documents([(i * 7919 - 100, "x") for i in range(500)] + [(None, "y")])
+    for tree in (uneven, sharding.even_tree(8)):
+        rows = sharding.shard_documents(docs, tree).collect()
+        assert len(rows) == 501
+        for r in rows:
+            assert r.shard == plain_shard(r.doc_id, tree) and r.grown_shard == plain_shard(r.doc_id, sharding.grown(tree))
+
+
 def test_repeated_rows_and_null_keys_share_a_shard(documents):
     docs = documents([(7, "same")] * 50 + [(None, "n")] * 30)
     rows = sharding.shard_documents(docs, sharding.even_tree(4)).collect()
