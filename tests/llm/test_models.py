@@ -3,11 +3,13 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import re
 from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +246,20 @@ def test_mentions_of_a_local_part_without_digits_are_added(documents):
     assert masked[0].text == "mail <email> or ask <email>, not smith or john.smithers"
 
 
+def test_labelling_holds_few_words_at_once():
+    names = ["a", "b", "c", "d"]
+    model = language.LanguageModel(names, np.random.default_rng(3).normal(size=(language.BUCKETS, 4)).astype(np.float32), np.eye(4))
+    column = pa.array([" ".join(f"w{(i * 7 + k) % 30_000}" for k in range(3_000)) for i in range(150)])
+    tracemalloc.start()
+    try:
+        langs, scores, _ = language._Labeller(model)(column, with_runs=False)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(langs) == len(scores) == 150
+    assert peak < 45e6, peak
+
+
 def test_role_words_and_common_words_are_no_mentions(documents):
     pick = random.Random(6)
     model = pii.train(pii_texts(pick) + [f"write {w} on 1.2.3.4" for w in ("harvest", "harvest")])

@@ -35,9 +35,9 @@ SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 17
 PER_LANGUAGE = 400
 UNDETERMINED = "und"
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 BLOCK = 64
-SLICE_WORDS = 200_000
+SLICE_WORDS = 40_000
 _SEED = 20_24
 _MOST_LOGIT = 30.0
 _HAS_WORDS = r"(?U)[^\s\x1c-\x1f]"  # what str.split leaves

@@ -64,7 +64,7 @@ def ngrams(words: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.nda
 
 
 # New words scored together: their features take about 500 bytes a word for the moment.
-_SCORED_AT_ONCE = 20_000
+_SCORED_AT_ONCE = 4_000
 
 
 class WordScores(dict):
