@@ -260,6 +260,16 @@ def test_labelling_holds_few_words_at_once():
     assert peak < 45e6, peak
 
 
+def test_common_words_are_counted_over_all_documents(documents):
+    texts = [*pii_texts(random.Random(6)), "see harvest", "Harvest, then", "mail harvest@farm.org", "mail once@farm.org", None]
+    assert len(texts) < pii.COMMON / pii.COMMON_SHARE
+    assert "harvest" not in pii.train(texts[:5]).common
+    common = pii.fit(documents(texts), sample=5).common
+    assert "harvest" in common and "once" not in common
+    many = [*["1"] * 5 * int(1 / pii.COMMON_SHARE), *texts]  # two in 5,000 are not common
+    assert "harvest" not in pii.common_words(documents(many))
+
+
 def test_role_words_and_common_words_are_no_mentions(documents):
     pick = random.Random(6)
     model = pii.train(pii_texts(pick) + [f"write {w} on 1.2.3.4" for w in ("harvest", "harvest")])

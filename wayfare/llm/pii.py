@@ -3,8 +3,8 @@
 Base spans come from four patterns with checks (octets, Luhn, digit counts). The field adds what they miss by
 consistency: its nodes are the words of a text that have a digit or an ``@``; runs of such words whose digits, joined, end like those of a phone or card
 base span of the text (or the other way round), each run one node; and words that, without case and punctuation, equal the local part (of more than three
-characters) of an e-mail base span of the text. Of the last only far links tell; the names of roles (``ROLES``) and plain words that the sample
-has in several documents are no such mentions, unless joined by a dot, underscore or hyphen. All other words are plain.
+characters) of an e-mail base span of the text. Of the last only far links tell; the names of roles (``ROLES``) and plain words that several
+documents have, counted over all of them, are no such mentions, unless joined by a dot, underscore or hyphen. All other words are plain.
 
 Neighbouring nodes are linked by learned transitions, and however far apart, nodes that are equal or similar (the same last seven digits, or the
 local part of an address) share a potential for having one label. Nodes in base spans are observed; loopy belief
@@ -16,7 +16,7 @@ The field is trained by pseudo-likelihood on a bounded sample, about ``SAMPLE``
 base spans, and features are dropped at random. The potentials of far links are learned with the rest: to the sampled texts that have a phone,
 card or address a repetition is added in a form that the patterns miss, labelled as what it repeats, so that only the link tells.
 Occurrences of one word are linked in a row, not in pairs, and when spans are sought each
-one also to a base span of its row, so that small doubts do not add up along it. Documents are read once, whole, without a shuffle.
+one also to a base span of its row, so that small doubts do not add up along it. Spans are sought in whole documents, without a shuffle.
 
 NULL texts are empty and have no spans. Repeated rows get equal results. Without any training document only base
 spans are found. Offsets are code points, ends exclusive. Extra columns are not read.
@@ -62,7 +62,7 @@ SETTLED = 1e-4
 # Where far links' potentials start from, and how fast they are learned beside the others.
 SHARED = 1.0
 SHARED_RATE = 1.0
-# A plain word in so many sampled documents, and in this share of them, is no name.
+# A plain word in so many documents, and in this share of them, is no name.
 COMMON, COMMON_SHARE = 2, 0.001
 # Mailbox names of roles, not of persons.
 ROLES = frozenset(
@@ -174,10 +174,13 @@ def _locals(text: str, own: list[Span]) -> dict[int, str]:
     return {start: _plain(text[start:end].partition("@")[0]) for start, kind, end in own if KINDS[kind] == "email"}
 
 
+def _nameable(word: str) -> bool:
+    return len(word) > 3 and not _DIGIT.search(word) and any(map(str.isalpha, word))
+
+
 def _mentions(text: str, wanted: set[str], common: frozenset[str]) -> list[tuple[int, int]]:
     """Words without a digit or an ``@`` that, normalised, are among ``wanted`` and look like part of a name."""
-    wanted = {x for x in wanted if len(x) > 3 and not _DIGIT.search(x) and any(map(str.isalpha, x))}
-    wanted = {x for x in wanted if _JOINED.search(x) or x not in ROLES and x not in common}
+    wanted = {x for x in wanted if _nameable(x) and (_JOINED.search(x) or x not in ROLES and x not in common)}
     return [(m.start(), m.end()) for m in _WORD.finditer(text) if _plain(m.group()) in wanted and not _NODE.match(m.group())] if wanted else []
 
 
@@ -325,14 +328,51 @@ def _repetitions(text: str, own: list[Span], pick: random.Random) -> tuple[str,
     return longer, [*own, (begin, kind, begin + len(again))]
 
 
-def _common_words(texts: list[str]) -> frozenset[str]:
-    seen = Counter(word for text in texts for word in {_plain(w) for w in _WORD.findall(text)})
-    return frozenset(w for w, n in seen.items() if n >= max(COMMON, COMMON_SHARE * len(texts)))
+def _word_counts(texts: list[str]) -> Counter[str]:
+    """How many texts have each plain word that could be a mention."""
+    seen = Counter(word for text in texts for word in {_plain(w) for w in set(_WORD.findall(text))})
+    return Counter({word: n for word, n in seen.items() if _nameable(word) and not _JOINED.search(word)})
+
+
+def _asked(text: str) -> set[str]:
+    """What mentions of the e-mail addresses of a text are sought by, and perhaps more."""
+    if "@" not in text:
+        return set()
+    whole = {_plain(m.group()).partition("@")[0] for m in _NODE.finditer(text) if "@" in m.group()}
+    return whole.union(_plain(text[start:end].partition("@")[0]) for start, end in _emails(text))
+
 
+def _common_from(documents: int) -> float:
+    return max(COMMON, COMMON_SHARE * documents)
 
-def train(texts: list[str], steps: int = 200, rate: float = 0.1) -> PiiModel | None:
-    """Adagrad on the pseudo-likelihood of base labels, each node given its linked nodes' labels."""
-    pick, common = random.Random(_SEED), _common_words(texts)
+
+def common_words(docs: DataFrame, text: str = "text") -> frozenset[str]:
+    """The plain words of ``COMMON`` documents and ``COMMON_SHARE`` of all, counted over every document, that an address of any of them asks for.
+
+    Tasks count by Arrow batch and the counts combine by word; only those common words come to the driver, at most 1 / ``COMMON_SHARE`` times the
+    words of a mean document.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, asked = Counter(), set()
+            for texts in _slices(batch.column(0)):
+                seen.update(_word_counts(texts))
+                asked.update(*map(_asked, texts))
+            words = [*seen, *(w for w in asked if w not in seen and _nameable(w))]
+            columns = [pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([w in asked for w in words], pa.bool_())]
+            yield pa.record_batch(columns, names=["word", "n", "asked"])
+
+    counted = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL").mapInArrow(lean(count), "word string, n long, asked boolean")
+    words = counted.groupBy("word").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked"))
+    return frozenset(r["word"] for r in words.filter(F.col("asked") & (F.col("n") >= _common_from(docs.count()))).collect())
+
+
+def train(texts: list[str], steps: int = 200, rate: float = 0.1, common: frozenset[str] | None = None) -> PiiModel | None:
+    """Adagrad on the pseudo-likelihood of base labels, each node given its linked nodes' labels. ``common`` words are by default those of ``texts``."""
+    pick = random.Random(_SEED)
+    if common is None:
+        common = frozenset(w for w, n in _word_counts(texts).items() if n >= _common_from(len(texts)))
     told = [_repetitions(t, base_spans(t), pick) for t in texts]
     nodes = nodes_of([t for t, _ in told], [own for _, own in told])
     if not nodes.text:
@@ -520,12 +560,12 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> PiiModel | None:
-    """Train on a hash sample of about ``sample`` documents that have a digit or an ``@``; it alone comes to the driver."""
+    """Train on a hash sample of about ``sample`` documents that have a digit or an ``@``; it and the common words of all documents come to the driver."""
     rank = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40))
     fitting = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), rank.alias("rank")).filter(F.col("text").rlike("[0-9@]"))
     share = min(1.0, sample / max(fitting.count(), 1))
     chosen = fitting.filter(F.col("rank") < share * (1 << 40)).select("doc_id", "text").orderBy("doc_id", "text")
-    return train([r["text"] for r in chosen.collect()])
+    return train([r["text"] for r in chosen.collect()], common=common_words(docs, text))
 
 
 def _slices(column: pa.Array, most: int = 4_000_000) -> Iterator[list[str]]:
