@@ -5,12 +5,14 @@ import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
+from wayfare.catalog import modelling
 from wayfare.operators.evaluation import prediction_sample, regression_metrics, residual_histogram
 from wayfare.operators.features import model_features, raw_features
 from wayfare.operators.importance import permutation_importance, with_partners
 from wayfare.operators.splits import best_splits, split_gains
 from wayfare.plans.models import (
     MODELS,
+    _arranged,
     ablation,
     coefficients,
     compare_models,
@@ -192,6 +194,25 @@ def test_strings_indexed_by_frequency_then_value(spark):
     assert got == {"N": 0.0, "A": 1.0, "Y": 2.0}
 
 
+def test_the_fit_shuffles_no_more_than_its_columns(spark):
+    rows = spark.range(1000).selectExpr("cast(id % 90 AS double) AS x", "cast(id AS double) AS y")
+    arranged = _arranged(rows, 5)
+    assert "Exchange hashpartitioning(xxhash64(" in arranged._jdf.queryExecution().executedPlan().toString()
+    assert arranged.rdd.getNumPartitions() == 5 and sorted(arranged.collect()) == sorted(rows.collect())
+    digest = F.xxhash64(*[x for c in rows.columns for x in (F.col(c).isNull(), F.col(c))])
+    named = rows.withColumn("d", digest).repartition(5, "d").sortWithinPartitions("d").drop("d")
+    assert arranged.collect() == named.collect()
+
+
+def test_lines_are_joined_once_for_both_models(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(modelling, "derived_sales", lambda *a, f=modelling.derived_sales: read.append(a[2:]) or f(*a))
+    assert modelling.compared(spark, "/root/testdata/sf0.001").count() == 2
+    assert read == [("start_ts", "distance", "fare", "tip")]
+    facts = modelling._line_model(spark, "/root/testdata/sf0.001").train
+    assert "Join" not in facts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_model_does_not_depend_on_the_layout_of_its_rows(spark, priced):
     rows = priced.selectExpr("trip_distance AS x", "cast(PULocationID AS double) AS place", "fare_amount + tip_amount AS y")
     one, nine = (

@@ -44,7 +44,7 @@ from wayfare.plans.models import (
     stored_frame,
     train_and_score,
 )
-from wayfare.sources.sinks import shared_folder
+from wayfare.sources.sinks import shared_folder, stored
 from wayfare.sources.tables import SALES, SALES_LIMITS, sales
 
 
@@ -63,8 +63,13 @@ _FITTED = f""", {_DATED}, line AS (
 )"""
 
 
-def _line_model(spark, folder, target="fare"):
-    train, test = resolved_split(derived_sales(spark, folder, "start_ts", *_LINE, target), 0.2)
+def _line_facts(spark, folder, *targets):
+    """The dated columns that lines are fitted on, stored: the cutoff, the fit, the scoring and the counts would each join lines to orders again."""
+    return stored(derived_sales(spark, folder, "start_ts", *_LINE, *targets).drop("start_ts"), "line-rows")
+
+
+def _line_model(spark, folder, target="fare", facts=None):
+    train, test = resolved_split(_line_facts(spark, folder, target) if facts is None else facts, 0.2)
     model = fit(train, "linear", target, _LINE)
     return Trained(model, train, test, score(model, test))
 
@@ -173,12 +178,12 @@ def _compare_sql(model_id: str, target: str, trained_at: str) -> str:
     ),
 )
 def compared(spark, folder):
-    base = shared_folder(spark, "models")
+    base, facts = shared_folder(spark, "models"), _line_facts(spark, folder, "fare", "tip")
     for model_id, target, at in (
         ("fare-line", "fare", "2024-01-01T00:00:00"),
         ("tip-line", "tip", "2024-02-01T00:00:00"),
     ):
-        _save(_line_model(spark, folder, target), base, model_id, target, at)
+        _save(_line_model(spark, folder, target, facts), base, model_id, target, at)
     return compare_models(saved_models(spark, base))
 
 

@@ -132,8 +132,7 @@ def _arranged(rows: DataFrame, partitions: int) -> DataFrame:
     Tree learners sample bins and rows by partition and place, and sums of doubles depend on their order.
     """
     digest = F.xxhash64(*[x for c in rows.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
-    hashed = rows.withColumn("__digest", digest)
-    return hashed.repartition(partitions, "__digest").sortWithinPartitions("__digest").drop("__digest")
+    return rows.repartition(partitions, digest).sortWithinPartitions(digest)  # not as a column, which would be shuffled too
 
 
 def fit(
