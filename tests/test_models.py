@@ -11,6 +11,7 @@ from wayfare.operators.features import model_features, raw_features
 from wayfare.operators.importance import permutation_importance, with_partners
 from wayfare.operators.splits import best_splits, split_gains
 from wayfare.plans.models import (
+    FIT_ROWS,
     MODELS,
     _arranged,
     ablation,
@@ -20,6 +21,7 @@ from wayfare.plans.models import (
     evaluation_report,
     feature_importance,
     fit,
+    fit_partitions,
     index_strings,
     load_model,
     save_model,
@@ -194,6 +196,12 @@ def test_strings_indexed_by_frequency_then_value(spark):
     assert got == {"N": 0.0, "A": 1.0, "Y": 2.0}
 
 
+def test_partitions_of_a_fit_grow_slower_than_its_rows():
+    assert [fit_partitions(n) for n in (0, 1, FIT_ROWS, FIT_ROWS + 1, 40 * FIT_ROWS)] == [1, 1, 1, 2, 40]
+    assert [fit_partitions(n) for n in (1_300_000, 9_500_000, 57_000_000)] == [48, 48, 57]
+    assert fit_partitions(10**11) == 10**5  # and hold a bounded number of rows
+
+
 def test_the_fit_shuffles_no_more_than_its_columns(spark):
     rows = spark.range(1000).selectExpr("cast(id % 90 AS double) AS x", "cast(id AS double) AS y")
     arranged = _arranged(rows, 5)

@@ -122,8 +122,17 @@ def stored_frame(df: DataFrame, roles: Roles, target: str) -> DataFrame:
     return stored(model_frame(df, roles, target), "model-rows")
 
 
-# Rows of a partition that a fit reads. Their number depends on the rows alone, so that neither the cluster nor the input's layout changes the model.
+# Rows of a partition that a fit reads; once there are FIT_PARTITIONS, partitions grow up to GROWN times that before more are made. Every level of every tree
+# is a job that sends a result a partition to the driver, so their number must not keep up with the rows. It depends on the rows alone, so that neither
+# the cluster nor the input's layout changes the model.
 FIT_ROWS = 25_000
+FIT_PARTITIONS = 48
+GROWN = 40
+
+
+def fit_partitions(rows: int, partition_rows: int = FIT_ROWS) -> int:
+    few = min(-(-rows // partition_rows), FIT_PARTITIONS)
+    return max(1, few, -(-rows // (partition_rows * GROWN)))
 
 
 def _arranged(rows: DataFrame, partitions: int) -> DataFrame:
@@ -145,12 +154,11 @@ def fit(
     their rows are scored like all others. A tree needs as many bins as a category has values and one more.
 
     A NULL or NaN feature fails the fit instead of silently poisoning it. The few columns
-    the fit reads are dealt by their hash to one partition for every ``partition_rows`` rows, and kept on the executors,
+    the fit reads are dealt by their hash to :func:`fit_partitions`, and kept on the executors,
     with spilling; a lost block is recomputed from the source. The rows are counted first.
     """
     narrow = train.select(*dict.fromkeys([*features, label]))
-    partitions = max(1, -(-narrow.count() // partition_rows))
-    rows = _arranged(narrow, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _arranged(narrow, fit_partitions(narrow.count(), partition_rows)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         indexed = [StringIndexer(inputCol=c, outputCol=_index(c), handleInvalid="keep", stringOrderType="frequencyDesc") for c in categories]
         inputs = [_index(f) if f in categories else f for f in features]
