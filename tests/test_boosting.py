@@ -4,10 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.plans.boosting import BoostedTrees, Settings, fit_boosted, load_boosted, save_boosted, score_boosted
+from wayfare.plans.boosting import BoostedTrees, Settings, _unpacked, fit_boosted, load_boosted, save_boosted, score_boosted
 from wayfare.sources.sinks import shared_folder
 
 
@@ -32,6 +33,14 @@ def test_it_fits_a_curve_with_missing_values(curved):
     assert scored.agg(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2))).first()[0] < 0.6
 
 
+def test_bins_are_read_from_the_buffer_of_a_sliced_batch():
+    rows = np.arange(24, dtype=np.uint8).reshape(8, 3)
+    batch = pa.record_batch([pa.array([r.tobytes() for r in rows], pa.binary())], names=["bins"])
+    assert (_unpacked(batch, 3) == rows).all() and (_unpacked(batch.slice(2, 4), 3) == rows[2:6]).all()
+    assert _unpacked(batch.slice(0, 0), 3).shape == (0, 3)
+    assert np.shares_memory(_unpacked(batch, 3), np.frombuffer(batch.column(0).buffers()[2], np.uint8))
+
+
 def test_one_round_matches_the_best_split_of_plain_python(spark, curved):
     settings = Settings(n_estimators=1, max_depth=1, learning_rate=0.5, reg_lambda=2.0)
     model = fit_boosted(curved, ["a", "b"], "y", settings)

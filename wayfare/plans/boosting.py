@@ -119,7 +119,9 @@ def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
 
 
 def _unpacked(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)
+    """(row, feature) bins: the values' bytes as they lie in Arrow's buffer, ``width`` a row."""
+    column = batch.column(0)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8, len(column) * width, column.offset * width).reshape(-1, width)
 
 
 def _prepared(df: DataFrame, model: BoostedTrees, label: Column, validates: Column, settings: Settings) -> DataFrame:
@@ -172,9 +174,10 @@ def _histograms(rows: DataFrame, model: BoostedTrees, since: list[Tree], tree: T
             used = ~validates & (np.mod(draw + number * 0.6180339887498949, 1.0) < settings.subsample)
             node = tree.leaves(bins) - first
             used &= (node >= 0) & (node < nodes)
-            for f in range(width):
-                index = node[used] * 256 + bins[used, f]
-                sums[0, :, f] += np.bincount(index, off[used], nodes * 256).reshape(nodes, 256)
+            first_cell, own_off = node[used] * 256, off[used]
+            for f, own in enumerate(np.ascontiguousarray(bins[used].T)):
+                index = first_cell + own
+                sums[0, :, f] += np.bincount(index, own_off, nodes * 256).reshape(nodes, 256)
                 sums[1, :, f] += np.bincount(index, minlength=nodes * 256).reshape(nodes, 256)
         at = np.nonzero(sums[1])
         columns = [*at, sums[0][at], sums[1][at]]
