@@ -29,6 +29,7 @@ from wayfare.operators.evaluation import PREDICTION, prediction_sample, regressi
 from wayfare.operators.features import basic_features
 from wayfare.operators.importance import permutation_importance
 from wayfare.operators.split import resolved_split
+from wayfare.plans.binned import fit_binned
 from wayfare.roles import Roles
 from wayfare.sources.schemas import columns
 from wayfare.sources.sinks import stored
@@ -56,6 +57,7 @@ class Learner(NamedTuple):
     estimator: Callable[..., Estimator]
     params: Mapping[str, Param]
     seeded: bool = True
+    binned: bool = False  # fitted by fit_binned where all features are numbers
 
     def build(self, label: str, **values: float) -> Estimator:
         unknown = set(values) - set(self.params)
@@ -73,7 +75,7 @@ class Learner(NamedTuple):
 
 _DEPTH = Param("maxDepth", 5, 1, 30)
 # Names, defaults and ranges of the hyper-parameters. ``boosted`` is an alias: the same learner as ``gbt`` under the parameter
-# names that gradient-boosting libraries use.
+# names that gradient-boosting libraries use. Its hundred trees are fitted by passes over stored bins.
 MODELS: dict[str, Learner] = {
     "linear": Learner(
         "Linear Regression",
@@ -105,6 +107,7 @@ MODELS: dict[str, Learner] = {
             "learning_rate": Param("stepSize", 0.3, 0.01, 1.0),
             "subsample": Param("subsamplingRate", 1.0, 0.1, 1.0),
         },
+        binned=True,
     ),
 }
 
@@ -156,14 +159,21 @@ def fit(
     A NULL or NaN feature fails the fit instead of silently poisoning it. The few columns
     the fit reads are dealt by their hash to :func:`fit_partitions`, and kept on the executors,
     with spilling; a lost block is recomputed from the source. The rows are counted first.
+
+    ``boosted`` on numeric features gives the model that Spark's boosting would give of these rows, but for the rounding of sums, by :func:`fit_binned`.
     """
     narrow = train.select(*dict.fromkeys([*features, label]))
-    rows = _arranged(narrow, fit_partitions(narrow.count(), partition_rows)).persist(StorageLevel.MEMORY_AND_DISK)
+    n = narrow.count()
+    partitions = fit_partitions(n, partition_rows)
+    rows = _arranged(narrow, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         indexed = [StringIndexer(inputCol=c, outputCol=_index(c), handleInvalid="keep", stringOrderType="frequencyDesc") for c in categories]
         inputs = [_index(f) if f in categories else f for f in features]
         assembler = VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error")
-        return Pipeline(stages=[*indexed, assembler, MODELS[key].build(label, **params)]).fit(rows)
+        estimator = MODELS[key].build(label, **params)
+        if MODELS[key].binned and not categories:
+            return PipelineModel([assembler, fit_binned(rows, n, partitions, features, estimator)])
+        return Pipeline(stages=[*indexed, assembler, estimator]).fit(rows)
     finally:
         rows.unpersist()
 
