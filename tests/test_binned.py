@@ -91,7 +91,7 @@ def test_it_is_saved_and_loaded(spark, few):
 
 @pytest.mark.parametrize("column", ["a", "y"])
 def test_missing_values_fail_the_fit(few, column):
-    for value in (F.lit(None).cast("double"), F.lit(float("nan"))):
+    for value in (F.lit(None).cast("double"), F.lit(float("nan")), F.lit(float("inf"))):
         broken = few.withColumn(column, F.when(F.col("i") != 5, F.col(column)).otherwise(value))
         with pytest.raises(Exception):  # noqa: B017 - Spark wraps the worker's error
             fit(broken, "boosted", "y", NAMES, n_estimators=10)

@@ -119,8 +119,8 @@ def _numbers(batch: pa.RecordBatch) -> np.ndarray:
     out = np.stack([column.to_numpy(zero_copy_only=False).astype(float) for column in batch.columns])
     if not np.isfinite(out[:-1]).all():
         raise ValueError("features must not be NULL, NaN or infinite")
-    if np.isnan(out[-1]).any():
-        raise ValueError("labels must not be NULL or NaN")
+    if not np.isfinite(out[-1]).all():
+        raise ValueError("labels must not be NULL, NaN or infinite")
     return out
 
 
